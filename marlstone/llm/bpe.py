@@ -35,8 +35,9 @@ _NONE = 1 << 62
 # Fixed values of the tokenizer's split pattern; the white space is Unicode's.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-# The same, for texts whose characters all lie below U+0250: there \w without digits and these numerals is \p{L}.
-_FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^{_SPACE}\w]|_)+")
+# The same, for texts whose characters all lie below U+0250: explicit classes are matched faster.
+_LETTERS, _NUMERALS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+_FAST = re.compile(rf"[{_LETTERS}]+|[{_NUMERALS}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{_LETTERS}{_NUMERALS}]+")
 _FAR = re.compile(r"[^\x00-ɏ]")
 
 
@@ -104,13 +105,23 @@ class Recent(dict):
     def __init__(self, make: Callable[[list], list], most: int = CACHE):
         self.make, self.most, self.old = make, most, {}
 
+    def values_of(self, lists: list[list]) -> list[list]:
+        """The value of each key in each list; those not known are made at once."""
+        found = [list(map(self.get, keys)) for keys in lists]
+        gaps = [[k for k, v in enumerate(values) if v is None] for values in found]
+        if missing := {keys[k] for keys, places in zip(lists, gaps) for k in places}:
+            self.fill(missing)
+            for keys, values, places in zip(lists, found, gaps):
+                for k in places:
+                    values[k] = self[keys[k]]
+        return found
+
     def fill(self, keys: set) -> None:
-        """See that all `keys` are present; those not known are made at once."""
+        """See that all `keys` are present."""
         new = [k for k in keys if k not in self]
         if len(self) + len(new) > self.most:
             self.old = dict(self)
-            for k in [k for k in self if k not in keys]:
-                del self[k]
+            self.clear()
         old = self.old
         unknown = []
         for k in new:
@@ -252,9 +263,8 @@ class Bpe:
         for text in texts:
             parts = [text or ""] if self.parts is None or not text or "<|" not in text else self.parts.split(text)
             split.append([p if k % 2 else self._split(p) for k, p in enumerate(parts)])
-        self.cache.fill({w for parts in split for words in parts[::2] for w in words})
-        cache = self.cache
-        return [b"".join([b"".join([cache[w] for w in p]) if isinstance(p, list) else self.special[p].to_bytes(4, "little") for p in parts]) for parts in split]
+        packed = iter(self.cache.values_of([words for parts in split for words in parts[::2]]))
+        return [b"".join([b"".join(next(packed)) if isinstance(p, list) else self.special[p].to_bytes(4, "little") for p in parts]) for parts in split]
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, in groups of about a million characters."""

@@ -32,6 +32,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.array([1] + [int(_BASE)] * 64, np.uint64), dtype=np.uint64)
 MARKER = "▁"
 BYTE_COST = -20.0
+LONG = 64
 _WORD = re.compile(WORD)
 
 
@@ -54,9 +55,34 @@ class Counter:
         for n, found in by_length.items():
             found.sort()
             self.pieces[n] = (np.array([h for h, _ in found], np.uint64), np.array([s for _, s in found]))
+        self.by_hash = {(n, int(h)): float(s) for n, (keys, logs) in self.pieces.items() for h, s in zip(keys, logs)}
         self.known = Recent(self._pre_tokens)
 
+    def _alone(self, word: str) -> int:
+        """Tokens of one long word, whose later prefixes no other word shares."""
+        word = MARKER + word
+        prefix, scores, tokens = [0], [0.0], [0]
+        for d, c in enumerate(word, 1):
+            prefix.append((prefix[-1] * int(_BASE) + ord(c) + 1) % (1 << 64))
+            n_bytes = len(c.encode("utf-8", "surrogatepass"))
+            best, count = scores[-1] + BYTE_COST * n_bytes, tokens[-1] + n_bytes
+            for n in range(1, min(d, self.longest) + 1):
+                log = self.by_hash.get((n, (prefix[d] - prefix[d - n] * int(_POWERS[n])) % (1 << 64)))
+                if log is not None and scores[d - n] + log > best:
+                    best, count = scores[d - n] + log, tokens[d - n] + 1
+            scores.append(best)
+            tokens.append(count)
+        return tokens[-1]
+
     def _pre_tokens(self, words: list[str]) -> list[int]:
+        """Tokens of distinct words; those of over `LONG` characters are scored alone."""
+        short = self._trie([w for w in words if len(w) <= LONG])
+        if len(short) == len(words):
+            return short
+        rest = iter(short)
+        return [next(rest) if len(w) <= LONG else self._alone(w) for w in words]
+
+    def _trie(self, words: list[str]) -> list[int]:
         """Tokens of distinct words, by one trie of them all that grows a level, and so a character, at a time."""
         lengths = np.array([len(w) + 1 for w in words])
         order = np.argsort(-lengths, kind="stable")
@@ -102,10 +128,8 @@ class Counter:
                 size += len(texts[to] or "")
                 split.append(_WORD.findall(texts[to] or ""))
                 to += 1
-            self.known.fill({w for words in split for w in words})
-            known = self.known
-            for words in split:
-                yield len(words), sum([known[w] for w in words])
+            for counts in self.known.values_of(split):
+                yield len(counts), sum(counts)
             at = to
 
     def count(self, text: str | None) -> tuple[int, int]:
