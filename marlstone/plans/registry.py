@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from marlstone.plans import chunks, dedup, dialogue, graphs, retrieval, streams, telemetry, texts  # noqa: F401  they register their queries
+from marlstone.plans._base import QUERIES, SQL
+
 FLAGSHIP = "R8_hybrid_search"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
