@@ -180,12 +180,19 @@ class Page:
         return found
 
     def grown(self, region: tuple[int, int]) -> np.ndarray:
-        """The runs of the innermost element that encloses a region; of the region alone if that is the page or its body."""
+        """The runs of the innermost element that encloses a region; of the blocks it touches if that is the page or its body."""
         keep = np.zeros(len(self.kind), bool)
         keep[region[0] : region[1]] = True
         held = [self.node[k] for k in range(*region) if self.size[k] and self.kind[k] != BOILER]
         if not held:
             return keep
+        # Blocks that the region cuts are taken whole.
+        block = list(range(len(self.parent)))
+        for k in range(1, len(block)):
+            if self.tags[k] in INLINE:
+                block[k] = block[self.parent[k]]
+        touched = {block[x] for x in held}
+        keep |= np.array([block[x] in touched for x in self.node])
         top = held[0]
         for x in dict.fromkeys(held):
             while self.depth[top] > self.depth[x]:

@@ -12,7 +12,7 @@ only, and rows equal in all of these are interchangeable. Only the id, text and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm._common import distributed_rank, join_lookup, materialise, null_safe, uniform
@@ -30,11 +30,13 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     narrow = materialise(narrow, "rows").withColumn("_place", uniform(F.lit(1), F.col("draw")))
     counts = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n_source"))
+    # Each source starts at an offset of its own into its first step, or sources of few rows would all stand together; multiples of
+    # the golden ratio spread the offsets evenly. The number of sources is taken to fit one task.
+    place = F.row_number().over(Window.orderBy(F.col("n_source").desc(), "key"))
+    counts = counts.withColumn("offset", F.pmod(place * F.lit(0.6180339887498949), F.lit(1.0)))
     n = narrow.count()
     ranked = distributed_rank(narrow, ["key"], "_place", ["draw", F.col("id").asc_nulls_first(), "size"], n).drop("_place")
-    # Each source starts its own offset into its first step, or sources of one row would all stand in the middle.
-    offset = uniform(F.lit(seed), F.col("key"))
-    fraction = (F.col("rank") - 1 + offset) / F.col("n_source")
+    fraction = (F.col("rank") - 1 + F.col("offset")) / F.col("n_source")
     placed = join_lookup(ranked, counts, "key", F.col("draw")).withColumn("_fraction", fraction)
     ordered = distributed_rank(placed, [], "_fraction", ["key", "rank"], n, name="_position")
     position = F.col("_position") - 1
