@@ -56,7 +56,7 @@ def quality_score(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     trimmed = F.transform(lines, lambda s: F.length(F.trim(s)))
     short = F.size(F.filter(trimmed, lambda n: (n > 0) & (n < 3)))
-    sentences = F.filter(F.transform(F.split(text, "[。！？\\n]", -1), F.trim), lambda s: F.length(s) > 0)
+    sentences = F.filter(F.transform(F.split(text, "[。！？\\n]", -1), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
     mean_sentence = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.length(s)) / F.greatest(F.size(sentences), F.lit(1))
     paragraphs = F.filter(F.transform(F.split(text, "\n\n", -1), lambda p: F.regexp_replace(p, "\\s+", "")), lambda p: F.length(p) > 0)
     special = count_of(text, f"[^\\p{{L}}\\p{{N}}_\\s{CJK}　-〿＀-￯.,;:!?“”‘’（）—…·-]")

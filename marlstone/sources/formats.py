@@ -274,7 +274,7 @@ def feed_items(feed: Column) -> Column:
 def markdown_tables(text: Column) -> Column:
     """The tables of a Markdown text: an array of arrays of rows, each a string; separator rows left out."""
     runs = F.regexp_extract_all(text, F.lit("(?m)(?:^[ \\t]*\\|.*(?:\\n|\\z)){2,}"), F.lit(0))
-    return F.transform(runs, lambda r: F.filter(F.transform(F.split(r, "\n", -1), F.trim), lambda s: (F.length(s) > 0) & ~s.rlike("^[|:\\-\\s]+$")))
+    return F.transform(runs, lambda r: F.filter(F.transform(F.split(r, "\n", -1), lambda x: F.trim(x)), lambda s: (F.length(s) > 0) & ~s.rlike("^[|:\\-\\s]+$")))
 
 
 def write_partitioned(rows: DataFrame, path: str, key: str) -> None:
