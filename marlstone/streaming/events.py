@@ -32,26 +32,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -
     return by.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def running_last(events: DataFrame) -> DataFrame:
-    """The number of events and last type of each user so far, updated a micro-batch at a time, with expiring state."""
+def running_last(events: DataFrame, late: str = "2 days", keep_hours: int = 24) -> DataFrame:
+    """The number of events and last type of each user so far, updated a micro-batch at a time; a user's state goes once the watermark is `keep_hours` beyond the last event."""
 
     def step(key: tuple, rows: Iterator, state) -> Iterator:
         import pandas as pd
 
-        n, last, at = state.get if state.exists else (0, "", pd.Timestamp.min)
         if state.hasTimedOut:
             state.remove()
             return
+        n, last, at = state.get if state.exists else (0, "", 0)
         for part in rows:
             n += len(part)
             newest = part.loc[part["ts"].idxmax()]
-            if newest["ts"] >= at:
-                at, last = newest["ts"], newest["event_type"]
+            ms = int(newest["ts"].timestamp() * 1000)
+            if ms >= at:
+                at, last = ms, newest["event_type"]
         state.update((n, last, at))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + keep_hours * 3_600_000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_type": [last]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_type string", "n bigint, last string, at timestamp", "update", "ProcessingTimeTimeout")
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_type string", "n bigint, last string, at bigint", "update", "EventTimeTimeout")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
