@@ -137,7 +137,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*[F.col(f"item.row.`{c}`").alias(c) for c in carried], F.col("item.source").alias("mix_source"), F.col("item.size").alias("size"), F.col("item.source_size").alias("source_size"), F.col("item.target").alias("target"), copies.alias("copies"), (copies * F.col("item.size")).alias("taken"))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with each row repeated as often as the mix takes it (not at all, once, or up to three times)."""
-    mixed = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source"), keep=["doc"])
-    return mixed.filter("taken > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("doc.*")
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """`docs` with each row repeated as often as the mix takes it (not at all, once, or up to three times).
+
+    The mix works on narrow rows, known by a hash of id and text and, among rows equal in both, by a number; whole rows
+    are shuffled once, to meet their copies.
+    """
+    draw = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select("*", draw.alias("_draw"))
+    mixed = mix(keyed, id_col, text_col, source_col, keep=["_draw"], **options).select("_draw", "copies", "taken")
+    same = Window.partitionBy("_draw")
+    mixed = mixed.withColumn("_k", F.row_number().over(same.orderBy(F.desc("taken")))).filter("taken > 0").select("_draw", "_k", "copies")
+    rows = keyed.withColumn("_k", F.row_number().over(same.orderBy("_draw")))
+    return rows.join(mixed, ["_draw", "_k"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select([f"`{c}`" for c in docs.columns])
