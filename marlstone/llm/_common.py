@@ -29,9 +29,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 texts makes batches of tens of MB, held several times by JVM and Python.
+BATCH_ROWS = 1000
+
+
+def small_batches() -> None:
+    """Arrow batches of the active session get `BATCH_ROWS` rows at most."""
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def arrow_column(fn: Callable, schema: str) -> Callable[..., F.Column]:
     """`fn`, from batches of Arrow arrays to batches of Arrow arrays, as a column function; the session is asked for only when it is applied."""
-    return lambda *cols: F.arrow_udf(fn, schema)(*cols)
+
+    def apply(*cols) -> F.Column:
+        small_batches()
+        return F.arrow_udf(fn, schema)(*cols)
+
+    return apply
 
 
 def word_count(text) -> F.Column:
