@@ -306,13 +306,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = members.join(main, ["band", "key"]).withColumn("side", F.expr("int(comp = main)"))
     counts = sized.groupBy("band", "key", "main").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).filter("n0 > 0")
     g0, g1 = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n0", "n1"))
-    blocks = counts.select("band", "key", "main", "n0", g0.alias("g0"), g1.alias("g1"))
+    blocks = counts.select("band", "key", "main", g0.alias("g0"), g1.alias("g1"))
     dealt = members.join(blocks, ["band", "key"]).withColumn("side", F.expr("int(comp = main)"))
+    # Queries of one block meet each other in the first task in which they meet the other side; those of several blocks in tasks of their own.
     tasks = F.expr("""
-        CASE WHEN side = 1 THEN transform(sequence(0, g0 - 1), i -> named_struct('i', i, 'j', int(pmod(hash(rep), g1)), 'two', true))
+        CASE WHEN side = 1 THEN transform(sequence(0, g0 - 1), i -> named_struct('i', i, 'j', int(pmod(hash(rep), g1)), 'two', g0 > 1 OR int(pmod(hash(rep), g1)) > 0))
         ELSE concat(
-          transform(sequence(0, g1 - 1), j -> named_struct('i', int(pmod(hash(rep), g0)), 'j', j, 'two', true)),
-          if(n0 > 1, transform(sequence(0, g0 - 1), j -> named_struct('i', least(j, int(pmod(hash(rep), g0))), 'j', greatest(j, int(pmod(hash(rep), g0))), 'two', false)), array()))
+          transform(sequence(0, g1 - 1), j -> named_struct('i', int(pmod(hash(rep), g0)), 'j', j, 'two', g0 > 1 OR j > 0)),
+          if(g0 > 1, transform(sequence(0, g0 - 1), j -> named_struct('i', least(j, int(pmod(hash(rep), g0))), 'j', -1 - greatest(j, int(pmod(hash(rep), g0))), 'two', false)), array()))
         END""")
     dealt = dealt.select("band", "key", "rep", "comp", "side", F.explode(tasks).alias("t")).select(F.xxhash64("band", "key", "t").alias("task"), "band", "rep", "comp", "side", F.col("t.two").alias("two"))
     known = dealt.join(side, "rep")
