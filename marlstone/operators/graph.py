@@ -61,3 +61,26 @@ def drop_node(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[Data
     for end in ("source", "target"):
         edges = edges.join(gone.select(F.col("id").alias(end)), end, "left_anti")
     return nodes.join(gone, "id", "left_anti"), edges
+
+
+def tag_classes(items: DataFrame) -> DataFrame:
+    """Items (id, tags) with one set of tags each collapsed to one row: class_id (the least id), n (items), tags; items without tags have no class."""
+    return items.filter(F.size("tags") > 0).groupBy("tags").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+
+
+def tag_class_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes, a <= b, whose Jaccard similarity is at least `least`, with the items of each; a = b is a class of several items."""
+    each = classes.select("class_id", "n", F.size("tags").alias("m"), F.explode("tags").alias("tag"))
+    left, right = each.toDF("a", "n_a", "m_a", "tag"), each.toDF("b", "n_b", "m_b", "tag")
+    both = left.join(right, "tag").filter((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("n_a") > 1)))
+    k = both.groupBy("a", "b", "n_a", "n_b", "m_a", "m_b").agg(F.count(F.lit(1)).alias("k"))
+    s = F.col("k") / (F.col("m_a") + F.col("m_b") - F.col("k"))
+    return k.filter(s >= least).select("a", "b", "n_a", "n_b", F.round(s, 6).alias("similarity"))
+
+
+def tag_class_members(items: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each item's class and the number of other items that its class's pairs link it to."""
+    ends = pairs.select(F.col("a").alias("class_id"), F.when(F.col("a") == F.col("b"), F.col("n_b") - 1).otherwise(F.col("n_b")).alias("n"))
+    ends = ends.unionByName(pairs.filter("a < b").select(F.col("b").alias("class_id"), F.col("n_a").alias("n")))
+    links = ends.groupBy("class_id").agg(F.sum("n").alias("links"))
+    return items.join(classes.select("tags", "class_id"), "tags").join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

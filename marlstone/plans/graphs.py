@@ -131,7 +131,7 @@ def visible_subgraph(t):
 n AS (SELECT id, count(DISTINCT tag) AS n FROM tag GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM tag a JOIN tag b ON a.tag = b.tag AND a.p_brand = b.p_brand AND a.id < b.id GROUP BY 1, 2)
 SELECT c.a, c.b, round(k / (x.n + y.n - k), 6) AS similarity FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE k / (x.n + y.n - k) >= 0.2""")
 def tag_overlap_pairs(t):
-    """Parts of one brand whose tags overlap; the brand is the blocking key, so no pair is formed across brands."""
+    """Parts of one brand whose tags overlap, as the SQL says: no pair across brands. J7_tag_overlap_classes has the pairs of all brands."""
     tags = F.array_distinct(F.concat(F.split("p_type", " "), F.array("p_brand")))
     p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), tags.alias("tags"))
     each = p.select("id", "brand", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
@@ -142,6 +142,29 @@ def tag_overlap_pairs(t):
     return counted.filter(s >= 0.2).select("a", "b", F.round(s, 6).alias("similarity"))
 
 
+_TAG_CLASSES = """tag AS (SELECT p_partkey AS id, list_sort(list_distinct(list_append(string_split(p_type, ' '), p_brand))) AS tags FROM part),
+c AS (SELECT min(id) AS id, count(*) AS n, tags FROM tag WHERE len(tags) > 0 GROUP BY tags)"""
+
+
+def _tags(t):
+    tags = F.concat(F.coalesce(F.split("p_type", " "), F.array().cast("array<string>")), F.array("p_brand"))
+    return t("part").select(F.col("p_partkey").alias("id"), F.array_sort(F.array_distinct(F.array_compact(tags))).alias("tags"))
+
+
+@query("J7_tag_overlap_classes", f"""WITH {_TAG_CLASSES} SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS similarity
+FROM c a JOIN c b ON a.id < b.id OR (a.id = b.id AND a.n > 1) WHERE len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) >= 0.2""")
+def tag_overlap_classes(t):
+    """All pairs of parts, of all brands, as pairs of classes of equal tags; J7_tag_overlap_members has the members."""
+    return G.tag_class_pairs(G.tag_classes(_tags(t)), 0.2)
+
+
+@query("J7_tag_overlap_members", f"""WITH {_TAG_CLASSES} SELECT x.id, c.id AS class_id, (SELECT count(*) FROM tag y WHERE y.id <> x.id AND len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags))) >= 0.2) AS links FROM tag x JOIN c ON c.tags = x.tags""")
+def tag_overlap_members(t):
+    items = _tags(t)
+    classes = G.tag_classes(items)
+    return G.tag_class_members(items, classes, G.tag_class_pairs(classes, 0.2))
+
+
 @query("F9_similar_labels", "WITH n AS (SELECT n_nationkey AS id, n_name AS label, list_distinct(string_split(lower(n_name), '')) AS c FROM nation) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 3) AS similarity FROM n a JOIN n b ON a.id < b.id WHERE len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) > 0.3")
 def similar_labels(t):
     """All pairs of nations, a table of fixed size."""
