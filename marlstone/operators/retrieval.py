@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +71,57 @@ def vector_search(vectors: DataFrame, query: list[float], id_col: str, vec_col:
     return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 
 
+def vector_neighbours(vectors: DataFrame, id_col: str, vec_col: str, least: float, block: int = 16384, strip: int = 256) -> DataFrame:
+    """id and neighbours of every vector: the ids of all other vectors at a cosine of at least `least`, ascending.
+
+    Exact: the vectors are dealt into blocks of about `block` rows, and every two blocks meet in one task, a strip of rows at
+    a time. A zero vector has no neighbours. The time is that of all pairs."""
+    kind = np.float32 if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if kind is np.float32 else "array<double>").alias("v"))
+    n_blocks = max(1, -(-rows.count() // block))
+
+    def pack(group: pa.Table) -> pa.Table:
+        ids = np.ascontiguousarray(group["id"].to_numpy(), np.int64)
+        values = np.ascontiguousarray(group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), kind)
+        if len(values) % len(ids) or len(set(map(len, group["v"]))) > 1:
+            raise ValueError("vectors of different lengths")
+        return pa.table({"i": group["i"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vs": pa.array([values.tobytes()], pa.binary())})
+
+    def lists(ids: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")
+        each, starts = np.unique(ids[order], return_index=True)
+        near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(others[order], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), near], ["id", "near"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for _, ids, vs in sorted((r["i"], r["ids"], r["vs"]) for b in batches for r in b.to_pylist()):
+            ids = np.frombuffer(ids, np.int64)
+            vs = np.frombuffer(vs, kind).reshape(len(ids), -1).astype(np.float64)
+            size = np.linalg.norm(vs, axis=1, keepdims=True)
+            sides.append((ids, np.divide(vs, size, out=np.zeros_like(vs), where=size > 0)))
+        (a, x), (b, y) = sides[0], sides[-1]
+        for at in range(0, len(a), strip):
+            left, right = np.nonzero(x[at : at + strip] @ y.T >= least)
+            left += at
+            if len(sides) == 1:  # a block and itself: both directions are found as they are
+                other = left != right
+                if other.any():
+                    yield lists(a[left[other]], a[right[other]])
+            elif len(left):
+                yield lists(a[left], b[right])
+                yield lists(b[right], a[left])
+
+    packed = rows.filter("v IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("i").applyInArrow(pack, "i int, ids binary, vs binary")
+    pairs = packed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("j")
+    # A block without rows leaves its partners' groups with one side.
+    whole = packed.select(F.col("i").alias("other"))
+    pairs = pairs.withColumn("other", F.col("lo") + F.col("hi") - F.col("i")).join(whole, "other", "left_semi").drop("other")
+    near = pairs.groupBy("lo", "hi").applyInArrow(meet, "id bigint, near array<bigint>")
+    found = near.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("neighbours"))
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+
+
 def rrf(lists: list[tuple[str, DataFrame, float]], k: float = RRF_K) -> DataFrame:
     """Fuses ranked lists (name, rows with id and rank, weight): score = sum of weight / (k + rank), and the sources sorted by name."""
     parts = None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
 from marlstone.operators import chunking as C
+from marlstone.operators import retrieval as R
 from marlstone.plans._base import query
 from marlstone.sources import formats as S
 
@@ -19,13 +20,20 @@ from marlstone.sources import formats as S
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 = 0
 WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.6""")
 def embedding_neighbours(t):
-    """Vectors of one knowledge base close to a query vector; the queries are every twentieth vector, a stated query set."""
+    """Of every twentieth vector, the later neighbours of its label, as the SQL says; J9_embedding_links has all vectors' neighbours."""
     e = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("q"))
     s = V.cosine(F.col("q"), F.col("v"))
     return e.join(q, "label").filter(F.col("a") < F.col("vec_id")).withColumn("s", s).filter("s >= 0.6").select("a", F.col("vec_id").alias("b"), F.round("s", 6).alias("similarity"))
 
 
+@query("J9_embedding_links", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.6 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) AND list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) > 0)
+SELECT e.vec_id AS id, coalesce(list(p.b ORDER BY p.b) FILTER (p.b IS NOT NULL), []) AS neighbours FROM e LEFT JOIN p ON p.a = e.vec_id GROUP BY e.vec_id""")
+def embedding_links(t):
+    """The whole self-join, over all vectors, labels and directions."""
+    return R.vector_neighbours(t("embeddings"), "vec_id", "embedding", 0.6)
+
+
 _LINKS = """l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS title FROM pages)"""
 
 
