@@ -118,10 +118,21 @@ def entity_merge(t):
     return e.groupBy("name").agg(F.min_by("source", "p").alias("source"), F.count(F.lit(1)).alias("n"))
 
 
+def _distinct_links(pages, most: int | None = None):
+    """page_id and u: each distinct link of a page once; only the first `most` by place, if given (the reference has 8, or 12 for evidence)."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    return pages.select("page_id", F.explode(links if most is None else F.slice(links, 1, most)).alias("u"))
+
+
 @query("U13_image_dedup", "WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS p FROM pages), d AS (SELECT page_id, u, min(p) AS p FROM i GROUP BY page_id, u) SELECT page_id, u FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY p) <= 3")
 def image_dedup(t):
-    links = F.slice(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))), 1, 3)
-    return t("pages").select("page_id", F.explode(links).alias("u"))
+    """The first three links of a page, as the SQL says; U13_image_dedup_all has all."""
+    return _distinct_links(t("pages"), 3)
+
+
+@query("U13_image_dedup_all", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u FROM pages")
+def image_dedup_all(t):
+    return _distinct_links(t("pages"))
 
 
 @query("F13_overlap_cosine", r"WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), q AS (SELECT w AS q FROM w WHERE item_id = (SELECT min(item_id) FROM benchmark)) SELECT item_id, round(len(list_intersect(w, q)) / sqrt(len(w) * len(q)), 6) AS overlap FROM w, q WHERE len(w) > 0")

@@ -3,6 +3,7 @@
 import numpy as np
 
 from marlstone.operators import graph, retrieval
+from marlstone.plans import pages
 
 
 def test_tag_pairs_of_all_brands(spark):
@@ -26,3 +27,11 @@ def test_all_vector_neighbours(spark):
     for block in (1000, 7):
         got = retrieval.vector_neighbours(table, "id", "v", 0.6, block, strip=3).collect()
         assert {r.id: r.neighbours for r in got} == want and len(got) == 60
+
+
+def test_all_links_of_a_page(spark):
+    html = "".join(f'<a href="/{k % 13}">x</a>' for k in range(30))
+    table = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+    every = [f"/{k}" for k in range(13)]
+    assert [r.u for r in pages.image_dedup_all(lambda name: table).collect()] == every
+    assert [r.u for r in pages._distinct_links(table, 8).collect()] == every[:8]
