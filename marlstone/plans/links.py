@@ -157,7 +157,7 @@ def chapter_chunks(t):
 
 @query("C5_code_chunks")
 def code_chunks(t):
-    return C.chunk_with(t("documents"), "doc_id", "text", C.code_chunks)
+    return C.chunk_with(t("documents"), "doc_id", "text", C.code_texts)
 
 
 @query("C6_table_chunks")

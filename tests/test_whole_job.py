@@ -3,7 +3,7 @@
 import numpy as np
 
 from marlstone.llm import pii
-from marlstone.operators import graph, retrieval
+from marlstone.operators import chunking, graph, retrieval
 from marlstone.plans import pages
 
 
@@ -62,3 +62,12 @@ def test_messages_run_until_they_settle():
         backward[-1] /= backward[-1].sum()
     want = np.log([f * b * np.exp(u) for f, b, u in zip(forward, reversed(backward), unary)])
     assert np.abs((got - got[:, :1]) - (want - want[:, :1])).max() < 1e-3
+
+
+def test_prose_beside_tables_and_code_is_kept(spark):
+    assert chunking.table_chunks("before\n\n| a | b |\n|---|---|\n| 1 | 2 |\nbetween\n| no | separator |\n| 3 | 4 |\nafter") == ["before", "| a | b |\n|---|---|\n| 1 | 2 |", "between", "| no | separator |\n| 3 | 4 |", "after"]
+    assert chunking.table_chunks("only prose") == chunking.code_texts("only prose") == ["only prose"]
+    assert chunking.table_chunks("") == chunking.code_texts(" \n") == []
+    assert chunking.code_texts("before\n```py\nx = 1\ndef f():\n  pass\n```\nafter\n```sh\n```\n```js\nopen") == ["before", "```py\nx = 1\n```", "```py\ndef f():\n  pass\n```", "after", "```sh\n\n```", "```js\nopen\n```"]
+    docs = spark.createDataFrame([(1, "a\n```py\nx\n```"), (2, "b")], "id bigint, text string")
+    assert [(r.id, r.content) for r in chunking.chunk_with(docs, "id", "text", chunking.code_texts).orderBy("id", "chunk_index").collect()] == [(1, "a"), (1, "```py\nx\n```"), (2, "b")]
