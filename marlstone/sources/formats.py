@@ -30,14 +30,14 @@ def decode(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-def markdown_table(rows: list[list[str]], most: int = 1000) -> str:
-    """Rows as a Markdown table, the first the header: short rows are padded, pipes escaped, rows beyond `most` left out."""
+def markdown_table(rows: list[list[str]], most: int | None = None) -> str:
+    """Rows as a Markdown table, the first the header: short rows are padded, pipes escaped; rows beyond `most`, if given, are left out."""
     rows = [[str(c).replace("|", "\\|").replace("\n", " ").strip() for c in r] for r in rows if r]
     if not rows:
         return ""
     width = max(map(len, rows))
     line = lambda r: "| " + " | ".join(r + [""] * (width - len(r))) + " |"
-    return "\n".join([line(rows[0]), line(["---"] * width), *map(line, rows[1 : most + 1])])
+    return "\n".join([line(rows[0]), line(["---"] * width), *map(line, rows[1 : None if most is None else most + 1])])
 
 
 def csv_markdown(data: bytes) -> str:
