@@ -122,6 +122,57 @@ def vector_neighbours(vectors: DataFrame, id_col: str, vec_col: str, least: floa
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
+def _shingle_keys(text: str, sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(size, key) of each window of `size` characters, once: a window's key is the least hash of its shingles of half that size, so equal windows have equal keys in any text."""
+    if 0 in sizes:
+        yield 0, 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    h, q = (codes + np.uint64(1)) * factor, 1
+    for size in (1, 2, 4, 8, 16, 32, 64):
+        if len(codes) < size:
+            return
+        if size > 2:
+            h = (h[: len(h) - q] ^ (h[: len(h) - q] >> np.uint64(29))) * factor + h[q:]
+            q *= 2
+        if size in sizes:
+            least = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            least ^= least >> np.uint64(32)
+            # The least of q + 1 neighbours, by doubling.
+            for step in [] if size == 1 else [*(1 << k for k in range(q.bit_length() - 1)), 1]:
+                least = np.minimum(least[: len(least) - step], least[step:])
+            for key in np.unique(least.view(np.int64)).tolist():
+                yield size, key
+
+
+def containing(docs: DataFrame, passages: DataFrame, doc_col: str, passage_col: str, text_col: str = "text") -> DataFrame:
+    """All (doc, passage) ids of documents whose text contains a passage, as characters; both tables have a text column `text_col`.
+
+    A passage is joined by the key of its first characters, as many as a power of two up to 64, which every text around it has."""
+
+    def keys(first: list[int] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 200):
+                    rows = ([], [], [])
+                    for i, t in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist()):
+                        size = min(64, 1 << len(t).bit_length() - 1) if t else 0
+                        for row in _shingle_keys(t, first) if first is not None else _shingle_keys(t[:size], [size]):
+                            for column, x in zip(rows, (i, *row)):
+                                column.append(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], ["id", "size", "key"])
+
+        return run
+
+    rows = lambda df, i: df.filter(F.col(i).isNotNull() & F.col(text_col).isNotNull()).select(F.col(i).cast("long"), F.col(text_col))
+    heads = rows(passages, passage_col).mapInArrow(keys(None), "id bigint, size int, key bigint").withColumnRenamed("id", "passage")
+    sizes = [r["size"] for r in heads.select("size").distinct().collect()]  # eight at most
+    found = rows(docs, doc_col).mapInArrow(keys(sizes), "id bigint, size int, key bigint").withColumnRenamed("id", "doc")
+    pairs = found.join(heads, ["size", "key"]).select("doc", "passage").distinct()
+    texts = rows(docs, doc_col).toDF("doc", "text").join(pairs, "doc")
+    return texts.join(rows(passages, passage_col).toDF("passage", "part"), "passage").filter(F.contains("text", "part")).select("doc", "passage").distinct()
+
+
 def rrf(lists: list[tuple[str, DataFrame, float]], k: float = RRF_K) -> DataFrame:
     """Fuses ranked lists (name, rows with id and rank, weight): score = sum of weight / (k + rank), and the sources sorted by name."""
     parts = None

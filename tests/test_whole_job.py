@@ -87,3 +87,12 @@ def test_readers_keep_all_rows():
         z.writestr("xl/worksheets/sheet1.xml", "<s>" + "".join(f"<row><c><v>{k}</v></c></row>" for k in range(n)) + "</s>")
     assert formats.convert("a.xlsx", sheet.getvalue()).endswith(f"| {n - 1} |")
     assert formats.markdown_table([["a"], ["1"], ["2"]], 1) == "| a |\n| --- |\n| 1 |"
+
+
+def test_contained_passages_are_found_behind_any_character(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    passages = {1: long, 2: "short one", 3: "end here", 4: "x", 5: "", 6: "中文 passage of some words", 7: "not there at all", 8: None}
+    texts = {1: f'a "{long}" b', 2: "a (short one), then", 3: "so end here.", 4: "axb", 5: "[中文 passage of some words]", 6: "", 7: None, 8: long[1:], 9: "z" * 500 + long + "z" * 500}
+    table = lambda rows: spark.createDataFrame(list(rows.items()), "id bigint, text string")
+    got = {(r.doc, r.passage) for r in retrieval.containing(table(texts), table(passages), "id", "id").collect()}
+    assert got == {(d, p) for d, t in texts.items() for p, s in passages.items() if t is not None and s is not None and s in t}
