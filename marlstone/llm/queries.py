@@ -30,7 +30,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.digest_shards(_documents(spark, sf_dir))
+    return token_shards.digest_shards(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Training-order materialisation: sequences of token ids in fixed-stride binary shards.
 
-Token ids are cut into sequences of `SEQUENCE` ids; the query takes a text's UTF-8 bytes as its ids, one byte each, and
-token columns of any width go through `pack`. Sequences get dense numbers from counted hash buckets, and a keyed
-Feistel permutation with cycle-walking turns each number into its global slot: a bijection of 0 to n - 1, known from
-the key alone, so a reader can find any sequence and resume anywhere. Slots are range partitioned into shards, shard by
-shard in slot order, and each record has one stride, so slot s is at byte (s mod shard_slots) * STRIDE of shard
-s div shard_slots.
+Texts are encoded once, and their ids, cut into sequences of `SEQUENCE`, take two bytes each where the vocabulary allows
+it. Sequences get dense numbers from counted hash buckets, and a keyed Feistel permutation with cycle-walking turns each
+number into its global slot: a bijection of 0 to n - 1, known from the key alone, so a reader can find any sequence and
+resume anywhere. Slots are range partitioned into shards of `SHARD_SLOTS`, and each shard is written in slot order as
+files of `FILE_SLOTS` records of one stride: slot s is in file (s mod SHARD_SLOTS) div FILE_SLOTS of shard
+s div SHARD_SLOTS, at byte (s mod FILE_SLOTS) * stride.
 
 A record is doc_id (8 bytes, big-endian), the sequence's number within the document (4), its count of ids (4), the ids,
 zeros up to the stride, and a line feed as a trailer; Spark's own text sink writes such records as they are, with its
-commit protocol, to any file system, and `read_records` finds them by offset.
+commit protocol, to any file system; `stored_records` reads them through Spark, `read_records` from bytes.
 
 Defined cases: a null or empty text has no sequence; a null id is stored as -1; rows with equal ids are separate
 documents; an empty table gives an empty result. The numbers depend on ids and texts only, so a rerun gives every
@@ -22,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import arrow_column, materialise, uniform
+from marlstone.llm import bpe
+from marlstone.llm._common import Scratch, arrow_column, materialise, uniform
 
 SEQUENCE = 512
 HEADER = 16
 KEY = 0x5DEECE66D
 FEISTEL_ROUNDS = 6
-SHARD_SLOTS = 16_384
+SHARD_SLOTS = 262_144
+FILE_SLOTS = 32_768
 
 
 def _mix(x: np.ndarray, k: np.uint64) -> np.ndarray:
@@ -88,21 +90,34 @@ def _pack_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]
 pack = arrow_column(_pack_batches, "binary")
 
 
-def sequences(docs: DataFrame, id_col: str, data: F.Column, width: int = 1, length: int = SEQUENCE, key: int = KEY, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def token_ids(path: str):
+    """text -> its ids under a vocabulary of at most 65,536 tokens, as little-endian unsigned 16-bit integers."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = bpe.load(path)
+        for texts in batches:
+            yield pa.array([np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in encoder.encode_many(texts.to_pylist())], pa.binary())
+
+    if len(bpe.load(path).tokens) > 1 << 16:
+        raise ValueError(f"{path} has more tokens than two bytes can tell")
+    return arrow_column(run, "binary")
+
+
+def sequences(docs: DataFrame, id_col: str, data: F.Column, width: int = 1, length: int = SEQUENCE, key: int = KEY, shard_slots: int = SHARD_SLOTS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, seq, n_tokens, slot, shard, shard_offset and record of each sequence; data: the ids' bytes, `width` an id."""
     size = length * width
     stride = HEADER + size + 1
+    keep = scratch.table if scratch else materialise
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), data.alias("data")).filter("octet_length(data) > 0")
-    rows = rows.withColumn("n_seq", F.ceil(F.octet_length("data") / size).cast("long")).withColumn("draw", F.xxhash64("doc_id", "data"))
-    # Documents are ranked in narrow rows; one ordinary number is the bytes' hash, another the id.
-    narrow = materialise(rows.select("doc_id", "draw", "n_seq"), "sequences")
-    totals = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_seq"), F.lit(0))).first()
+    # The ids are made once; what follows reads them from the shared folder.
+    rows = keep(rows.withColumn("n_seq", F.ceil(F.octet_length("data") / size).cast("long")).withColumn("draw", F.xxhash64("doc_id", "data")), "ids")
+    totals = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_seq"), F.lit(0))).first()
     n_docs, n = int(totals[0]), int(totals[1])
-    numbered = _numbered(rows.withColumn("_place", uniform("draw")), narrow.withColumn("_place", uniform("draw")), n_docs)
+    numbered = _numbered(rows.withColumn("_place", uniform("draw")), n_docs)
     cut = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_seq") - 1), lambda k: F.struct(k.cast("int").alias("seq"), F.substring("data", (k * size + 1).cast("int"), F.lit(size)).alias("ids"))))
     parts = numbered.select("doc_id", "first", cut.alias("s")).select("doc_id", (F.col("first") + F.col("s.seq")).alias("number"), "s.*")
     slot = slots_of("number", F.lit(max(n, 1)), F.lit(key))
-    placed = parts.withColumn("slot", slot).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
+    placed = parts.select("doc_id", "seq", "ids", slot.alias("slot")).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
     ranged = placed.repartitionById(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot")
     n_tokens = (F.octet_length("ids") / width).cast("int")
     head = F.expr("concat(unhex(lpad(hex(doc_id), 16, '0')), unhex(lpad(hex(seq), 8, '0')))")
@@ -110,11 +125,11 @@ def sequences(docs: DataFrame, id_col: str, data: F.Column, width: int = 1, leng
     return ranged.select("doc_id", "seq", n_tokens.alias("n_tokens"), "slot", "shard", (F.pmod("slot", F.lit(shard_slots)) * stride).cast("long").alias("shard_offset"), record.alias("record"))
 
 
-def _numbered(rows: DataFrame, narrow: DataFrame, n_docs: int, per_bucket: int = 2048) -> DataFrame:
+def _numbered(rows: DataFrame, n_docs: int, per_bucket: int = 2048) -> DataFrame:
     """`rows` with `first`: the number of sequences of all rows before, in the order of (_place, draw, doc_id)."""
     buckets = max(1, -(-n_docs // per_bucket))
     bucket = F.least(F.floor(F.col("_place") * buckets), F.lit(buckets - 1)).cast("long")
-    sums = narrow.groupBy(bucket.alias("_bucket")).agg(F.sum("n_seq").alias("_n"))
+    sums = rows.groupBy(bucket.alias("_bucket")).agg(F.sum("n_seq").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_bucket").orderBy("_place", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,9 +137,27 @@ def _numbered(rows: DataFrame, narrow: DataFrame, n_docs: int, per_bucket: int =
     return inside.join(offsets, "_bucket").withColumn("first", F.col("_before") + F.col("_inside"))
 
 
-def write_shards(placed: DataFrame, path: str) -> None:
-    """One file a shard, in slot order; a lost task is run again and its file committed once."""
-    placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+def write_shards(placed: DataFrame, path: str, file_slots: int = FILE_SLOTS) -> None:
+    """One task a shard, in slot order, as files of `file_slots` records; a lost task is run again and its files committed once."""
+    placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_slots).text(path)
+
+
+def stored_records(spark: SparkSession, path: str, length: int = SEQUENCE, width: int = 1, shard_slots: int = SHARD_SLOTS, file_slots: int = FILE_SLOTS) -> DataFrame:
+    """doc_id, seq, n_tokens, slot, shard, shard_offset, record of every record of the shards under `path`, read from their files.
+
+    A file's name tells its shard (the task that wrote it) and its number in it."""
+    stride = HEADER + length * width + 1
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
+    named = files.filter("length > 0").select(number(r"part-(\d+)-[^/]*$").alias("shard"), number(r"-c(\d+)\.[^/]*$").alias("file"), (F.col("length") / stride).cast("int").alias("n"), "content")
+    each = named.select("shard", "file", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    at = (F.col("file") * file_slots + F.col("k")).cast("long")
+    cut = each.select("shard", at.alias("at"), F.substring("content", F.col("k") * stride + 1, F.lit(stride - 1)).alias("record"))
+    signed = lambda start, size: F.conv(F.hex(F.substring("record", start, size)), 16, -10)
+    return cut.select(
+        signed(1, 8).cast("long").alias("doc_id"), signed(9, 4).cast("int").alias("seq"), signed(13, 4).cast("int").alias("n_tokens"),
+        (F.col("shard").cast("long") * shard_slots + F.col("at")).alias("slot"), "shard", (F.col("at") * stride).alias("shard_offset"), "record",
+    )
 
 
 def read_records(data: bytes, first: int, count: int, length: int = SEQUENCE, width: int = 1) -> list[tuple[int, int, bytes]]:
@@ -143,7 +176,12 @@ def text_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return sequences(docs, id_col, F.col(text_col).cast("binary"), **options)
 
 
-def digest_shards(docs: DataFrame) -> DataFrame:
-    """Every sequence with its slot and place, and the digest of its whole record."""
-    placed = text_sequences(docs)
-    return placed.select("doc_id", "seq", "n_tokens", "slot", "shard", "shard_offset", F.octet_length("record").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
+def digest_shards(docs: DataFrame, path: str, text_col: str = "text", **options) -> DataFrame:
+    """Writes the shards of texts encoded with a vocabulary file, and gives every record read back from them: its slot and
+    place, and the digest of the whole record. The shards stay in the shared folder, as the result reads them."""
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        out = f"{scratch.folder}-shards"
+        write_shards(sequences(docs, "doc_id", token_ids(path)(F.coalesce(F.col(text_col), F.lit(""))), width=2, scratch=scratch, **options), out)
+    found = stored_records(spark, out, width=2)
+    return found.select("doc_id", "seq", "n_tokens", "slot", "shard", "shard_offset", F.octet_length("record").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
