@@ -4,7 +4,8 @@ A pre-token is the word marker and a word. Its best segmentation under a unigram
 best score of a prefix follows from the best scores of its shorter prefixes. The prefixes of all pre-tokens form a trie,
 and each node's forward score is computed once, when the first pre-token with that prefix is inserted; the node where a
 pre-token ends holds its count of tokens. A trie takes the distinct words of about a million characters of text that a
-bounded cache of recent words doesn't have; all nodes of one depth are scored at once.
+bounded cache of recent words doesn't have; all nodes of one depth are scored at once. Words of over `LONG` characters,
+whose branches hardly share a depth, make a trie that is walked depth first, one branch's scores on a stack.
 
 The pieces come from a SentencePiece model file, a parameter. As that file's scores only order the pieces, a piece of
 rank r gets the Zipf log-probability -ln(r + 2.7). A character without a piece costs a token for each of its bytes.
@@ -19,6 +20,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -58,29 +60,34 @@ class Counter:
         self.by_hash = {(n, int(h)): float(s) for n, (keys, logs) in self.pieces.items() for h, s in zip(keys, logs)}
         self.known = Recent(self._pre_tokens)
 
-    def _alone(self, word: str) -> int:
-        """Tokens of one long word, whose later prefixes no other word shares."""
-        word = MARKER + word
+    def _deep(self, words: list[str]) -> list[int]:
+        """Tokens of distinct words by a trie that is walked depth first: in order of the words, each keeps the scores of
+        the prefix that it shares with the word before."""
+        out, last = [0] * len(words), ""
         prefix, scores, tokens = [0], [0.0], [0]
-        for d, c in enumerate(word, 1):
-            prefix.append((prefix[-1] * int(_BASE) + ord(c) + 1) % (1 << 64))
-            n_bytes = len(c.encode("utf-8", "surrogatepass"))
-            best, count = scores[-1] + BYTE_COST * n_bytes, tokens[-1] + n_bytes
-            for n in range(1, min(d, self.longest) + 1):
-                log = self.by_hash.get((n, (prefix[d] - prefix[d - n] * int(_POWERS[n])) % (1 << 64)))
-                if log is not None and scores[d - n] + log > best:
-                    best, count = scores[d - n] + log, tokens[d - n] + 1
-            scores.append(best)
-            tokens.append(count)
-        return tokens[-1]
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            word = MARKER + words[k]
+            shared = len(commonprefix([last, word]))
+            for stack in (prefix, scores, tokens):
+                del stack[shared + 1 :]
+            for d, c in enumerate(word[shared:], shared + 1):
+                prefix.append((prefix[-1] * int(_BASE) + ord(c) + 1) % (1 << 64))
+                n_bytes = len(c.encode("utf-8", "surrogatepass"))
+                best, count = scores[-1] + BYTE_COST * n_bytes, tokens[-1] + n_bytes
+                for n in range(1, min(d, self.longest) + 1):
+                    log = self.by_hash.get((n, (prefix[d] - prefix[d - n] * int(_POWERS[n])) % (1 << 64)))
+                    if log is not None and scores[d - n] + log > best:
+                        best, count = scores[d - n] + log, tokens[d - n] + 1
+                scores.append(best)
+                tokens.append(count)
+            out[k], last = tokens[-1], word
+        return out
 
     def _pre_tokens(self, words: list[str]) -> list[int]:
-        """Tokens of distinct words; those of over `LONG` characters are scored alone."""
-        short = self._trie([w for w in words if len(w) <= LONG])
-        if len(short) == len(words):
-            return short
-        rest = iter(short)
-        return [next(rest) if len(w) <= LONG else self._alone(w) for w in words]
+        """Tokens of distinct words, from the trie of short ones and the trie of those of over `LONG` characters."""
+        short = iter(self._trie([w for w in words if len(w) <= LONG]))
+        long = iter(self._deep([w for w in words if len(w) > LONG]))
+        return [next(short) if len(w) <= LONG else next(long) for w in words]
 
     def _trie(self, words: list[str]) -> list[int]:
         """Tokens of distinct words, by one trie of them all that grows a level, and so a character, at a time."""
