@@ -1,7 +1,8 @@
 """Words, lines and shingles of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 A slice of a batch holds about `SLICE` bytes (or one text, if that is longer), so memory follows the slice and not
-the batch. Hashes have 64 bits and depend on the bytes only, so every process gets the same ones.
+the batch. Hashes have 64 bits and depend on the bytes only, so every process gets the same ones. A range of up to
+`SHORT` bytes is hashed eight bytes at a time, each step a bijection of the hash and of the bytes; a longer one by XXH3.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 18
+SHORT = 32
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GRAM = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], _U)
@@ -31,21 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODE = mix(np.arange(1, 257, dtype=_U))
-_FOLDED = _CODE.copy()
-_FOLDED[65:91] = _CODE[97:123]
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, for positions 0 to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE + 1)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, b, _U)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=_U)
-    return _powers
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+_LENGTH, _STEP = _U(0x632BE59BD9B4E019), _U(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -58,7 +48,7 @@ class Texts:
     def __post_init__(self):
         self.n = len(self.offsets) - 1
         self.space = _SPACE[self.data]
-        self._sums: dict[bool, np.ndarray] = {}
+        self._padded: dict[bool, bytes] = {}
 
     def _edges(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs of bytes not in `out`, none across two texts."""
@@ -77,13 +67,22 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
         """Of the byte ranges; fold: A-Z count as a-z."""
-        power, inverse = _tables(len(self.data))
-        if fold not in self._sums:
-            sums = np.zeros(len(self.data) + 1, _U)
-            np.cumsum((_FOLDED if fold else _CODE)[self.data] * power[: len(self.data)], dtype=_U, out=sums[1:])
-            self._sums[fold] = sums
-        sums = self._sums[fold]
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0x632BE59BD9B4E019))
+        if fold not in self._padded:
+            self._padded[fold] = (_FOLDED[self.data] if fold else self.data).tobytes() + bytes(8)
+        padded = self._padded[fold]
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        n = ends - starts
+        h = mix(n.astype(_U) * _LENGTH + _STEP)
+        left = np.flatnonzero((n > 0) & (n <= SHORT))
+        for at in range(0, SHORT, 8):
+            left = left[n[left] > at]
+            if not len(left):
+                break
+            h[left] = mix(h[left] * _STEP ^ eight[starts[left] + at] & _MASK[np.minimum(n[left] - at, 8)])
+        long = np.flatnonzero(n > SHORT)
+        view = memoryview(padded)
+        h[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        return h
 
     def words(self, fold: bool) -> tuple[np.ndarray, np.ndarray]:
         """The text each word is in, and the word's hash, in order."""
