@@ -14,19 +14,51 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors. A folder of this machine serves only where the session names none."""
+    """The folder shared by driver and executors. A folder of this machine serves only where nothing else runs: in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder. On leaving the `with` block all go but those made by `last`, which the result reads.
+
+    What is dropped has no reader left, so nothing that a lost executor could force to run again needs it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch_dir(spark)}/marlstone/{uuid.uuid4().hex}"
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """Write `df` once and read it back: cuts lineage, and what follows may read it many times."""
+        return self._write(df, f"{self.folder}/{label}-{uuid.uuid4().hex}")
+
+    def last(self, df: DataFrame, label: str) -> DataFrame:
+        return self._write(df, f"{self.folder}-{label}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.drop()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: cuts lineage, and what follows may read it many times."""
-    path = f"{scratch_dir(df.sparkSession)}/marlstone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One table of its own that stays, for a result that reads it."""
+    return Scratch(df.sparkSession).last(df, label)
 
 
 #: Rows of an Arrow batch. Spark's default of 10,000 texts makes batches of tens of MB, held several times by JVM and Python.
@@ -64,27 +96,38 @@ def uniform(*cols) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread, salts: int = 32) -> DataFrame:
-    """Left join on `key` where a few keys may hold most rows of `big`.
+#: A join's key is hot if it has more rows than `SALTED_ROWS` and than the `HOT_KEYS`-th part of all; so at most HOT_KEYS keys are.
+HOT_KEYS, SALTED_ROWS = 2000, 20_000
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], spread, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join of `big` with `small`, which has one row a key, where a few keys may hold most rows of `big`.
 
-    Rows of `big` with one key are dealt to `salts` partitions by `spread`; `small`, which has one row
-    a key, is copied once for each salt. Nothing is broadcast unless Spark sees at run time that it is small.
+    counts: keys and n, the rows of `big` with them; counted if None. The numbers of salts of the hot keys, at most HOT_KEYS
+    rows, are broadcast; rows of `big` with a hot key are dealt to its salts by `spread`, and its row of `small` is copied to
+    each of them: at most 2 * HOT_KEYS copies in all. Without a hot key, this is the plain join.
     """
-    left = big.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    counts = counts if counts is not None else big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    limit = max(SALTED_ROWS, -(-int(total) // HOT_KEYS))
+    if most <= limit:
+        return big.join(small, keys, how)
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    salted = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.hash(spread), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    copied = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 #: A table of at most so many narrow rows is broadcast; a larger one is joined by a salted shuffle.
 BROADCAST_ROWS = 50_000
 
 
-def join_lookup(big: DataFrame, small: DataFrame, key: str, spread) -> DataFrame:
+def join_lookup(big: DataFrame, small: DataFrame, key: str, spread, scratch: Scratch | None = None) -> DataFrame:
     """Left join with a narrow table of one row a key, which is written out and counted first."""
-    small = materialise(small, "lookup")
+    small = scratch.table(small, "lookup") if scratch else materialise(small, "lookup")
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, "left")
-    return salted_join(big, small, key, spread)
+    return skew_join(big, small, [key], spread, how="left")
 
 
 def distributed_rank(df: DataFrame, groups: list[str], place: str, ties: list, n: int, per_bucket: int = 4096, name: str = "rank") -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import distributed_rank, join_lookup, materialise, null_safe, uniform, word_count
+from marlstone.llm._common import Scratch, distributed_rank, join_lookup, null_safe, uniform, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -74,7 +74,7 @@ END
 _NONE = "named_struct('done', cast(array() AS array<struct<i:int,take:int>>), 'ri', -1, 'rp', 0D, 'rw', 0D)"
 
 
-def pivotal_round(rows: DataFrame, seed: int, largest: int) -> DataFrame:
+def pivotal_round(rows: DataFrame, seed: int, largest: int, scratch: Scratch) -> DataFrame:
     """`rows` (key: string, place: bigint, p: double, w: double, draw: bigint, item: any) with `take`, 0 or 1, for each item.
 
     Within a key, places are distinct and dense from 0, at most `largest`. Returns key, item and take.
@@ -90,7 +90,7 @@ def pivotal_round(rows: DataFrame, seed: int, largest: int) -> DataFrame:
             .withColumn("xs", F.expr("array_sort(xs, (a, b) -> CASE WHEN a.at < b.at THEN -1 WHEN a.at > b.at THEN 1 ELSE 0 END)"))
             .withColumn("s", F.expr(f"aggregate(transform(xs, (y, k) -> named_struct('i', k, 'p', y.p, 'w', y.w, 'u', y.u)), {_NONE}, (s, x) -> {_STEP})"))
         )
-        chunks = materialise(chunks, "pivotal")
+        chunks = scratch.table(chunks, "pivotal")
         decided.append(chunks.select("key", F.explode("s.done").alias("d"), "xs").select("key", F.expr("xs[d.i].item").alias("item"), F.col("d.take").alias("take")))
         left = chunks.filter("s.ri >= 0").select("key", "place", F.expr("xs[s.ri]").alias("x"), F.expr("s.rp").alias("p"))
         rows = left.select("key", "place", "p", F.col("x.w").alias("w"), F.col("x.draw").alias("draw"), F.col("x.item").alias("item"))
@@ -116,37 +116,65 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(source_col).alias("source"), null_safe(F.col(source_col)).alias("key"),
         word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"),
     )
-    narrow = materialise(narrow, "mix")
-    targets = materialise(source_targets(narrow, weights, max_copies), "targets")
-    bounds = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
-    n, largest = int(bounds[0]), int(bounds[1])
-    placed = narrow.withColumn("_place", uniform(F.col("draw")))
-    placed = distributed_rank(placed, ["key"], "_place", ["draw", "size"], n, name="rank")
-    lookup = targets.select(null_safe(F.col("source")).alias("key"), "source_size", "target")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    due = join_lookup(placed, lookup, "key", F.col("draw")).withColumn("ratio", ratio)
-    # A ratio that is whole but for rounding counts as whole.
-    whole = F.floor(F.col("ratio") + EPS).cast("long")
-    item = F.struct("row", "source", "size", "source_size", "target", whole.alias("whole"))
-    rows = due.select(
-        "key", (F.col("rank") - 1).cast("long").alias("place"), F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - whole)).otherwise(0.0).alias("p"),
-        F.col("size").cast("double").alias("w"), "draw", item.alias("item"),
-    )
-    out = pivotal_round(rows, seed, max(0, largest - 1))
+    with Scratch(docs.sparkSession) as scratch:
+        narrow = scratch.table(narrow, "mix")
+        targets = scratch.table(source_targets(narrow, weights, max_copies), "targets")
+        bounds = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
+        n, largest = int(bounds[0]), int(bounds[1])
+        placed = narrow.withColumn("_place", uniform(F.col("draw")))
+        placed = distributed_rank(placed, ["key"], "_place", ["draw", "size"], n, name="rank")
+        lookup = targets.select(null_safe(F.col("source")).alias("key"), "source_size", "target")
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        due = join_lookup(placed, lookup, "key", F.col("draw"), scratch).withColumn("ratio", ratio)
+        # A ratio that is whole but for rounding counts as whole.
+        whole = F.floor(F.col("ratio") + EPS).cast("long")
+        item = F.struct("row", "source", "size", "source_size", "target", whole.alias("whole"))
+        rows = due.select(
+            "key", (F.col("rank") - 1).cast("long").alias("place"), F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - whole)).otherwise(0.0).alias("p"),
+            F.col("size").cast("double").alias("w"), "draw", item.alias("item"),
+        )
+        out = scratch.last(pivotal_round(rows, seed, max(0, largest - 1), scratch), "taken")
     copies = F.least(F.lit(max_copies), F.col("item.whole") + F.col("take")).cast("long")
     return out.select(*[F.col(f"item.row.`{c}`").alias(c) for c in carried], F.col("item.source").alias("mix_source"), F.col("item.size").alias("size"), F.col("item.source_size").alias("source_size"), F.col("item.target").alias("target"), copies.alias("copies"), (copies * F.col("item.size")).alias("taken"))
 
 
+#: A row that is taken more often than so, and than the 5000th part of all, is written out by tasks of its own.
+MANY = 4096
+
+
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """`docs` with each row repeated as often as the mix takes it (not at all, once, or up to three times).
 
-    The mix works on narrow rows, known by a hash of id and text and, among rows equal in both, by a number; whole rows
-    are shuffled once, to meet their copies.
+    The mix works on narrow rows, known by a hash of 128 bits of all columns. Rows equal in all columns are one row, taken
+    as often as all of them; whole rows are shuffled once, to that one row, and meet their number of copies there.
     """
-    draw = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.select("*", draw.alias("_draw"))
-    mixed = mix(keyed, id_col, text_col, source_col, keep=["_draw"], **options).select("_draw", "copies", "taken")
-    same = Window.partitionBy("_draw")
-    mixed = mixed.withColumn("_k", F.row_number().over(same.orderBy(F.desc("taken")))).filter("taken > 0").select("_draw", "_k", "copies")
-    rows = keyed.withColumn("_k", F.row_number().over(same.orderBy("_draw")))
-    return rows.join(mixed, ["_draw", "_k"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select([f"`{c}`" for c in docs.columns])
+    spark = docs.sparkSession
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    keyed = docs.select(F.struct([f"`{c}`" for c in docs.columns]).alias("_row"), *[F.xxhash64(F.lit(k), *plain).alias(f"_k{k}") for k in (1, 2)], *[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "_id"), (text_col, "_text"), (source_col, "_source"))])
+    keys = ["_k1", "_k2"]
+    with Scratch(spark) as scratch:
+        mixed = mix(keyed, "_id", "_text", "_source", keep=keys, **options)
+        taken = scratch.last(mixed.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.max("size").alias("_size")).filter("_copies > 0 AND _size > 0").drop("_size"), "taken")
+        sums = taken.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()
+        limit = max(MANY, int(sums[0]) // 5000)
+        # At most 5000 rows.
+        many = scratch.last(taken.filter(F.col("_copies") > limit), "many")
+    rows = keyed.select("_row", *keys)
+    if many.isEmpty():
+        return _repeat(rows, taken).select("_row.*")
+    few = _repeat(rows.join(F.broadcast(many), keys, "left_anti"), taken.filter(F.col("_copies") <= limit))
+    # Pieces of `MANY` copies go to tasks of their own.
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / MANY)), lambda k: F.least(F.lit(MANY), F.col("_copies") - k * MANY))
+    cut = rows.join(F.broadcast(many.select(keys)), keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row")).join(F.broadcast(many), keys)
+    cut = cut.select("_row", F.posexplode(pieces).alias("_piece", "_copies"), *keys).repartition("_piece", *keys)
+    return few.unionByName(_copies(cut)).select("_row.*")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row")
+
+
+def _repeat(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """The rows in `taken`, each as often as it says."""
+    once = rows.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+    return _copies(once.join(taken, ["_k1", "_k2"]))

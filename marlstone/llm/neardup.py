@@ -8,7 +8,10 @@
    the similarity above `SCREEN`; it becomes a link if the full shingle sets, taken from the texts again, confirm it.
 3. The links' components are found. In a bucket that still holds several components, members of different ones that
    were not paired yet are compared in blocks of bounded size: screened by likelihood, and confirmed on full sets. A pair
-   is looked at in the first band it shares only. Blocks give links between components, never all pairs.
+   is looked at in the first band it shares only. Blocks give links between components, never all pairs. Buckets with
+   more than BLOCK * BLOCK such pairs (a template that many texts share without being linked) are dealt anew by exact
+   prefix filtering: of two linked sets, ordered by the shingles' frequency, each has a common shingle among the rarest
+   n - ceil(0.75 n) + 1 of its n; so members meet only in the buckets of those, whatever else they share.
 4. Components of all links are the result. They are whole: two classes of one component need no link of their own.
 
 A pair at the least linked similarity, 0.75, is missed by all bands with a probability of 3e-6 (48 bands of 5), and by
@@ -17,7 +20,8 @@ the screen, five standard errors away, with less. Full sets decide every link, s
 Defined cases: a null or empty text has an empty set and is linked with nothing; a text of one to four words is one
 shingle; rows with equal ids are one node of the graph; a row with a null id is its own component, null, and kept; an
 empty table gives an empty result. Only the id and text columns are read. Nothing of the documents goes to the driver
-but counts; id lists are broadcast up to `BROADCAST_IDS` rows, and joined by a shuffle beyond.
+but counts; id lists are broadcast up to `BROADCAST_IDS` rows, and joined by a shuffle beyond. Joins on buckets, on their
+smallest members and on a component's smallest id salt the keys that hold many rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import arrow_column, materialise, salted_join
+from marlstone.llm._common import Scratch, arrow_column, materialise, skew_join
 from marlstone.llm._scan import Texts, grams, mix, slices
 
 BANDS, ROWS = 48, 5
@@ -133,6 +137,20 @@ def _screen_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Arra
 screen = arrow_column(_screen_batches, "boolean")
 
 
+def _set_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        parts = []
+        for _, t in slices(texts):
+            owners, hashes = shingle_sets(t)
+            cuts = np.searchsorted(owners, np.arange(t.n + 1)).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes.view(np.int64))))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+
+#: A text's set of shingles.
+shingle_set = arrow_column(_set_batches, "array<bigint>")
+
+
 class _Sets:
     """Shingle sets of texts, each made once for a few thousand calls."""
 
@@ -205,9 +223,10 @@ def _screen_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, len(i), 20_000):
             a, b = i[at : at + 20_000], j[at : at + 20_000]
             # Pairs that share an earlier band are looked at there.
-            same = (regs[a] == regs[b]).reshape(-1, BANDS, ROWS).all(2)
-            here = same.argmax(1) == band
-            a, b = a[here], b[here]
+            if band >= 0:
+                same = (regs[a] == regs[b]).reshape(-1, BANDS, ROWS).all(2)
+                here = same.argmax(1) == band
+                a, b = a[here], b[here]
             good = likely(n[a], n[b], (regs[a] > regs[b]).sum(1), (regs[a] < regs[b]).sum(1))
             hit[a[good]] = hit[b[good]] = True
         if hit.any():
@@ -245,9 +264,11 @@ def _confirm_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """rep and comp, the smallest id reachable, for each id in `links` (a, b); by alternating large and small stars."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+    """rep and comp, the smallest id reachable, for each id in `links` (a, b); by alternating large and small stars.
+
+    A graph whose stars still change after `rounds` rounds, which would take a path of some 2^30 nodes, is an error."""
+    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -256,13 +277,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
         # Large star: what is above u joins the smallest that u knows.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = scratch.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = skew_join(both, least.select("u", "m"), ["u"], "v", least.select("u", "n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: what is below u, and u, join the smallest below u.
-        large = materialise(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = materialise(small.select("e.*").filter("u <> v").distinct(), "edges")
+        large = scratch.table(large, "edges")
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        joined = skew_join(large, least.select("u", "m"), ["u"], "v", least.select("u", "n"))
+        small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = scratch.table(small.select("e.*").filter("u <> v").distinct(), "edges")
+    else:
+        raise RuntimeError(f"the links' components aren't complete after {rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("rep"), "comp")
     return stars.unionByName(edges.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct())
 
@@ -273,41 +297,34 @@ def _only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their full sets link."""
-    one, two = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(two, "b").join(one, "a").filter(confirm("text_a", "text_b")).select("a", "b")
+def _with_both(pairs: DataFrame, of: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of `of` (rep, ...) for each, named with a suffix; many pairs may have one a."""
+    one, two = (of.select([F.col(c).alias(side if c == "rep" else f"{c}_{side}") for c in of.columns]) for side in "ab")
+    return skew_join(pairs.join(two, "b"), one, ["a"], "b", counts)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept for each row of `docs`."""
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    rows = materialise(texts.select("rep", sketch("text").alias("s")).select("rep", "s.*"), "sketch")
-    full = rows.filter("n > 0 AND rep IS NOT NULL")
-    classes = materialise(full.groupBy("digest").agg(F.min(F.struct("rep", "n", "regs")).alias("c"), F.count(F.lit(1)).alias("copies")).select("digest", "c.*", "copies"), "classes")
+def _shared_rare(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Buckets (band -1, key: a shingle) of `members` (rep, comp), in whose one two linked sets always meet."""
+    sets = scratch.table(_only(texts, members.select("rep"), "rep").dropDuplicates(["rep"]).select("rep", shingle_set("text").alias("s")), "sets")
+    each = sets.select("rep", F.explode("s").alias("s"))
+    counts = scratch.table(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "shingles")
+    common = counts.filter("n > 1")
+    ordered = skew_join(each, common.withColumnRenamed("n", "df"), ["s"], "rep", counts).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("known"))
+    # Shingles that one member has alone come first in its order and meet nothing.
+    most = F.ceil(F.size("s") * LINK_NUM / LINK_DEN)
+    rare = F.slice("known", 1, F.greatest(F.lit(0), F.size("known") - most + 1).cast("int"))
+    meet = sets.join(ordered, "rep").select("rep", F.explode(rare).alias("k")).select("rep", F.lit(-1).alias("band"), F.col("k.s").alias("key"))
+    return meet.join(members, "rep")
 
-    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.cast("int").alias("band"), F.xxhash64(b, F.substring("regs", b * ROWS + 1, F.lit(ROWS))).alias("key")))
-    bands = classes.select("rep", F.explode(key).alias("k")).select("rep", "k.*")
-    buckets = bands.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("size")).filter("pivot < far")
-    buckets = materialise(buckets, "buckets")
-    crowded = materialise(bands.join(buckets.filter("size > 2").select("band", "key", "pivot"), ["band", "key"]), "crowded")
-    pairs = buckets.filter("size = 2").select(F.col("pivot").alias("a"), F.col("far").alias("b")).unionByName(crowded.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct()
-    side = classes.select("rep", "n", "regs")
-    seen = pairs.join(side.toDF("b", "n_b", "r_b"), "b").join(side.toDF("a", "n_a", "r_a"), "a")
-    pairs = materialise(seen.filter(screen("n_a", "n_b", "r_a", "r_b")).select("a", "b"), "pairs")
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
-    star = materialise(_confirmed(pairs, materialise(_only(texts, wanted, "rep").dropDuplicates(["rep"]), "texts")), "links")
-
-    comps = components(star)
-    members = crowded.join(comps, "rep", "left").select("band", "key", "pivot", "rep", F.coalesce("comp", "rep").alias("comp"))
-    members = materialise(members, "members")
-    # A bucket is open while it holds several components; its pivot's component is the side that isn't compared with itself.
-    main = members.filter("rep = pivot").select("band", "key", F.col("comp").alias("main"))
-    sized = members.join(main, ["band", "key"]).withColumn("side", F.expr("int(comp = main)"))
-    counts = sized.groupBy("band", "key", "main").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).filter("n0 > 0")
-    g0, g1 = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n0", "n1"))
+
+def _tasks_of(members: DataFrame, counts: DataFrame) -> DataFrame:
+    """task, band, rep, comp, side and two: the rows of buckets (band, key) dealt into tasks that hold at most two blocks.
+
+    counts: band, key, main (the component that isn't compared with itself), n0 and n1, the members beside it and in it.
+    """
+    g0, g1 = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("n0", "n1"))
     blocks = counts.select("band", "key", "main", g0.alias("g0"), g1.alias("g1"))
-    dealt = members.join(blocks, ["band", "key"]).withColumn("side", F.expr("int(comp = main)"))
+    dealt = skew_join(members, blocks, ["band", "key"], "rep", counts.select("band", "key", (F.col("n0") + F.col("n1")).alias("n"))).withColumn("side", F.expr("int(comp = main)"))
     # Queries of one block meet each other in the first task in which they meet the other side; those of several blocks in tasks of their own.
     tasks = F.expr("""
         CASE WHEN side = 1 THEN transform(sequence(0, g0 - 1), i -> named_struct('i', i, 'j', int(pmod(hash(rep), g1)), 'two', g0 > 1 OR int(pmod(hash(rep), g1)) > 0))
@@ -315,20 +332,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
           transform(sequence(0, g1 - 1), j -> named_struct('i', int(pmod(hash(rep), g0)), 'j', j, 'two', g0 > 1 OR j > 0)),
           if(g0 > 1, transform(sequence(0, g0 - 1), j -> named_struct('i', least(j, int(pmod(hash(rep), g0))), 'j', -1 - greatest(j, int(pmod(hash(rep), g0))), 'two', false)), array()))
         END""")
-    dealt = dealt.select("band", "key", "rep", "comp", "side", F.explode(tasks).alias("t")).select(F.xxhash64("band", "key", "t").alias("task"), "band", "rep", "comp", "side", F.col("t.two").alias("two"))
-    known = dealt.join(side, "rep")
-    parts = F.col("task")
-    screened = known.repartition(parts).sortWithinPartitions("task").mapInArrow(_screen_tasks, "task bigint, rep bigint, comp bigint, side int, two boolean")
-    screened = materialise(screened, "screened")
-    wanted = materialise(screened.select("rep").distinct(), "wanted")
-    chosen = materialise(_only(texts, wanted, "rep").dropDuplicates(["rep"]), "texts")
-    rest = screened.join(chosen, "rep").repartition(parts).sortWithinPartitions("task").mapInArrow(_confirm_tasks, "a bigint, b bigint")
-    comps = components(star.unionByName(rest))
-
-    classed = classes.join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"), "copies", "rep").filter("copies > 1 OR component_id <> rep").select("digest", "component_id")
-    out = salted_join(rows.select("rep", "n", "digest"), classed, "digest", F.col("rep"))
+    return dealt.select("band", "key", "rep", "comp", "side", F.explode(tasks).alias("t")).select(F.xxhash64("band", "key", "t").alias("task"), "band", "rep", "comp", "side", F.col("t.two").alias("two"))
+
+
+def _open(members: DataFrame, main: DataFrame, counts: DataFrame) -> DataFrame:
+    """band, key, main, n0 and n1 of the buckets that hold several components; main: the component of the bucket's smallest member."""
+    sized = skew_join(members, main, ["band", "key"], "rep", counts).withColumn("side", F.expr("int(comp = main)"))
+    return sized.groupBy("band", "key", "main").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).filter("n0 > 0")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept for each row of `docs`, as a table in the shared folder."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        out = scratch.last(_near_duplicates(texts, scratch), "near")
+    return out.select(F.col("rep").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _near_duplicates(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    bucket = ["band", "key"]
+    rows = scratch.table(texts.select("rep", sketch("text").alias("s")).select("rep", "s.*"), "sketch")
+    full = rows.filter("n > 0 AND rep IS NOT NULL")
+    classes = scratch.table(full.groupBy("digest").agg(F.min(F.struct("rep", "n", "regs")).alias("c"), F.count(F.lit(1)).alias("copies")).select("digest", "c.*", "copies"), "classes")
+
+    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.cast("int").alias("band"), F.xxhash64(b, F.substring("regs", b * ROWS + 1, F.lit(ROWS))).alias("key")))
+    bands = classes.select("rep", F.explode(key).alias("k")).select("rep", "k.*")
+    buckets = bands.groupBy(bucket).agg(F.min("rep").alias("pivot"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("n")).filter("pivot < far")
+    buckets = scratch.table(buckets, "buckets")
+    counts = buckets.filter("n > 2").select(*bucket, "n")
+    crowded = scratch.table(skew_join(bands, buckets.filter("n > 2").select(*bucket, "pivot"), bucket, "rep", counts), "crowded")
+    pairs = buckets.filter("n = 2").select(F.col("pivot").alias("a"), F.col("far").alias("b")).unionByName(crowded.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    side = classes.select("rep", "n", "regs")
+    per_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    pairs = scratch.table(_with_both(pairs, side, per_a).filter(screen("n_a", "n_b", "regs_a", "regs_b")).select("a", "b"), "pairs")
+    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    chosen = scratch.table(_only(texts, wanted, "rep").dropDuplicates(["rep"]), "texts")
+    per_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    star = scratch.table(_with_both(pairs, chosen, per_a).filter(confirm("text_a", "text_b")).select("a", "b"), "links")
+
+    comps = components(star, scratch)
+    members = scratch.table(crowded.join(comps, "rep", "left").select(*bucket, "pivot", "rep", F.coalesce("comp", "rep").alias("comp")), "members")
+    main = members.filter("rep = pivot").select(*bucket, F.col("comp").alias("main"))
+    open_ = scratch.table(_open(members, main, counts), "open")
+    large = F.col("n0") * (F.col("n0") + F.col("n1")) > BLOCK * BLOCK
+    todo = [_tasks_of(members.drop("pivot"), open_.filter(~large))]
+    if not (crowds := scratch.table(open_.filter(large), "crowds")).isEmpty():
+        inside = scratch.table(skew_join(members, crowds.select(bucket), bucket, "rep", crowds.select(*bucket, (F.col("n0") + F.col("n1")).alias("n"))).select("rep", "comp").distinct(), "inside")
+        again = scratch.table(_shared_rare(inside, texts, scratch), "rare")
+        met = scratch.table(again.groupBy(bucket).agg(F.min(F.struct("rep", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"), "met")
+        todo.append(_tasks_of(again, scratch.table(_open(again, met.select(*bucket, F.col("p.comp").alias("main")), met.select(*bucket, "n")), "open")))
+    dealt = todo[0] if len(todo) == 1 else todo[0].unionByName(todo[1])
+    part = F.col("task")
+    known = dealt.join(side, "rep").repartition(part).sortWithinPartitions("task")
+    screened = scratch.table(known.mapInArrow(_screen_tasks, "task bigint, rep bigint, comp bigint, side int, two boolean"), "screened")
+    wanted = scratch.table(screened.select("rep").distinct(), "wanted")
+    chosen = scratch.table(_only(texts, wanted, "rep").dropDuplicates(["rep"]), "texts")
+    rest = screened.join(chosen, "rep").repartition(part).sortWithinPartitions("task").mapInArrow(_confirm_tasks, "a bigint, b bigint")
+    comps = scratch.table(components(star.unionByName(rest), scratch), "components")
+
+    classed = classes.join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"), "copies", "rep").filter("copies > 1 OR component_id <> rep")
+    out = skew_join(rows.select("rep", "n", "digest"), classed.select("digest", "component_id"), ["digest"], "rep", classes.select("digest", F.col("copies").alias("n")), "left")
     component = F.when(F.col("rep").isNull() | (F.col("n") == 0), F.col("rep")).otherwise(F.coalesce("component_id", "rep"))
-    return out.select(F.col("rep").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
+    return out.select("rep", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("rep")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

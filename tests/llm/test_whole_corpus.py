@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import html_extract, mixing, neardup, sharding, token_shards
+from marlstone.llm import _common, html_extract, mixing, neardup, sharding, token_shards
+from marlstone.llm._common import Scratch
 from marlstone.llm.queries import queries
 
 from .fixtures import TEXTS, documents, empty
@@ -74,6 +75,59 @@ def test_a_chain_of_near_copies_in_one_bucket(spark, monkeypatch):
     assert got == components_by_brute_force(rows)
 
 
+def test_a_template_that_many_texts_share(spark, monkeypatch):
+    """Crowded buckets of texts that aren't linked are dealt anew by rare shingles, and lose no link."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    r = random.Random(3)
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        own = [f"u{k // 2}w{j}" for j in range(25)]
+        own[r.randrange(25)] = f"x{k}"
+        rows.append((k, " ".join(template + own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    inner = neardup._shared_rare
+    monkeypatch.setattr(neardup, "_shared_rare", lambda *a: seen.append(1) or inner(*a))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(docs).collect()}
+    assert got == components_by_brute_force(rows) and len({c for _, c in got.values()}) < 60 and seen
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
+
+
+def test_unfinished_components_are_an_error(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        neardup.components(links, Scratch(spark), rounds=2)
+
+
+def test_skew_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(_common, "SALTED_ROWS", 10)
+    monkeypatch.setattr(_common, "HOT_KEYS", 5)
+    big = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("k"), "id")
+    small = spark.range(0, 120, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        got = _common.skew_join(big, small, ["k"], "id", how=how)
+        assert "SortMergeJoin" not in how and sorted(map(str, got.collect())) == sorted(map(str, big.join(small, ["k"], how).collect()))
+
+
+def test_near_duplicates_leave_one_table(spark, sf_dir):
+    before = set(folders(spark))
+    neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)).count()
+    assert len(set(folders(spark)) - before) == 1
+
+
+def folders(spark):
+    from pathlib import Path
+
+    return [p.name for p in Path(_common.scratch_dir(spark).removeprefix("file://"), "marlstone").iterdir()]
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**64, 3000, dtype=np.uint64)
@@ -88,7 +142,7 @@ def test_registers_merge_and_estimate():
 
 def test_components_of_paths_and_cycles(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "a bigint, b bigint")
-    got = {r.rep: r.comp for r in neardup.components(links).collect()}
+    got = {r.rep: r.comp for r in neardup.components(links, Scratch(spark)).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
@@ -156,7 +210,7 @@ def test_mixing_targets_and_takes(spark, sf_dir):
 def test_pivotal_rounding_keeps_expectations(spark):
     """Over many draws, each document is taken as often as its probability says."""
     rows = spark.range(4000).select(F.concat(F.lit("k"), (F.col("id") % 200).cast("string")).alias("key"), F.floor(F.col("id") / 200).alias("place"), F.lit(0.3).alias("p"), (1.0 + F.col("id") % 3).alias("w"), F.xxhash64("id").alias("draw"), (F.col("id") % 3).alias("item"))
-    got = mixing.pivotal_round(rows, 5, 19).groupBy("item").agg(F.avg("take").alias("m")).collect()
+    got = mixing.pivotal_round(rows, 5, 19, Scratch(spark)).groupBy("item").agg(F.avg("take").alias("m")).collect()
     assert len(got) == 3 and all(abs(r.m - 0.3) < 0.04 for r in got)
 
 
@@ -169,6 +223,18 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_mixing_rows_that_repeat(spark, monkeypatch):
+    """Rows equal in all columns, more of them than a task's share, come as often as the mix takes them all."""
+    monkeypatch.setattr(mixing, "MANY", 20)
+    rows = [(7, "one text of five words", "a")] * 500 + [(k, f"text number {k} of six words", "bcd"[k % 3]) for k in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+    assert got == Counter({k: n for k, n in copies.items() if n}) and got[7] > 20
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 100, 1000, 4097])
 def test_permutation_is_a_bijection(n):
     x = np.arange(n)
@@ -204,6 +270,30 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert token_shards.text_sequences(empty(spark)).count() == 0
 
 
+def test_stored_shards_hold_the_documents(spark):
+    """Shards written with a real vocabulary and read back record by record."""
+    from marlstone.llm import bpe
+    from marlstone.llm.queries import tokenizer_file
+
+    path = tokenizer_file("word_bpe_49k.json")
+    options = {"shard_slots": 64, "file_slots": 16}
+    with Scratch(spark) as scratch:
+        placed = token_shards.sequences(documents(spark), "doc_id", token_shards.token_ids(path)("text"), width=2, shard_slots=64, scratch=scratch)
+        out = f"{scratch.folder}-shards"
+        token_shards.write_shards(placed, out, 16)
+        want = sorted((r.doc_id, r.seq, r.n_tokens, r.slot, r.shard, r.shard_offset, bytes(r.record)) for r in placed.collect())
+    got = token_shards.stored_records(spark, out, width=2, **options).collect()
+    assert sorted((r.doc_id, r.seq, r.n_tokens, r.slot, r.shard, r.shard_offset, bytes(r.record)) for r in got) == want and len({r.shard for r in got}) > 2
+    ids = defaultdict(dict)
+    for r in got:
+        ids[r.doc_id][r.seq] = bytes(r.record)[16 : 16 + 2 * r.n_tokens]
+    encoder = bpe.load(path)
+    for i, t, _ in TEXTS:
+        if i != 13 and t and t.strip():
+            assert np.frombuffer(b"".join(ids[-1 if i is None else i][k] for k in sorted(ids[-1 if i is None else i])), "<u2").tolist() == np.frombuffer(encoder.encode(t), "<u4").tolist()
+    assert token_shards.digest_shards(empty(spark), path).count() == 0
+
+
 def test_packed_ids(spark):
     lists = spark.createDataFrame([(1, [1, 70000]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
     rows = token_shards.sequences(lists, "doc_id", token_shards.pack("ids", F.lit(4)), width=4).collect()
@@ -222,6 +312,59 @@ def test_extract_main_text(tag):
     assert html_extract.extract(page) == "A title & more First. Second part <x> of it, with some more words. Last word."
 
 
+BAR = '<ul class="menu">' + '<li><a href="#">Some link words</a></li>' * 8 + "</ul>"
+PROSE = "<p>" + "Plain words of the text itself run on and on here. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # A notice that nothing names: only the scan leaves it out.
+        (f"<body><div>Please note our hours</div>{BAR}<div>{PROSE}</div><div><table>{'<tr><td>x</td></tr>' * 30}</table></div></body>", 1),
+        (f"<body><div class='wrap'><p>Welcome here</p>{BAR}{PROSE}{PROSE}{BAR}<p>All rights</p></div></body>", 2),
+        (f"<body><div>{PROSE}<div class='ad'>Buy it now</div><p>Last.</p></div><div class='sidebar'>Popular posts</div></body>", 1),
+    ],
+)
+def test_the_scan_decides(page, want):
+    weights = html_extract.DEFAULT
+    prose = " ".join(re.sub("<[^>]+>", "", PROSE).split())
+    p = html_extract.Page(page)
+    got = html_extract.extract(page)
+    assert got in (" ".join([prose] * want), prose + " Last.")
+    whole = (0, len(p.kind))
+    assert p.blocks(whole, p.dropped(whole, weights)) != got
+
+
+@pytest.mark.parametrize("name", ["comments", "entry-comments", "post-comments", "commentList", "article-comment-section"])
+def test_reader_comments_go(name):
+    for page in (f"<article>{PROSE}<div class='{name}'><p>Nice read, thanks to you all</p></div></article>", f"<div>{PROSE}</div><div id='{name}'><p>{'Nice read. ' * 30}</p></div>"):
+        assert "Nice" not in html_extract.extract(page)
+    assert html_extract.extract(f"<div class='post has-comments'>{PROSE}</div>").startswith("Plain words")
+
+
+def test_text_behind_letters_that_lower_to_two():
+    page = "<p>" + "İ" * 60 + "</p><SCRIPT>var x = 1;</Script><p>the words that follow are all kept</p>"
+    assert html_extract.extract(page) == "İ" * 60 + " the words that follow are all kept"
+
+
+def test_unmatched_tags_cost_nothing():
+    import time
+
+    n = 60_000
+    for page in ("<b>" * n + "</i>" * n, "<i>" * n + "</div>" * n, "<i><article>" + "<b>" * n + "</i>" * n, "<p>a" * n):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 20  # a quadratic reader takes minutes
+
+
+def test_ties_of_weights():
+    """On a page whose text all weights find, the weights in the middle of the grid are taken; without labels the default."""
+    page = f"<body><nav><a>Home page</a></nav><article>{PROSE}</article><footer>The end of it</footer></body>"
+    weights = html_extract.fit([page] * 3)
+    assert weights in html_extract.GRID and weights not in (html_extract.GRID[0], html_extract.GRID[-1]) and weights == html_extract.fit([page] * 3)
+    assert html_extract.fit([]) == html_extract.fit(["<p>no label</p>"]) == html_extract.DEFAULT
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "just text"), (4, "u", "<p>open <b>tags"), (5, "u", "<" * 5000), (6, "u", "<div>" * 3000 + "deep words here"), (7, "u", "<!-- never closed"), (7, "u", "<p>same id</p>"), (8, None, PAGE[:300])]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
