@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, mixing, neardup, pii, quality
-from marlstone.llm._common import materialise
+from marlstone.llm._common import Scratch
 from marlstone.llm.queries import tokenizer_file
 
 
@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's result is written to the shared folder and read again, and then goes."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage{k}")
+            kept = Scratch(spark)
+            docs = kept.table(docs, f"stage{k}")
+            if held:
+                held.drop()
+            held = kept
     return docs
