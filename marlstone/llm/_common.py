@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def done_with_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside has its shuffle files removed once it stands in the shared folder: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables in the shared folder. On leaving the `with` block all go but those made by `last`, which the result reads.
 
@@ -34,7 +47,8 @@ class Scratch:
         self.spark, self.folder = spark, f"{scratch_dir(spark)}/marlstone/{uuid.uuid4().hex}"
 
     def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+        with done_with_shuffles(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, df: DataFrame, label: str) -> DataFrame:

@@ -18,7 +18,7 @@ sequence its old slot; rows equal in both are interchangeable.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe
-from marlstone.llm._common import Scratch, arrow_column, materialise, uniform
+from marlstone.llm._common import Scratch, arrow_column, done_with_shuffles, join_lookup, materialise, uniform
 
 SEQUENCE = 512
 HEADER = 16
@@ -108,12 +108,9 @@ def sequences(docs: DataFrame, id_col: str, data: F.Column, width: int = 1, leng
     size = length * width
     stride = HEADER + size + 1
     keep = scratch.table if scratch else materialise
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), data.alias("data")).filter("octet_length(data) > 0")
-    # The ids are made once; what follows reads them from the shared folder.
-    rows = keep(rows.withColumn("n_seq", F.ceil(F.octet_length("data") / size).cast("long")).withColumn("draw", F.xxhash64("doc_id", "data")), "ids")
-    totals = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_seq"), F.lit(0))).first()
-    n_docs, n = int(totals[0]), int(totals[1])
-    numbered = _numbered(rows.withColumn("_place", uniform("draw")), n_docs)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), data.alias("data"))
+    n_seq = F.coalesce(F.ceil(F.octet_length("data") / size), F.lit(0)).cast("long")
+    numbered, n = _numbered(rows.withColumn("n_seq", n_seq).withColumn("draw", F.xxhash64("doc_id", "data")), docs.count(), keep)
     cut = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_seq") - 1), lambda k: F.struct(k.cast("int").alias("seq"), F.substring("data", (k * size + 1).cast("int"), F.lit(size)).alias("ids"))))
     parts = numbered.select("doc_id", "first", cut.alias("s")).select("doc_id", (F.col("first") + F.col("s.seq")).alias("number"), "s.*")
     slot = slots_of("number", F.lit(max(n, 1)), F.lit(key))
@@ -125,21 +122,27 @@ def sequences(docs: DataFrame, id_col: str, data: F.Column, width: int = 1, leng
     return ranged.select("doc_id", "seq", n_tokens.alias("n_tokens"), "slot", "shard", (F.pmod("slot", F.lit(shard_slots)) * stride).cast("long").alias("shard_offset"), record.alias("record"))
 
 
-def _numbered(rows: DataFrame, n_docs: int, per_bucket: int = 2048) -> DataFrame:
-    """`rows` with `first`: the number of sequences of all rows before, in the order of (_place, draw, doc_id)."""
+def _numbered(rows: DataFrame, n_docs: int, keep: Callable[[DataFrame, str], DataFrame], per_bucket: int = 2048) -> tuple[DataFrame, int]:
+    """`rows` that have sequences with `first`, the number of sequences of all rows before in the order of their hashes, and the number of all sequences.
+
+    The ids, which are in `rows`, are made once, dealt into hash buckets and written with their place in the bucket; what
+    follows reads them from the shared folder."""
     buckets = max(1, -(-n_docs // per_bucket))
-    bucket = F.least(F.floor(F.col("_place") * buckets), F.lit(buckets - 1)).cast("long")
-    sums = rows.groupBy(bucket.alias("_bucket")).agg(F.sum("n_seq").alias("_n"))
+    bucket = F.least(F.floor(uniform("draw") * buckets), F.lit(buckets - 1)).cast("long")
+    within = Window.partitionBy("_bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = keep(rows.withColumn("_bucket", bucket).withColumn("_inside", F.coalesce(F.sum("n_seq").over(within), F.lit(0))).drop("draw"), "ids")
+    sums = inside.groupBy("_bucket").agg(F.sum("n_seq").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_bucket").orderBy("_place", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("_bucket", bucket).withColumn("_inside", F.coalesce(F.sum("n_seq").over(within), F.lit(0)))
-    return inside.join(offsets, "_bucket").withColumn("first", F.col("_before") + F.col("_inside"))
+    offsets = keep(sums.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_n"), "offsets")
+    n = int(offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    placed = join_lookup(inside.filter("n_seq > 0"), offsets.drop("_n"), "_bucket", F.col("_inside"))
+    return placed.select("doc_id", "data", "n_seq", (F.col("_before") + F.col("_inside")).alias("first")), n
 
 
 def write_shards(placed: DataFrame, path: str, file_slots: int = FILE_SLOTS) -> None:
     """One task a shard, in slot order, as files of `file_slots` records; a lost task is run again and its files committed once."""
-    placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_slots).text(path)
+    with done_with_shuffles(placed.sparkSession):
+        placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_slots).text(path)
 
 
 def stored_records(spark: SparkSession, path: str, length: int = SEQUENCE, width: int = 1, shard_slots: int = SHARD_SLOTS, file_slots: int = FILE_SLOTS) -> DataFrame:
