@@ -34,6 +34,7 @@ KEY = 0x5DEECE66D
 FEISTEL_ROUNDS = 6
 SHARD_SLOTS = 262_144
 FILE_SLOTS = 32_768
+WRITE_ROUNDS = 4
 
 
 def _mix(x: np.ndarray, k: np.uint64) -> np.ndarray:
@@ -139,10 +140,14 @@ def _numbered(rows: DataFrame, n_docs: int, keep: Callable[[DataFrame, str], Dat
     return placed.select("doc_id", "data", "n_seq", (F.col("_before") + F.col("_inside")).alias("first")), n
 
 
-def write_shards(placed: DataFrame, path: str, file_slots: int = FILE_SLOTS) -> None:
-    """One task a shard, in slot order, as files of `file_slots` records; a lost task is run again and its files committed once."""
-    with done_with_shuffles(placed.sparkSession):
-        placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_slots).text(path)
+def write_shards(placed: DataFrame, path: str, file_slots: int = FILE_SLOTS, rounds: int = WRITE_ROUNDS) -> None:
+    """One task a shard, in slot order, as files of `file_slots` records; a lost task is run again and its files committed once.
+
+    Shards are written in `rounds` jobs, so that no more than that part of all sequences lies in shuffle files at a time."""
+    for r in range(rounds):
+        with done_with_shuffles(placed.sparkSession):
+            some = placed.filter(F.pmod("shard", F.lit(rounds)) == r).select(F.col("record").cast("string").alias("value"))
+            some.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", file_slots).text(path)
 
 
 def stored_records(spark: SparkSession, path: str, length: int = SEQUENCE, width: int = 1, shard_slots: int = SHARD_SLOTS, file_slots: int = FILE_SLOTS) -> DataFrame:
