@@ -33,7 +33,7 @@ HEADER = 16
 KEY = 0x5DEECE66D
 FEISTEL_ROUNDS = 6
 SHARD_SLOTS = 262_144
-FILE_SLOTS = 32_768
+FILE_SLOTS = 16_384
 WRITE_ROUNDS = 4
 
 
