@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the checkpoint folder that the session names; a temporary one only where it names none."""
+    """`df`, computed once into the checkpoint folder that the session names; a temporary one only in local mode."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

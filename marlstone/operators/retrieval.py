@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
+from marlstone.operators._lineage import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60.0
 VECTOR_WEIGHT, KEYWORD_WEIGHT, ORIGINAL_WEIGHT, BOTH_BONUS = 0.6, 0.4, 0.2, 0.1
-#: A query's tokens are broadcast: their number is bounded by the query's length, which is checked.
+#: A query's tokens are constants of the plan: their number is bounded by the query's length, which is checked.
 MAX_QUERY_TOKENS = 10_000
 
 
@@ -34,28 +35,24 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def query_tokens(spark, query: str) -> DataFrame:
-    """token and its multiplicity in a query."""
-    tokens = spark.range(1).select(F.explode(T.search_tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("qtf"))
-    if len(query) > MAX_QUERY_TOKENS:
-        raise ValueError(f"a query has at most {MAX_QUERY_TOKENS} characters")
-    return tokens
-
-
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, keep: list[str] = (), k1: float = K1, b: float = B) -> DataFrame:
-    """id, the columns in `keep`, and the positive BM25 score of each document that has a token of the query.
+    """id, the columns in `keep`, and the positive BM25 score (to 9 decimals, so that ties don't hang on the order of sums)
+    of each document that has a token of the query.
 
-    Tokens are filtered against the broadcast query before anything is shuffled, so only hits are grouped.
+    Texts are tokenised once, into a checkpoint of each document's length and hits; only hits are ever grouped.
     """
-    q = F.broadcast(query_tokens(docs.sparkSession, query))
+    if len(query) > MAX_QUERY_TOKENS:
+        raise ValueError(f"a query has at most {MAX_QUERY_TOKENS} characters")
+    q = T.search_tokens(F.lit(query))  # a constant of the plan
     tokens = docs.filter(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), *keep, T.search_tokens(F.col(text_col)).alias("tokens"))
-    hits = tokens.select("id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(q, "token")
-    tf = hits.groupBy("id", *keep, "token", "qtf", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = cut(tokens.select("id", *keep, F.size("tokens").alias("dl"), F.filter("tokens", lambda x: F.array_contains(q, x)).alias("hits")))
+    stats = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl")))
+    tf = rows.select("id", *keep, "dl", F.explode("hits").alias("token")).groupBy("id", *keep, "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs, id_col, text_col))
     scored = tf.join(F.broadcast(df), "token").crossJoin(stats)
-    part = F.col("qtf") * idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_dl"), F.lit(1e-6))))
-    return scored.groupBy("id", *keep).agg(F.sum(part).alias("score")).filter("score > 0")
+    qtf = F.size(F.filter(q, lambda x: x == F.col("token")))
+    part = qtf * idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_dl"), F.lit(1e-6))))
+    return scored.groupBy("id", *keep).agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataFrame:
@@ -71,6 +68,32 @@ def vector_search(vectors: DataFrame, query: list[float], id_col: str, vec_col:
     return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 
 
+def search_many(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
+    """query, id, score and rank of the k vectors of the greatest cosine to each query vector, itself left out; ties by id.
+
+    Every block of queries meets every partition of the vectors and keeps k hits of it; these are few and ranked again."""
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).cast("array<double>").alias("qv"))
+    n = max(1, -(-q.count() // block))
+    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
+    parts = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-vectors.count() // 16_384)))))
+    parts = parts.groupBy("p").agg(F.collect_list(F.struct("id", "v")).alias("vs"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = lambda rows, c: (x := np.array([r[c] for r in rows])) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine, ids = np.array([r["query"] for r in row["qs"]]), np.array([r["id"] for r in row["vs"]])
+                score = np.round(unit(row["qs"], "qv") @ unit(row["vs"], "v").T, 9)
+                score[mine[:, None] == ids[None, :]] = -np.inf
+                for i, s in enumerate(score):
+                    top = np.lexsort((ids, -s))[: min(k, int((s > -np.inf).sum()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), mine[i])), pa.array(ids[top]), pa.array(s[top])], ["query", "id", "score"])
+
+    few = packed.join(parts, how="cross").repartition("b", "p").mapInArrow(best, "query bigint, id bigint, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return few.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
 def vector_neighbours(vectors: DataFrame, id_col: str, vec_col: str, least: float, block: int = 16384, strip: int = 256) -> DataFrame:
     """id and neighbours of every vector: the ids of all other vectors at a cosine of at least `least`, ascending.
 
@@ -197,6 +220,67 @@ def max_norm_merge(vector: DataFrame, keyword: DataFrame, original: DataFrame) -
     return merged.unionByName(extra)
 
 
+def word_search(docs: DataFrame, query: str, id_col: str, text_col: str, words=T.words, least: int = 1, position: bool = True, fall_back: bool = True) -> DataFrame:
+    """id and score of texts by shared words, shared bigrams of characters, words found as they are and, with `position`, how early they stand.
+
+    Texts that share a word of two characters or more with the query; if none does, those with a word that holds one or is
+    held by one. Without `fall_back`, all texts with a score. Words shorter than `least` don't count.
+    """
+    q = F.array_distinct(F.filter(words(F.lit(query)), lambda w: F.length(w) >= least))
+    long_words = F.filter(words(F.lit(query)), lambda w: F.length(w) >= 2)
+    long_words = long_words if position else F.array_distinct(long_words)
+    own = F.array_distinct(F.filter(words(F.col(text_col)), lambda w: F.length(w) >= least))
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), own.alias("ws"))
+    found = F.filter(long_words, lambda w: F.contains("t", w))
+    qb = T.bigrams(long_words)
+    score = F.size(F.array_intersect(q, "ws")) / F.greatest(F.size(q), F.lit(1)) * 0.5 + F.size(F.array_intersect(qb, T.bigrams(F.col("ws")))) / F.greatest(F.size(qb), F.lit(1)) * 0.3
+    score = score + F.least(F.size(found) * 0.1, F.lit(0.3))
+    if position:
+        score = score + F.least(F.aggregate(found, F.lit(0.0), lambda a, w: a + (0.1 - (F.position(w, "t") - 1) / F.greatest(F.length("t"), F.lit(1)) * 0.1)), F.lit(0.2))
+    near = F.exists("ws", lambda x: F.exists(long_words, lambda w: F.contains(x, w) | F.contains(w, x)))
+    scored = rows.select("id", F.arrays_overlap(long_words, "ws").alias("shares"), near.alias("near"), F.round(score, 9).alias("score")).filter("score > 0")
+    if not fall_back:
+        return scored.select("id", "score")
+    scored = cut(scored)
+    some = scored.agg(F.coalesce(F.bool_or("shares"), F.lit(False)).alias("some"))
+    return scored.crossJoin(F.broadcast(some)).filter(F.when(F.col("some"), F.col("shares")).otherwise(F.col("near"))).select("id", "score")
+
+
+def weighted_merge(lists: list[tuple[DataFrame, float]]) -> DataFrame:
+    """id and score: each short list's scores by their maximum, weighted and summed."""
+    parts = None
+    for rows, weight in lists:
+        best = F.coalesce(F.nullif(F.max("score").over(Window.partitionBy()), F.lit(0.0)), F.lit(1.0))
+        part = rows.select("id", (F.col("score") / best * weight).alias("part"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("id").agg(F.sum("part").alias("score"))
+
+
+def page_score(query: str, title: Column, content: Column, tags: Column) -> Column:
+    """3 for the query in the title, 2 in the content, 1.5 for each tag that holds it."""
+    q = query.lower()
+    hit = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False))
+    return F.when(hit(title), 3.0).otherwise(0.0) + F.when(hit(content), 2.0).otherwise(0.0) + F.size(F.filter(tags, lambda x: F.contains(F.lower(x), F.lit(q)))) * 1.5
+
+
+def first_titles(lists: list[DataFrame]) -> DataFrame:
+    """The rows (title, score, ...) of several short lists, in order; of rows with one title in any case the first list's best stays."""
+    rows = None
+    for k, part in enumerate(lists):
+        part = part.withColumn("_list", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part)
+    place = F.row_number().over(Window.partitionBy(F.lower("title")).orderBy("_list", F.desc("score"), "id"))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place", "_list")
+
+
+def evidence_score(terms: Column, haystack: Column, title: Column) -> Column:
+    """Shared terms, and twice those in the title, by the number of terms; null if the text shares none."""
+    n = F.greatest(F.size(terms), F.lit(1))
+    overlap = F.size(F.filter(terms, lambda w: F.contains(F.lower(haystack), w)))
+    titled = F.size(F.filter(terms, lambda w: F.contains(F.lower(title), w)))
+    return F.when((F.size(terms) == 0) | (overlap > 0), overlap / n + 2 * titled / n)
+
+
 def rule_rerank(rows: DataFrame, query: str, content: str, title: str | None = None) -> DataFrame:
     """`rows` (with score) and rule_score: the score, bonuses for shared words, bigrams, exact and title hits, less a length penalty."""
     q = F.array_distinct(T.words(F.lit(query)))
@@ -237,6 +321,7 @@ def rerank_features(rows: DataFrame, query: str, content: str) -> DataFrame:
     })
 
 
+# Weights, block types and, in rerank_features, the bands of lengths.
 #: Weights of the composite reranker; rows without headings and block types get the features' defaults.
 WEIGHTS = {"base": 0.20, "exact_match": 0.15, "keyword_coverage": 0.15, "phrase_match": 0.12, "position": 0.05, "heading": 0.10, "block_type": 0.05, "length_quality": 0.08, "semantic_density": 0.10}
 BLOCK_TYPES = {"title": 0.9, "heading_h1": 0.85, "heading_h2": 0.8, "heading_h3": 0.75, "paragraph": 0.6, "table": 0.7, "code_block": 0.5, "image": 0.3, "caption": 0.4, "footnote": 0.2, "abstract": 0.8, "references": 0.3}

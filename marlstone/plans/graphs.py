@@ -83,9 +83,20 @@ def two_hop_pairs(t):
     return b.select(F.col("source").alias("a"), "target").join(y, "target").filter("a < b").select("a", "b")
 
 
-@query("G10_isolated_nodes", f"WITH {_NODES}, {_EDGES} SELECT id, type FROM nodes WHERE id NOT IN (SELECT source FROM edges) AND id NOT IN (SELECT target FROM edges)")
+# Edges of large lineitems only, so that most nodes have none.
+_FEW = "few AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_quantity >= 49)"
+
+
+@query("G10_isolated_nodes", f"""WITH {_NODES}, {_FEW}, rep AS (SELECT type, min(id) AS target FROM nodes GROUP BY type)
+SELECT id AS source, target, 'has_type' AS relation, 0.5::DOUBLE AS weight FROM nodes JOIN rep USING (type) WHERE id <> target AND id NOT IN (SELECT source FROM few) AND id NOT IN (SELECT target FROM few)""")
 def isolated_nodes(t):
-    return G.isolated(_nodes(t), _edges(t)).select("id", "type")
+    """Each node without an edge gets one to its type's representative, the node of the smallest id."""
+    of = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    few = t("lineitem").filter("l_quantity >= 49").select(of("s", "l_suppkey").alias("source"), of("p", "l_partkey").alias("target"))
+    nodes = _nodes(t)
+    first = F.broadcast(nodes.groupBy("type").agg(F.min("id").alias("target")))  # a row a type
+    alone = G.isolated(nodes, few).join(first, "type").filter("id <> target")
+    return alone.select(F.col("id").alias("source"), "target", F.lit("has_type").alias("relation"), F.lit(0.5).alias("weight"))
 
 
 @query("G17_delete_cascade", f"WITH {_EDGES} SELECT relation, count(*) AS n FROM edges WHERE source <> 'n3' AND target <> 'n3' GROUP BY relation")
@@ -119,9 +130,9 @@ def limit_then_type(t):
     return _nodes(t).orderBy("id").limit(100).filter("type = 'customer'").select("id", "type")
 
 
-@query("T8_visible_subgraph", f"WITH {_EDGES}, e AS (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id ORDER BY degree DESC, id LIMIT 42) SELECT source, target, count(*) AS n FROM edges WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d) GROUP BY ALL")
+@query("T8_visible_subgraph", f"WITH {_EDGES.replace('edges AS', 'every AS')}, edges AS (SELECT * FROM every WHERE relation <> 'supplies'), e AS (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id ORDER BY degree DESC, id LIMIT 42) SELECT source, target, count(*) AS n FROM edges WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d) GROUP BY ALL")
 def visible_subgraph(t):
-    edges = _edges(t)
+    edges = _edges(t).filter("relation <> 'supplies'")
     best = F.broadcast(G.degree(edges).orderBy(F.desc("degree"), "id").limit(42).select("id"))
     kept = edges.join(best.withColumnRenamed("id", "source"), "source", "left_semi").join(best.withColumnRenamed("id", "target"), "target", "left_semi")
     return kept.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))

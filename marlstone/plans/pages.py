@@ -74,11 +74,11 @@ def priority_merge(t):
     return of("de", 0).unionByName(of("en", 1)).groupBy("k").agg(F.min(F.struct("p", "doc_id")).alias("b")).select("k", "b.doc_id", "b.p")
 
 
-@query("J8_shared_keywords", r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
+@query("J8_shared_keywords", r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
 c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2)
 SELECT a, b, k FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k >= 3 OR k / (x.n + y.n - k) >= 0.15""")
 def shared_keywords(t):
-    w = t("benchmark").select("item_id", F.array_distinct(T.matches(F.lower("text"), "[a-z]{9,}")).alias("ws"))
+    w = t("benchmark").select("item_id", F.array_distinct(T.matches(F.lower("text"), "[a-z]{4,}")).alias("ws"))
     each = w.select(F.col("item_id").alias("a"), F.size("ws").alias("n"), F.explode("ws").alias("w"))
     c = each.join(each.select(F.col("a").alias("b"), F.col("n").alias("m"), "w"), "w").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
     return c.filter((F.col("k") >= 3) | (F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= 0.15)).select("a", "b", "k")

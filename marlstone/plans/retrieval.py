@@ -18,7 +18,7 @@ _BM = f"""{_TOK}, st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM to
 q AS (SELECT token, count(*) AS qtf FROM (SELECT unnest(regexp_extract_all('{QUERY}', '[a-z]+')) AS token) GROUP BY token),
 tf AS (SELECT id, source, dl, token, count(*) AS tf FROM (SELECT id, source, len(tokens) AS dl, unnest(tokens) AS token FROM tok) GROUP BY ALL),
 hit AS (SELECT tf.*, qtf FROM tf JOIN q USING (token)), df AS (SELECT token, count(*) AS df FROM hit GROUP BY token),
-bm AS (SELECT id, source, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM hit JOIN df USING (token), st GROUP BY id, source)"""
+bm AS (SELECT id, source, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM hit JOIN df USING (token), st GROUP BY id, source)"""
 _VEC = """vq AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 vs AS (SELECT vec_id AS id, label, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS score FROM embeddings, vq)"""
 
@@ -42,8 +42,9 @@ def term_frequency(t):
 
 @query("A2_document_frequency", f"WITH {_TOK}, d AS (SELECT token, count(DISTINCT id) AS df FROM (SELECT id, unnest(tokens) AS token FROM tok) GROUP BY token) SELECT token, df, round(ln(((SELECT count(*) FROM tok) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d")
 def document_frequency(t):
-    df = R.postings(t("documents"), "doc_id", "text").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = t("documents").filter(F.length(F.trim("text")) > 0).agg(F.count(F.lit(1)).alias("n"))
+    docs = t("documents").filter(F.length(F.trim("text")) > 0)
+    df = docs.select(F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(R.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 
@@ -122,7 +123,8 @@ o AS (SELECT id, score / max(score) OVER () AS o FROM (SELECT id, score FROM bm
 SELECT id, round(coalesce(v * 0.6, 0) + coalesce(k * 0.4, 0) + CASE WHEN v IS NOT NULL AND k IS NOT NULL THEN 0.1 ELSE 0 END, 6) AS score FROM f
 UNION ALL SELECT id, round(o * 0.2, 6) FROM o WHERE id NOT IN (SELECT id FROM f)""")
 def max_norm_merge(t):
-    return R.max_norm_merge(R.top(_vectors(t), 30), R.top(_bm25(t), 30), R.top(_bm25(t), 60)).withColumn("score", F.round("score", 6))
+    hits = _bm25(t)
+    return R.max_norm_merge(R.top(_vectors(t), 30), R.top(hits, 30), R.top(hits, 60)).withColumn("score", F.round("score", 6))
 
 
 _CAND = f"{_BM}, cand AS (SELECT bm.id, bm.score, d.text FROM bm JOIN documents d ON d.doc_id = bm.id ORDER BY bm.score DESC, bm.id LIMIT 50)"

@@ -52,7 +52,7 @@ def test_bm25_ranks_the_rare_term_first(spark):
     got = retrieval.top(retrieval.bm25(docs, "alpha beta", "id", "text"), 5).collect()
     assert [r.id for r in got] == [1, 2]
     with pytest.raises(ValueError):
-        retrieval.query_tokens(spark, "x" * 20_000)
+        retrieval.bm25(spark.createDataFrame([(1, "a")], "id bigint, text string"), "x" * 20_000, "id", "text")
 
 
 def test_vectors(spark):
