@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from marlstone.operators import chunking as C
@@ -64,3 +66,47 @@ def image_links(t):
 def structured_records(t):
     record = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")))
     return t("part").orderBy("p_partkey").limit(50).select("p_partkey", record.alias("record"))
+
+
+@query("C2_semantic_chunks")
+def semantic_chunks(t):
+    return C.chunk_with(t("documents"), "doc_id", "text", C.semantic_chunks)
+
+
+@query("C3_news_chunks")
+def news_chunks(t):
+    """Each source's documents of one language as articles under dated markers."""
+    marked = F.concat(F.lit("2026-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" 正文："), F.col("text"))
+    return C.chunk_with(t("documents").filter("text IS NOT NULL").select("doc_id", marked.alias("text")), "doc_id", "text", C.news_chunks)
+
+
+@query("C7_long_text_windows")
+def long_text_windows(t):
+    return C.chunk_with(t("documents"), "doc_id", "text", C.split_long)
+
+
+@query("C9_layout_chunks")
+def layout_chunks(t):
+    return C.chunk_with(t("documents"), "doc_id", "text", C.layout_chunks)
+
+
+def _register(kind):
+    @query(f"C4_{kind}_chunks")
+    def chunks(t):
+        return C.chunk_with(t("documents"), "doc_id", "text", partial(C.packed_parts, kind=kind))
+
+
+for _kind in C.STARTS:
+    _register(_kind)
+
+
+@query("A30_chunk_quality_report", """WITH c AS (SELECT doc_id, unnest(range(0, ((length(text) - 1) // 500 + 1)::INT)) AS i, text FROM documents WHERE length(text) > 0), x AS (SELECT doc_id, text[i * 500 + 1:(i + 1) * 500] AS c FROM c)
+SELECT count(*) AS chunks, count(*) FILTER (length(trim(c)) < 20) AS too_short, count(*) FILTER (length(regexp_replace(c, '[^0-9]', '', 'g')) > 0.5 * length(c)) AS mostly_digits,
+  count(*) FILTER (NOT regexp_matches(c, '[.!?;。！？；]\\s*$')) AS open_end, count(*) FILTER (contains(c, '###')) AS marks FROM x""".replace("\\\\", "\\"))
+def chunk_quality_report(t):
+    """Issues and warnings over all chunks of 500 characters."""
+    c = F.col("content")
+    return C.fixed_chunks(t("documents"), "doc_id", "text", 500).agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if(F.length(F.trim(c)) < 20).alias("too_short"), F.count_if(F.length(F.regexp_replace(c, "[^0-9]", "")) > 0.5 * F.length(c)).alias("mostly_digits"),
+        F.count_if(~c.rlike(r"[.!?;。！？；]\s*$")).alias("open_end"), F.count_if(F.contains(c, F.lit("###"))).alias("marks"),
+    )

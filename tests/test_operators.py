@@ -176,3 +176,63 @@ def test_partition_overwrite(spark, tmp_path):
     formats.write_partitioned(rows, f"file://{tmp_path}/t", "k")
     formats.write_partitioned(rows.filter("k = 'a'").withColumn("v", F.lit(9)), f"file://{tmp_path}/t", "k")
     assert sorted((r.k, r.v) for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == [("a", 9), ("b", 2)]
+
+
+def test_cjk_terms(spark):
+    from marlstone.functions import terms as X
+
+    row = spark.createDataFrame([("知识图谱 foo3 中文 1.5", "笔记-知识图谱2024_the-graph.md")], "a string, b string").select(
+        X.full_text_terms(F.col("a")).alias("f"), X.resource_terms(F.col("a")).alias("r"), X.rewrite_terms(F.col("a")).alias("w"), X.file_name_terms(F.col("b")).alias("n")
+    ).first()
+    assert sorted(row.f) == sorted(["知", "识", "图", "谱", "知识", "识图", "图谱", "知识图", "识图谱", "中", "文", "中文", "foo3", "1", "5"])
+    assert row.r == sorted(["知识图谱", "知识", "识图", "图谱", "中文", "foo3"]) and row.w == sorted(["知识图谱", "知识", "识图", "图谱", "中文", "foo3"])
+    assert {"graph", "知识", "图谱", "知识图谱2024"} <= set(row.n) and not {"the", "md", "笔记"} & set(row.n)
+
+
+def test_outline_points_and_dates(spark):
+    from marlstone.functions import terms as X
+
+    text = "# One #\n\n```\n# no\n```\n## *Two*\n- a point of some length\n- short\n\n" + "A paragraph that is long enough to be a thesis of the text. " * 2
+    row = spark.createDataFrame([(text,)], "t string").select(X.outline_titles(F.col("t")).alias("o"), X.key_points(F.col("t")).alias("k"), X.thesis(F.col("t")).alias("s")).first()
+    assert row.o[:1] == ["One"] and "Two" in row.o and row.k[0] == "a point of some length" and row.s.startswith("A paragraph")
+    times = spark.createDataFrame([("Sat, 28 Nov 2026 10:00:00 +0100",), ("2026-11-28T09:00:00Z",), ("28 Nov 2026 09:00:00 GMT",), ("2026-11-28T09:00:00",), ("soon",), (None,)], "t string")
+    got = [r.u for r in times.select(F.date_format(X.parsed_time(F.col("t")), "yyyy-MM-dd HH:mm").alias("u")).collect()]
+    assert got == ["2026-11-28 09:00"] * 4 + [None] * 2
+
+
+def test_text_graph(spark):
+    from marlstone.operators import extract as E
+
+    docs = spark.createDataFrame([(1, "知识图谱分为甲类方法、乙类方法。依据《民法典》第三条，2021年。"), (2, "知识图谱基于统一存储。"), (3, None), (4, "")], "id bigint, t string")
+    known = spark.createDataFrame([("知识图谱",)], "name string")
+    nodes, edges = E.text_graph(docs, "id", "t", known)
+    got = {(r.head, r.relation, r.tail) for r in edges.collect()}
+    assert got == {("知识图谱", "includes", "甲类方法"), ("知识图谱", "includes", "乙类方法"), ("知识图谱", "depends_on", "统一存储"), ("民法典", "includes", "第三条")}
+    kinds = {r.name: r.type for r in nodes.collect()}
+    assert kinds["民法典"] == "law" and kinds["2021年"] == "time" and kinds["知识图谱"] == "concept"
+
+
+def test_splitters(spark):
+    from marlstone.operators import chunking as C
+
+    text = "".join(f"Sentence number {k} is here. " for k in range(200))
+    chunks = C.split_long(text, 300, 60)
+    assert all(len(c) <= 300 + C.AHEAD and c.endswith(".") for c in chunks[:-1]) and len(chunks) > 10
+    assert "".join(C.split_long("x" * 1000, 100, 0)) == "x" * 1000
+    with pytest.raises(ValueError):
+        C.split_long("x", 100, 100)
+    news = "前言\n2026-01-02 正文：第一篇。内容。\n2026-01-03 正文：第二篇。"
+    assert C.news_chunks(news) == ["前言", "2026-01-02 正文：第一篇。内容。", "2026-01-03 正文：第二篇。"]
+    assert C.packed_parts("第一条 甲。第二条 乙。", "law", 8, 0) == ["第一条 甲。", "第二条 乙。"]
+    layout = C.layout_chunks("# A\ntext\n| a |\n|---|\n| b |\n12\n![x](y)\nend")
+    assert layout == ["# A\ntext", "| a |\n|---|\n| b |", "![x](y)", "end"]
+
+
+def test_html_text_and_chains(spark):
+    from marlstone.operators import files as L
+
+    page = "<body><nav>menu</nav><article><p>one &amp; two</p><div class='ad'>buy</div><p>three</p></article><footer>f</footer></body>"
+    rows = spark.createDataFrame([(page,), (None,), ("<p>bare",)], "h string").select(L.html_text("h").alias("t")).collect()
+    assert [r.t for r in rows] == ["one & two three", "", "bare"]
+    pages = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 9)], "id bigint, ref bigint")
+    assert {r.id: r.chain for r in L.embed_chains(pages).collect()} == {1: [1, 2, 3], 2: [2, 3, 1], 3: [3, 1, 2], 4: [4]}
