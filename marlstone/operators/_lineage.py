@@ -1,19 +1,26 @@
-"""Cutting lineage between the steps of an iteration."""
+"""Tables in the shared folder, and cutting lineage between the steps of an iteration."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the checkpoint folder that the session names; a temporary one only in local mode."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    return f"{folder.rstrip('/')}/tables"
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """`df` computed once into a table of its own in the shared folder, and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,38 +3,27 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TERMS = 10_000
-
+from marlstone.operators._lineage import cut, shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/tables"
+MAX_TERMS = 10_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` committed as a table of its own in the session's shared folder, and read from there."""
-    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`old` stored by `key`, with the partitions that `new` has overwritten by it, and read back."""
-    path = f"{_folder(old.sparkSession)}/replaced-{uuid.uuid4().hex}"
+    path = f"{shared_folder(old.sparkSession)}/replaced-{uuid.uuid4().hex}"
     old.write.partitionBy(key).parquet(path)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
     return old.sparkSession.read.schema(old.schema).parquet(path)

@@ -43,9 +43,12 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, keep: list[str
     """
     if len(query) > MAX_QUERY_TOKENS:
         raise ValueError(f"a query has at most {MAX_QUERY_TOKENS} characters")
-    q = T.search_tokens(F.lit(query))  # a constant of the plan
-    tokens = docs.filter(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), *keep, T.search_tokens(F.col(text_col)).alias("tokens"))
-    rows = cut(tokens.select("id", *keep, F.size("tokens").alias("dl"), F.filter("tokens", lambda x: F.array_contains(q, x)).alias("hits")))
+    known = docs.sparkSession.range(1).select(T.search_tokens(F.lit(query)).alias("q")).first()["q"]
+    q = F.array(*map(F.lit, known)).cast("array<string>")  # a constant of the plan
+    # The tokens are bound to a name, so both uses take one evaluation.
+    found = F.transform(F.array(T.search_tokens(F.col(text_col))), lambda ts: F.struct(F.size(ts).alias("dl"), F.filter(ts, lambda x: x.isin(known)).alias("hits")))[0]
+    rows = docs.filter(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), *keep, found.alias("f"))
+    rows = cut(rows.select("id", *keep, "f.dl", "f.hits"))
     stats = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl")))
     tf = rows.select("id", *keep, "dl", F.explode("hits").alias("token")).groupBy("id", *keep, "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))

@@ -138,21 +138,6 @@ def visible_subgraph(t):
     return kept.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J7_tag_overlap_pairs", """WITH tag AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_type, ' ')) AS tag, p_brand FROM part UNION SELECT p_partkey, p_brand, p_brand FROM part),
-n AS (SELECT id, count(DISTINCT tag) AS n FROM tag GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM tag a JOIN tag b ON a.tag = b.tag AND a.p_brand = b.p_brand AND a.id < b.id GROUP BY 1, 2)
-SELECT c.a, c.b, round(k / (x.n + y.n - k), 6) AS similarity FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE k / (x.n + y.n - k) >= 0.2""")
-def tag_overlap_pairs(t):
-    """Parts of one brand whose tags overlap, as the SQL says: no pair across brands. J7_tag_overlap_classes has the pairs of all brands."""
-    tags = F.array_distinct(F.concat(F.split("p_type", " "), F.array("p_brand")))
-    p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), tags.alias("tags"))
-    each = p.select("id", "brand", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    right = each.select(F.col("id").alias("b"), "brand", F.col("n").alias("m"), "tag")
-    both = each.select(F.col("id").alias("a"), "brand", "n", "tag").join(right, ["brand", "tag"]).filter("a < b")
-    counted = both.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    s = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return counted.filter(s >= 0.2).select("a", "b", F.round(s, 6).alias("similarity"))
-
-
 _TAG_CLASSES = """tag AS (SELECT p_partkey AS id, list_sort(list_distinct(list_append(string_split(p_type, ' '), p_brand))) AS tags FROM part),
 c AS (SELECT min(id) AS id, count(*) AS n, tags FROM tag WHERE len(tags) > 0 GROUP BY tags)"""
 

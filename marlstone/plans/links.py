@@ -16,15 +16,13 @@ from marlstone.plans._base import query
 from marlstone.sources import formats as S
 
 
-@query("J9_embedding_neighbours", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 = 0
-WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.6""")
+@query("J9_embedding_neighbours", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 9) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT a, b, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10""")
 def embedding_neighbours(t):
-    """Of every twentieth vector, the later neighbours of its label, as the SQL says; J9_embedding_links has all vectors' neighbours."""
-    e = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("q"))
-    s = V.cosine(F.col("q"), F.col("v"))
-    return e.join(q, "label").filter(F.col("a") < F.col("vec_id")).withColumn("s", s).filter("s >= 0.6").select("a", F.col("vec_id").alias("b"), F.round("s", 6).alias("similarity"))
+    """The ten nearest of all vectors to every twentieth one; J9_embedding_links has all vectors' neighbours above a threshold."""
+    e = t("embeddings")
+    return R.search_many(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 10).select(F.col("query").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("similarity"))
 
 
 @query("J9_embedding_links", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.6 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) AND list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) > 0)

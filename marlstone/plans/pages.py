@@ -124,10 +124,10 @@ def _distinct_links(pages, most: int | None = None):
     return pages.select("page_id", F.explode(links if most is None else F.slice(links, 1, most)).alias("u"))
 
 
-@query("U13_image_dedup", "WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS p FROM pages), d AS (SELECT page_id, u, min(p) AS p FROM i GROUP BY page_id, u) SELECT page_id, u FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY p) <= 3")
+@query("U13_image_dedup", "WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS p FROM pages), d AS (SELECT page_id, u, min(p) AS p FROM i GROUP BY page_id, u) SELECT page_id, u FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY p) <= 8")
 def image_dedup(t):
-    """The first three links of a page, as the SQL says; U13_image_dedup_all has all."""
-    return _distinct_links(t("pages"), 3)
+    """The first eight distinct links of a page, the feature's limit; U13_image_dedup_all has all."""
+    return _distinct_links(t("pages"), 8)
 
 
 @query("U13_image_dedup_all", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u FROM pages")
