@@ -55,32 +55,31 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 _BLANK = " \t\n\x0b\f\r"
-_PATTERNS = {
-    "cjk": f"[{CJK}]", "letter": "[a-zA-Z]", "digit": "[0-9]", "blank": "[ \n]",
-    "special": rf"[^\w{_BLANK}{CJK}　-〿＀-￯.,;:!?“”‘’（）—…·-]",
-}
-_COUNTED = {k: re.compile(p) for k, p in _PATTERNS.items()}
-_GARBAGE = re.compile(rf"(?s:(.)\1{{4,}})|[a-zA-Z]{{20,}}|[^{CJK}\w{_BLANK}.,;:!?，。；：！？、\"'（）【】《》—…·/\\|@#$%^&*+=\[\]{{}}~`-]{{5,}}")
+_CJK_CHAR, _DIGIT = re.compile(f"[{CJK}]"), re.compile("[0-9]")
+_SPECIAL = re.compile(rf"[^\w{_BLANK}{CJK}　-〿＀-￯.,;:!?“”‘’（）—…·-]")
+_TEN_LETTERS, _LONG_WORD = re.compile("(?:[^a-zA-Z]*[a-zA-Z]){10}"), re.compile("[a-zA-Z]{20}")
+_ODD_RUN = re.compile(rf"[^{CJK}\w{_BLANK}.,;:!?，。；：！？、\"'（）【】《》—…·/\\|@#$%^&*+=\[\]{{}}~`-]{{5}}")
 _SENTENCE_END, _BLANKS = re.compile("[。！？\n]"), re.compile(f"[{_BLANK}]+")
 
 
 def _quality(text: str | None) -> float:
     if text is None or not text.strip(" "):
         return 0.0
-    n = {k: len(p.findall(text)) for k, p in _COUNTED.items()}
-    total = max(1, len(text) - n["blank"])
+    total = max(1, len(text) - text.count(" ") - text.count("\n"))
+    count = lambda pattern: len(pattern.findall(text))
+    garbage = any(c * 5 in text for c in set(text)) or _LONG_WORD.search(text) or _ODD_RUN.search(text)
     lines = text.split("\n")
     short = sum(0 < len(s.strip(" ")) < 3 for s in lines)
     sentences = [x for x in (s.strip(" ") for s in _SENTENCE_END.split(text)) if x]
     paragraphs = [p for p in (_BLANKS.sub("", p) for p in text.split("\n\n")) if p]
     defects = [
-        (n["cjk"] / total < 0.1 and n["letter"] < 10, 0.3),
-        (n["digit"] / total > 0.6, 0.3),
-        (n["special"] / total > 0.3, 0.2),
+        (not _TEN_LETTERS.match(text) and count(_CJK_CHAR) / total < 0.1, 0.3),
+        (count(_DIGIT) / total > 0.6, 0.3),
+        (count(_SPECIAL) / total > 0.3, 0.2),
         (bool(sentences) and sum(map(len, sentences)) / len(sentences) < 5, 0.2),
         (len(paragraphs) >= 2 and len(set(paragraphs)) < len(paragraphs), 0.2),
         (len(lines) > 5 and short / len(lines) > 0.5, 0.15),
-        (_GARBAGE.search(text) is not None, 0.3),
+        (bool(garbage), 0.3),
     ]
     return max(0.0, round(1.0 - sum(cost for defect, cost in defects if defect), 3))
 
