@@ -46,6 +46,65 @@ def outline(text: Column, most: int = 8) -> Column:
     return F.slice(F.transform(heads, lambda x: F.trim(x)), 1, most)
 
 
+def drop_footnote_marks(text: Column) -> Column:
+    """Without circled and dotted numbers, bracketed note numbers, and lines of a number alone."""
+    for pattern in ("[①-⑮⒈-⒑]", r"〔[0-9]+〕|［[0-9]+］|\([0-9]{1,3}\)", r"(?m)^[ \t]*[0-9]{1,3}[ \t]*$"):
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
+def drop_drawn_lines(text: Column) -> Column:
+    """Without block and box drawings, and without lines that rule a table drawn in characters."""
+    text = F.regexp_replace(text, r"(?m)^[ \t]*\+[-+]+\+[ \t]*$", "")
+    return F.regexp_replace(text, "[\u2500-\u25ff]+", "")
+
+
+def plain_characters(text: Column) -> Column:
+    """Wide and repeated blanks become one, characters of no width and controls go, and four or more dots become an ellipsis."""
+    for pattern, to in (("[ \u3000]+", " "), ("[\ufeff\u200b\u200c\u200d]", ""), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"\.{4,}|·{3,}", "……")):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def space_scripts(text: Column) -> Column:
+    """A blank between Han characters, Latin letters and digits that touch."""
+    for before, after in (("一-鿿", "A-Za-z0-9"), ("A-Za-z0-9", "一-鿿"), ("A-Za-z", "0-9"), ("0-9", "A-Za-z")):
+        text = F.regexp_replace(text, f"(?<=[{before}])(?=[{after}])", " ")
+    return text
+
+
+def join_han(text: Column) -> Column:
+    """Without blanks inside Han text and at its punctuation."""
+    text = F.regexp_replace(text, "(?<=[一-鿿])[ \t]+(?=[一-鿿，。！？；：、）】」』])", "")
+    return F.regexp_replace(text, "(?<=[（【「『])[ \t]+(?=[一-鿿])", "")
+
+
+def han_punctuation(text: Column) -> Column:
+    """Half-width punctuation after a Han character becomes full-width, and runs of closing marks become two."""
+    text = F.regexp_replace(text, r"([。！？])\1{2,}", "$1$1")
+    for mark, wide in ((",", "，"), (";", "；"), (":", "："), (r"\(", "（"), (r"\)", "）")):
+        text = F.regexp_replace(text, f"(?<=[一-鿿]){mark}(?=[一-鿿])", wide)
+    for mark, wide in ((r"\.", "。"), ("!", "！"), (r"\?", "？")):
+        text = F.regexp_replace(text, f"(?<=[一-鿿]){mark}(?=[一-鿿\\s]|\\z)", wide)
+    return text
+
+
+def space_headings(text: Column) -> Column:
+    """A blank line before and after each Markdown heading."""
+    text = F.regexp_replace(text, r"(?m)(?<=\S)[ \t]*\n(?=[ \t]*#{1,6}[ \t])", "\n\n")
+    return F.regexp_replace(text, r"(?m)^([ \t]*#{1,6}[ \t][^\n]*)\n(?=[ \t]*\S)", "$1\n\n")
+
+
+def label_academic(text: Column) -> Column:
+    """Abstracts become sections and keyword lines bold labels, in Chinese and English."""
+    for pattern, to in (
+        (r"(?m)^[ \t]*摘\s*要[ \t：:]*(\S.*)$", "## 摘要\n\n$1"), (r"(?m)^[ \t]*(?:关键词|关键字)[ \t：:]*(\S.*)$", "**关键词**：$1"),
+        (r"(?m)^[ \t]*Abstract[ \t：:]*([A-Za-z].*)$", "## Abstract\n\n$1"), (r"(?m)^[ \t]*Key[ \t]*words[ \t：:]*([A-Za-z].*)$", "**Keywords**: $1"),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def heading_level(line: Column) -> Column:
     """1 to 6 of a heading line by its marks or numbering; 0 of another line."""
     marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators import ann
 from marlstone.operators import retrieval as R
 from marlstone.plans._base import query
 from marlstone.plans.retrieval import _BM, _LISTS, _VEC, QUERY, WORDS, _bm25, _candidates, _vectors
@@ -154,3 +155,13 @@ def hit_rank(t):
     of = lambda c, n: labels.select(F.col("vec_id").alias(c), F.col("label").alias(n))
     hits = found.join(of("query", "want"), "query").join(of("id", "got"), "id").groupBy("query").agg(F.max((F.col("want") == F.col("got")).cast("int")).alias("hit"))
     return hits.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit"), 6).alias("recall_at_5"))
+
+
+@query("R5_index_search")
+def index_search(t):
+    """The ten nearest to every twentieth vector by the inverted-file index over all vectors; the tests hold its recall against R.search_many."""
+    e = t("embeddings")
+    model = ann.fit_cells(e, "vec_id", "embedding")
+    probes = ann.probes_for(e, "vec_id", "embedding", model, 10)
+    found = ann.search(e.filter("vec_id % 20 = 0"), ann.index(e, "vec_id", "embedding", model), model, "vec_id", "embedding", 10, probes)
+    return found.select("query", "id", F.round("score", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))

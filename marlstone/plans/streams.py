@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.plans._base import query
@@ -29,3 +30,13 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k
 def sessions(t):
     by = t("events").groupBy("user_id", F.session_window(F.col("ts"), "30 minutes").alias("s"))
     return by.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("X6_rolling_compression", """WITH m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role IN ('user', 'assistant') AND length(text) > 0)
+SELECT conv_id, r // 2 AS step, list(turn::BIGINT ORDER BY turn) AS turns FROM m WHERE n >= 4 + r // 2 * 2 GROUP BY conv_id, r // 2""")
+def rolling_compression(t):
+    """The batches of events.rolling_compression(trigger=4, keep=2, batch=2) over whole conversations: batch s goes once 4 + 2 s messages are there."""
+    said = t("conversations").filter("role IN ('user', 'assistant') AND length(text) > 0")
+    by = Window.partitionBy("conv_id")
+    m = said.withColumn("step", F.floor((F.row_number().over(by.orderBy("turn")) - 1) / 2)).withColumn("n", F.count(F.lit(1)).over(by))
+    return m.filter("n >= 4 + step * 2").groupBy("conv_id", "step").agg(F.array_sort(F.collect_list(F.col("turn").cast("bigint"))).alias("turns"))

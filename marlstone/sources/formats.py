@@ -47,10 +47,14 @@ def csv_markdown(data: bytes) -> str:
 
 
 def json_markdown(data: bytes) -> str:
-    """A list of objects is a table over all their keys, an object a section for each key, anything else its JSON."""
+    """A list of objects, or an object a line, is a table over all their keys, an object a section for each key, anything else its JSON."""
     import json
 
-    value = json.loads(decode(data))
+    text = decode(data)
+    try:
+        value = json.loads(text)
+    except ValueError:
+        value = [json.loads(line) for line in text.splitlines() if line.strip()]
     if isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
         keys = list(dict.fromkeys(k for x in value for k in x))
         return markdown_table([keys, *[[x.get(k, "") for k in keys] for x in value]])
@@ -277,6 +281,28 @@ def markdown_tables(text: Column) -> Column:
     return F.transform(runs, lambda r: F.filter(F.transform(F.split(r, "\n", -1), lambda x: F.trim(x)), lambda s: (F.length(s) > 0) & ~s.rlike("^[|:\\-\\s]+$")))
 
 
+def vault_notes(notes: DataFrame) -> DataFrame:
+    """path, title, tags and body of the Markdown notes (path, text) of a vault, unique by path.
+
+    `[[note|shown]]` becomes a Markdown link to the note of that name, whatever its case (of two the first path), or to the
+    name itself if there is none; `#tag` becomes its label; a leading `---` block goes, and its tags become a list. A null
+    text gives an empty body."""
+    base = notes.select("path", F.regexp_replace("path", r"\.[^./]*$", "").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    link = r"\[\[([^\]]+)\]\]"
+    links = base.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(link), F.lit(1))).alias("k", "link"))
+    target = F.trim(F.substring_index("link", "|", 1))
+    links = links.select("path", "k", target.alias("to"), F.coalesce(F.trim(F.get(F.split("link", r"\|", -1), 1)), target).alias("shown"))
+    names = base.groupBy(F.lower(F.substring_index("title", "/", -1)).alias("name")).agg(F.min("title").alias("found"))
+    links = links.join(names, F.lower("to") == F.col("name"), "left").withColumn("made", F.concat(F.lit("["), "shown", F.lit("]("), F.coalesce("found", "to"), F.lit(")")))
+    made = links.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "made"))).alias("made"))
+    parts = F.zip_with(F.split("text", link, -1), F.col("made.made"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    linked = F.when(F.col("made").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+    read = frontmatter(F.regexp_replace(linked, r"(?U)#(\w+)", "标签:$1"))
+    out = base.join(made, "path", "left").withColumn("read", read)
+    tags = F.filter(F.transform(F.split(F.coalesce(F.try_element_at("read.meta", F.lit("tags")), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return out.select("path", "title", tags.alias("tags"), F.trim("read.body").alias("body"))
+
+
 def write_partitioned(rows: DataFrame, path: str, key: str) -> None:
     """Replaces the partitions of `key` that `rows` has, and leaves the others; other writers see all of a job or nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

@@ -55,6 +55,33 @@ def running_last(events: DataFrame, late: str = "2 days", keep_hours: int = 24)
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_type string", "n bigint, last string, at bigint", "update", "EventTimeTimeout")
 
 
+def rolling_compression(messages: DataFrame, trigger: int = 40, keep: int = 6, batch: int = 20) -> DataFrame:
+    """conv_id, step and the turns of each batch of messages that a conversation's rolling summary takes in.
+
+    Once `trigger` messages of user and assistant are open, the first `batch` of them go, but never one of the last `keep`.
+    The state of a conversation is its open turns, fewer than `trigger` of them; a micro-batch holds turns in any order, and
+    later micro-batches later turns."""
+    if trigger < batch + keep or batch < 1:
+        raise ValueError("the trigger must hold a batch and the messages to keep")
+
+    def step(key: tuple, rows: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        open_turns, done = state.get if state.exists else ([], 0)
+        arrived = sorted(t for part in rows for t in part["turn"].tolist())
+        out = []
+        for turn in arrived:
+            open_turns = [*open_turns, turn]
+            if len(open_turns) >= trigger:
+                out.append((key[0], done, open_turns[:batch]))
+                open_turns, done = open_turns[batch:], done + 1
+        state.update((open_turns, done))
+        yield pd.DataFrame(out, columns=["conv_id", "step", "turns"])
+
+    said = messages.filter("role IN ('user', 'assistant') AND length(text) > 0").select("conv_id", F.col("turn").cast("long").alias("turn"))
+    return said.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, step bigint, turns array<bigint>", "open array<bigint>, done bigint", "append", "NoTimeout")
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Writes all that is there to `path`, exactly once by the checkpoint, and stops."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
