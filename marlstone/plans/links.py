@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
 from marlstone.operators import chunking as C
+from marlstone.operators import ordered as O
 from marlstone.operators import retrieval as R
 from marlstone.plans._base import query
 from marlstone.sources import formats as S
@@ -116,22 +117,10 @@ def multi_key_order(t):
 @query("T7_degree_capped_edges")
 def degree_capped_edges(t):
     """Greedy: of each nation's supplier and part pairs by quantity, those with an end that still has fewer than two."""
-
-    def choose(pairs):
-        pairs = pairs.sort_values(["weight", "s", "p"], ascending=[False, True, True])
-        degree: dict[tuple, int] = {}
-        kept = []
-        for row in pairs.itertuples():
-            a, b = ("s", row.s), ("p", row.p)
-            ok = degree.get(a, 0) < 2 or degree.get(b, 0) < 2
-            kept.append(ok)
-            if ok:
-                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-        return pairs[kept]
-
     supplier = t("supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").cast("long").alias("nation"))
-    pairs = t("lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").alias("weight"))
-    return pairs.join(supplier, "s").select("nation", "s", "p", "weight").groupBy("nation").applyInPandas(choose, "nation bigint, s bigint, p bigint, weight double")
+    pairs = t("lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").cast("double").alias("weight")).join(supplier, "s")
+    edges = pairs.select("nation", "s", "p", "weight", F.struct((-F.col("weight")).alias("w"), "s", "p").alias("k"), F.col("s").alias("a"), F.struct("nation", "p").alias("b"))
+    return O.degree_capped(edges, 2).select("nation", "s", "p", "weight")
 
 
 @query("W2_first_wins", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT source, doc_id FROM r WHERE r = 1")
@@ -163,14 +152,20 @@ def table_chunks(t):
     return C.chunk_with(t("documents"), "doc_id", "text", C.table_chunks)
 
 
-@query("S12_markdown_tables")
+@query("S12_markdown_tables", r"SELECT item_id, 2 AS n_rows, '| ' || item_id || ' | ' || regexp_replace(text, '[| \t\n\x0B\f\r]+', ' ', 'g') || ' |' AS last_row FROM benchmark")
 def markdown_tables(t):
-    page = F.concat(F.lit("| id | text |\n|---|---|\n| "), F.col("item_id").cast("string"), F.lit(" | "), F.substring("text", 1, 20), F.lit(" |\n"))
-    return t("benchmark").select("item_id", F.size(S.markdown_tables(page)[0]).alias("rows"))
+    """The whole texts, written as tables of one row, and read again."""
+    cell = F.regexp_replace("text", r"[| \t\n\x0B\f\r]+", " ")
+    page = F.concat(F.lit("| id | text |\n|---|---|\n| "), F.col("item_id").cast("string"), F.lit(" | "), cell, F.lit(" |\n"))
+    rows = S.markdown_tables(page)[0]
+    return t("benchmark").select("item_id", F.size(rows).cast("long").alias("n_rows"), F.element_at(rows, -1).alias("last_row"))
 
 
-@query("S14_feed_items")
+@query("S14_feed_items", "SELECT page_id, trim(regexp_extract(html, '<title>([^<&]*)', 1)) AS title, url AS link, '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS published FROM pages")
 def feed_items(t):
+    """Each page's title and address, written as a feed's item with a date, and read again."""
     title = F.regexp_extract("html", "<title>([^<&]*)", 1)
-    feed = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>http://x</link></item></channel></rss>"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
+    link = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    feed = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><pubDate>"), day, F.lit("</pubDate></item></channel></rss>"))
     return t("pages").select("page_id", F.explode(S.feed_items(feed)).alias("i")).select("page_id", "i.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import clean as C
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
+from marlstone.operators.ordered import previous
 from marlstone.plans._base import query
 
 
@@ -203,8 +204,9 @@ def context_string(t):
 @query("F43_version_diff")
 def version_diff(t):
     """Each document against the one before it in its source."""
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = t("documents").select("doc_id", "text", before.alias("before")).filter("before IS NOT NULL")
+    docs = t("documents").select("doc_id", "source", "text")
+    known = previous(docs.select("source", "doc_id"), "source", "doc_id").filter("before IS NOT NULL").select("doc_id", F.col("before").alias("earlier"))
+    pairs = docs.join(known, "doc_id").join(docs.select(F.col("doc_id").alias("earlier"), F.col("text").alias("before")), "earlier").filter("before IS NOT NULL")
     return pairs.select("doc_id", C.line_diff(F.col("before"), F.col("text")).alias("d")).select("doc_id", "d.*")
 
 

@@ -236,3 +236,37 @@ def test_html_text_and_chains(spark):
     assert [r.t for r in rows] == ["one & two three", "", "bare"]
     pages = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 9)], "id bigint, ref bigint")
     assert {r.id: r.chain for r in L.embed_chains(pages).collect()} == {1: [1, 2, 3], 2: [2, 3, 1], 3: [3, 1, 2], 4: [4]}
+
+
+def test_previous_id_of_a_group(spark):
+    from marlstone.operators.ordered import previous
+
+    rows = [(k % 3 or None, k * k) for k in range(200)]
+    want = {}
+    for g, i in sorted(rows, key=lambda r: r[1]):
+        want[i] = max((j for h, j in rows if h == g and j < i), default=None)
+    docs = spark.createDataFrame(rows, "g int, i long")
+    for per_range in (1, 7, 4096):
+        assert {r.i: r.before for r in previous(docs, "g", "i", per_range).collect()} == want
+    assert previous(docs.filter("i < 0"), "g", "i").collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_degree_capped_edges_are_the_greedy_ones(spark, seed):
+    import random
+
+    from marlstone.operators.ordered import degree_capped
+
+    dice = random.Random(seed)
+    pairs = sorted({(min(dice.randrange(9), dice.randrange(9)), dice.randrange(9)) for _ in range(60)})
+    dice.shuffle(pairs)
+    want, degree = [], {}
+    for k, (a, b) in enumerate(pairs):
+        if degree.get(("a", a), 0) < 2 or degree.get(("b", b), 0) < 2:
+            want.append(k)
+            for end in (("a", a), ("b", b)):
+                degree[end] = degree.get(end, 0) + 1
+    edges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a int, b int")
+    assert len(want) < len(pairs)
+    assert sorted(r.k for r in degree_capped(edges, 2).collect()) == want
+    assert degree_capped(edges.filter("k < 0"), 2).collect() == []
