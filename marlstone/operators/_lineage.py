@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder(spark.sparkContext.applicationId)
     return f"{folder.rstrip('/')}/tables"
 
 
