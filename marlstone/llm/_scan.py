@@ -62,6 +62,14 @@ class Texts:
         last[cuts[cuts > 0] - 1] = True
         return np.flatnonzero(first & ~out), np.flatnonzero(last & ~out) + 1
 
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words, in order."""
+        return self._edges(self.space)
+
+    def folded(self) -> np.ndarray:
+        """The bytes, A-Z as a-z."""
+        return _FOLDED[self.data]
+
     def owner(self, starts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, starts, "right") - 1
 

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the whole tables, and their SQL where SQL can say the same."""
+"""The queries op1 to op13 over the whole tables, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, html_extract, media, mixing, neardup, pii, quality, sharding, token_counts, token_shards
+from marlstone.llm import bpe, conversations, html_extract, media, mixing, neardup, pii, quality, sharding, simhash, token_counts, token_shards, vector_codes
 
 
 def tokenizer_file(name: str) -> str:
@@ -64,8 +64,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_documents(spark, sf_dir))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_media, op3_token_shards, op4_bpe, op5_neardup, op6_sharding, op7_mixing, op8_token_counts, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_html, op2_media, op3_token_shards, op4_bpe, op5_neardup, op6_sharding, op7_mixing, op8_token_counts, op9_quality, op10_pii, op11_simhash, op12_conversations, op13_vector_codes)}
 
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
