@@ -52,8 +52,10 @@ CONTENT_NAMES = frozenset("article content main post entry story body text".spli
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 KEEP_TAGS = frozenset("html body article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quote opens a value only after an equals sign; elsewhere in a tag it is a character like any other.
+_VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*"
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:{_VALUE})?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
@@ -230,14 +232,13 @@ class Page:
         block = self._block_of()
         first = int(np.searchsorted(block, block[region[0]], "left"))
         last = int(np.searchsorted(block, block[region[1] - 1], "right"))
-        top = held[0]
-        for x in dict.fromkeys(held):
-            while self.depth[top] > self.depth[x]:
+        # Elements are numbered as they open, so what holds the first and the last of them holds them all.
+        top, x = min(held), max(held)
+        while top != x:
+            if self.depth[top] >= self.depth[x]:
                 top = self.parent[top]
-            while self.depth[x] > self.depth[top]:
+            else:
                 x = self.parent[x]
-            while top != x:
-                top, x = self.parent[top], self.parent[x]
         while self.tags[top] in INLINE or self.tags[top] in ("p", "h1", "h2", "li"):
             top = self.parent[top]
         if self.tags[top] in ("#page", "html", "body"):

@@ -44,7 +44,7 @@ CHAIN, SKIP, NEAR = range(3)
 SKIP_LENGTH = 6
 DAMPING = 0.5
 #: A document's messages have settled when none changes by more than TOLERANCE in a round. An edge passes on at most four
-#: fifths of a change, so that takes some hundred rounds at most; ENDLESS only ends a document that would swing for ever.
+#: fifths of a change, so that takes some hundred rounds at most; a document that swings for ENDLESS rounds is an error.
 TOLERANCE, ENDLESS = 1e-5, 10_000
 
 # Fixed values of the base patterns.
@@ -188,6 +188,41 @@ def similar(a: str, b: str) -> bool:
     return diff[-1] - diff[0] < len(a) // 4
 
 
+_MODULUS, _FACTOR = (1 << 61) - 1, 0x1B873593CC9E2D51
+
+
+def _near(cores: list[str]) -> Iterator[tuple[str, str]]:
+    """Pairs of similar cores; every two similar ones are a pair, or both a pair with a third.
+
+    Cores of one length are similar exactly if they agree outside some window of a quarter of it. For each window the
+    characters around it are a key, by rolling hashes; the cores of a key are each paired with the first of them."""
+    by_length: dict[int, list[str]] = {}
+    for core in cores:
+        if len(core) >= 8:
+            by_length.setdefault(len(core), []).append(core)
+    for n, same in by_length.items():
+        if len(same) < 2:
+            continue
+        window, found = n // 4, set()
+        first: dict[tuple[int, int], list[str]] = {}
+        power = [1]
+        for _ in range(n):
+            power.append(power[-1] * _FACTOR % _MODULUS)
+        for core in same:
+            sums = [0]  # of the first k characters, each times the power of its place
+            for k, c in enumerate(core):
+                sums.append((sums[-1] + (ord(c) + 1) * power[k]) % _MODULUS)
+            for at in range(n - window + 1):
+                others = first.setdefault((at, (sums[at] + sums[n] - sums[at + window]) % _MODULUS), [])
+                for other in others:
+                    if core[:at] == other[:at] and core[at + window :] == other[at + window :]:
+                        found.add((other, core))
+                        break
+                else:
+                    others.append(core)
+        yield from sorted(found)
+
+
 class Graph:
     """One document's field. Nodes are the active tokens, in order, and behind them the shared nodes of equal ones.
 
@@ -228,17 +263,7 @@ class Graph:
 
     def _skip(self, places: dict[str, list[int]], shapes: dict[str, tuple[str, ...]]) -> None:
         """Edges of the tokens of one core to their shared node, and between the shared nodes of similar cores."""
-        by_part: dict[tuple[int, int, str], str] = {}
-        near: list[tuple[str, str]] = []
-        for core in places:
-            if len(core) >= 8:
-                halves = [(len(core), k, h) for k, h in enumerate((core[: len(core) // 2], core[len(core) // 2 :]))]
-                for half in halves:
-                    if (other := by_part.get(half)) is not None and similar(core, other):
-                        near.append((other, core))
-                        break
-                for half in halves:
-                    by_part[half] = core
+        near = list(_near(list(places)))
         joined_up = {c for pair in near for c in pair} | {c for c, at in places.items() if len(at) > 1}
         shared = {core: len(self.spans) + k for k, core in enumerate(c for c in places if c in joined_up)}
         for core, at in places.items():
@@ -302,6 +327,8 @@ def marginals(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray, owner:
             settled += before - messages.incoming()
             if not len(messages.src):
                 break
+    else:
+        raise RuntimeError(f"messages of a document haven't settled in {ENDLESS} rounds")
     return unary + settled + messages.incoming()
 
 
