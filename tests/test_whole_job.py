@@ -6,7 +6,6 @@ import zipfile
 
 import numpy as np
 
-from marlstone.llm import pii
 from marlstone.operators import chunking, graph, retrieval
 from marlstone.plans import pages
 from marlstone.sources import formats
@@ -43,32 +42,6 @@ def test_all_links_of_a_page(spark):
     assert [r.u for r in pages._distinct_links(table, 8).collect()] == every[:8]
 
 
-def test_one_telling_place_labels_every_repeat():
-    core = "abcdefgh1234"
-    assert pii.find([f"a bare {core} has no span"])[0][1] == []
-    far = f'password = "{core}" ' + " ".join(f"then other words and {core} again" for _ in range(200))
-    for text in (far, " ".join(reversed(far.replace(f'password = "{core}"', f'"{core}" = password').split())).replace(f'"{core}" = password', f'password = "{core}"')):
-        spans = pii.find([text, "something 12 else"])[0][1]
-        assert len(spans) == text.count(core) == 201 and core not in pii.redact(text, spans)
-
-
-def test_messages_run_until_they_settle():
-    n = 40  # evidence at one end of a chain whose other nodes hardly decide
-    unary = np.zeros((n, 3))
-    unary[:, 0], unary[0, 1] = 1e-4, 9
-    edges = np.array([(k, k + 1) for k in range(n - 1)])
-    got = pii.marginals(unary, edges, np.full(n - 1, 2.5), np.zeros(n, np.int64))
-    e = np.exp(2.5 * np.eye(3))
-    forward, backward = [np.ones(3)], [np.ones(3)]
-    for k in range(n - 1):
-        forward.append((forward[-1] * np.exp(unary[k])) @ e)
-        backward.append((backward[-1] * np.exp(unary[n - 1 - k])) @ e)
-        forward[-1] /= forward[-1].sum()
-        backward[-1] /= backward[-1].sum()
-    want = np.log([f * b * np.exp(u) for f, b, u in zip(forward, reversed(backward), unary)])
-    assert np.abs((got - got[:, :1]) - (want - want[:, :1])).max() < 1e-3
-
-
 def test_prose_beside_tables_and_code_is_kept(spark):
     assert chunking.table_chunks("before\n\n| a | b |\n|---|---|\n| 1 | 2 |\nbetween\n| no | separator |\n| 3 | 4 |\nafter") == ["before", "| a | b |\n|---|---|\n| 1 | 2 |", "between", "| no | separator |\n| 3 | 4 |", "after"]
     assert chunking.table_chunks("only prose") == chunking.code_texts("only prose") == ["only prose"]
