@@ -24,8 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tables"
 
 
+def forget_at_exit(spark: SparkSession, folder: str) -> None:
+    """`folder` goes when the session's application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """`df` computed once into a table of its own in the shared folder, and read from there."""
+    """`df` computed once into a table of its own in the shared folder, and read from there; the table goes with the application."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,9 @@ from marlstone.functions import clean as C
 from marlstone.functions import terms as X
 from marlstone.functions import text as T
 from marlstone.operators import files as L
+from marlstone.operators import index as I
 from marlstone.plans._base import query
+from marlstone.plans.retrieval import _TOK
 
 @query("F2_full_text_terms", "SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL)")
 def full_text_terms(t):
@@ -157,12 +159,11 @@ def collected_items(t):
     return c.groupBy(F.regexp_replace("link", "[0-9]+$", "").alias("key")).agg(F.min_by(F.struct("page_id", "link"), "page_id").alias("x")).select("x.*")
 
 
-@query("K5_index_save_load", "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents WHERE text IS NOT NULL) SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM w GROUP BY term")
+@query("K5_index_save_load", f"WITH {_TOK} SELECT token, count(DISTINCT id) AS n_docs, count(*) AS n_hits, max(len(tokens)) AS longest FROM (SELECT id, tokens, unnest(tokens) AS token FROM tok) GROUP BY token")
 def index_save_load(t):
-    """An inverted index written as a table of term and sorted document ids, and read back."""
-    w = t("documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.matches(F.lower(F.col("text")), "[a-z0-9]+"))).alias("term"))
-    index = L.stored(w, "postings")
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_doc"), F.max("id").alias("last_doc"))
+    """The stored inverted index that searches use, opened again from its folder: each token's documents and hits, from its blocks."""
+    built = I.of_table(t("documents"), "doc_id", "text", ("source",))
+    return I.hits(I.load(built.spark, built.folder)).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_hits"), F.max("dl").cast("long").alias("longest"))
 
 
 @query("K1_vector_store", "SELECT label, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total FROM embeddings GROUP BY label")
@@ -181,18 +182,6 @@ def replaced_partition(t):
     return L.replaced(n, new, "doc_key").groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"), F.max("n_name").alias("last"))
 
 
-@query("X8_incremental_index", "WITH w AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents WHERE text IS NOT NULL) SELECT term, count(*) AS n_docs FROM w GROUP BY term")
-def incremental_index(t):
-    """Term counts of three increments added to a stored index, finalised by one merge at the end."""
-    docs = t("documents").filter("text IS NOT NULL")
-    parts = None
-    for k in range(3):
-        w = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k).select(F.explode(F.array_distinct(T.matches(F.lower(F.col("text")), "[a-z0-9]+"))).alias("term"))
-        part = L.stored(w.groupBy("term").agg(F.count(F.lit(1)).alias("n")), f"increment{k}")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("term").agg(F.sum("n").alias("n_docs"))
-
-
 @query("S23_store_scan", "SELECT vec_id, label, CASE WHEN label = 0 THEN 'default' ELSE 'kb' || label END AS kb_id FROM embeddings ORDER BY vec_id LIMIT 10000")
 def store_scan(t):
     """The first 10,000 rows of a vector store with their knowledge base's name; that many is the feature."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
+from marlstone.operators import index as I
 from marlstone.operators import retrieval as R
 from marlstone.plans._base import query
 
@@ -27,8 +28,18 @@ def _query_vector(t) -> list[float]:
     return t("embeddings").filter("vec_id = 0").first()["embedding"]
 
 
+def _index(t) -> I.Index:
+    """The stored index of documents; the first search of a session builds it."""
+    return I.of_table(t("documents"), "doc_id", "text", ("source",))
+
+
 def _bm25(t, keep=()):
-    return R.bm25(t("documents"), QUERY, "doc_id", "text", keep)
+    found = I.scores(_index(t), QUERY)
+    return found.select("id", *keep, "score")
+
+
+def _best(t, k: int):
+    return I.best(_index(t), QUERY, k).select("id", "score", "rank")
 
 
 def _vectors(t):
@@ -56,7 +67,7 @@ def corpus_stats(t):
 
 @query("R1_bm25_topk", f"WITH {_BM} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm ORDER BY score DESC, id LIMIT 10")
 def bm25_topk(t):
-    return R.top(_bm25(t), 10).withColumn("score", F.round("score", 6))
+    return _best(t, 10).withColumn("score", F.round("score", 6))
 
 
 @query("R2_bm25_by_source", f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM bm) SELECT source, id, round(score, 6) AS score, rank FROM r WHERE rank <= 3")
@@ -106,14 +117,14 @@ _LISTS = f"{_BM}, {_VEC}, b AS (SELECT id, score, row_number() OVER (ORDER BY sc
 @query("R8_hybrid_search", f"""WITH {_LISTS}, u AS (SELECT id, 0.6 / (60 + rank) AS part, 'vector' AS s FROM v UNION ALL SELECT id, 0.4 / (60 + rank), 'keyword' FROM b)
 SELECT id, round(sum(part), 6) AS score, string_agg(s, ',' ORDER BY s) AS sources FROM u GROUP BY id ORDER BY sum(part) DESC, id LIMIT 10""")
 def hybrid_search(t):
-    fused = R.rrf([("vector", R.top(_vectors(t), 30), R.VECTOR_WEIGHT), ("keyword", R.top(_bm25(t), 30), R.KEYWORD_WEIGHT)])
+    fused = R.rrf([("vector", R.top(_vectors(t), 30), R.VECTOR_WEIGHT), ("keyword", _best(t, 30), R.KEYWORD_WEIGHT)])
     return fused.orderBy(F.desc("score"), "id").limit(10).withColumn("score", F.round("score", 6))
 
 
 @query("R9_multi_list_fusion", f"""WITH {_LISTS}, l AS (SELECT id, rank, 1.0 AS w FROM b UNION ALL SELECT id, rank, 0.7 FROM v UNION ALL SELECT id, row_number() OVER (ORDER BY id DESC), 0.7 FROM (SELECT id FROM b ORDER BY id DESC LIMIT 10))
 SELECT id, round(sum(w / (60 + rank)), 6) AS score FROM l GROUP BY id""")
 def multi_list_fusion(t):
-    base = R.top(_bm25(t), 30)
+    base = _best(t, 30)
     variant = base.orderBy(F.desc("id")).limit(10).select("id", F.row_number().over(Window.orderBy(F.desc("id"))).alias("rank"))
     return R.rrf([("base", base, 1.0), ("vector", R.top(_vectors(t), 30), 0.7), ("variant", variant, 0.7)]).select("id", F.round("score", 6).alias("score"))
 
@@ -123,15 +134,15 @@ o AS (SELECT id, score / max(score) OVER () AS o FROM (SELECT id, score FROM bm
 SELECT id, round(coalesce(v * 0.6, 0) + coalesce(k * 0.4, 0) + CASE WHEN v IS NOT NULL AND k IS NOT NULL THEN 0.1 ELSE 0 END, 6) AS score FROM f
 UNION ALL SELECT id, round(o * 0.2, 6) FROM o WHERE id NOT IN (SELECT id FROM f)""")
 def max_norm_merge(t):
-    hits = _bm25(t)
-    return R.max_norm_merge(R.top(_vectors(t), 30), R.top(hits, 30), R.top(hits, 60)).withColumn("score", F.round("score", 6))
+    hits = _best(t, 60)
+    return R.max_norm_merge(R.top(_vectors(t), 30), hits.filter("rank <= 30"), hits).withColumn("score", F.round("score", 6))
 
 
 _CAND = f"{_BM}, cand AS (SELECT bm.id, bm.score, d.text FROM bm JOIN documents d ON d.doc_id = bm.id ORDER BY bm.score DESC, bm.id LIMIT 50)"
 
 
 def _candidates(t):
-    best = R.top(_bm25(t), 50).select("id", "score")
+    best = _best(t, 50).select("id", "score")
     return t("documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(best), "id")
 
 
@@ -166,7 +177,7 @@ n AS (SELECT *, (score - min(score) OVER ()) / greatest(max(score) OVER () - min
 r AS (SELECT id, rank, 0.52 + z * 0.28 + s * 0.15 + CASE WHEN in_both THEN 0.04 ELSE 0 END AS raw FROM n)
 SELECT id, rank, round(greatest(0.35, least(0.96, CASE WHEN rank = 1 THEN greatest(raw, 0.86) ELSE raw END)), 6) AS display_score FROM r""")
 def score_calibration(t):
-    best = R.top(_bm25(t), 30).join(R.top(_vectors(t), 30).select("id", F.lit(True).alias("both")), "id", "left").withColumn("both", F.coalesce("both", F.lit(False)))
+    best = _best(t, 30).join(R.top(_vectors(t), 30).select("id", F.lit(True).alias("both")), "id", "left").withColumn("both", F.coalesce("both", F.lit(False)))
     return R.calibrate(best).select("id", "rank", F.round("display_score", 6).alias("display_score"))
 
 
@@ -177,7 +188,7 @@ def candidates_in_kb(t):
 
 @query("U7_fuzzy_multi_query_union", f"WITH {_LISTS}, u AS (SELECT id, score FROM b UNION ALL SELECT id, score FROM v) SELECT id, round(max(score), 6) AS score FROM u GROUP BY id")
 def multi_query_union(t):
-    lists = R.top(_bm25(t), 30).select("id", "score").unionByName(R.top(_vectors(t), 30).select("id", "score"))
+    lists = _best(t, 30).select("id", "score").unionByName(R.top(_vectors(t), 30).select("id", "score"))
     return lists.groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
 
 

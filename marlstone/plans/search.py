@@ -9,7 +9,7 @@ from marlstone.functions import text as T
 from marlstone.operators import ann
 from marlstone.operators import retrieval as R
 from marlstone.plans._base import query
-from marlstone.plans.retrieval import _BM, _LISTS, _VEC, QUERY, WORDS, _bm25, _candidates, _vectors
+from marlstone.plans.retrieval import _BM, _LISTS, _VEC, QUERY, WORDS, _best, _candidates, _vectors
 
 _ASCII = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
 
@@ -103,7 +103,7 @@ SELECT id, l AS source_rank, round(score, 6) AS score FROM r ORDER BY l, r.score
 def context_resolve(t):
     """Evidence of files and of the keyword search: without texts that share no term, equal texts once, twelve at most."""
     files = _evidence(t).orderBy(F.desc("score"), "id").limit(8).withColumn("l", F.lit(0))
-    best = R.top(_bm25(t), 8).select("id", "score")
+    best = _best(t, 8).select("id", "score")
     known = t("documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(best), "id").select("id", "text", "score", F.lit(1).alias("l"))
     place = F.row_number().over(Window.partitionBy(F.md5("text")).orderBy("l", F.desc("score"), "id"))
     terms = T.agent_terms(F.lit("the token of src1 and reha"))
