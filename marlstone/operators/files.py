@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from marlstone.operators._lineage import cut, shared_folder
 
-MAX_TERMS = 10_000
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` committed as a table of its own in the session's shared folder, and read from there."""
     return cut(df, name)
@@ -60,15 +57,6 @@ def split_long(docs: DataFrame, id_col: str, text_col: str, rule: str, size: int
     return rows.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("part", "content"))
 
 
-def first_match(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and skill: the smallest id of `terms` (id, term) whose term a text holds, or null. At most MAX_TERMS terms, which is checked."""
-    known = terms.filter("term <> ''").limit(MAX_TERMS + 1).collect()
-    if len(known) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
-    found = [F.when(F.contains("_t", F.lit(r["term"])), F.lit(r["id"])) for r in sorted(known, key=lambda r: r["id"])]
-    return docs.select(F.col(id_col), F.lower(text_col).alias("_t")).select(id_col, F.coalesce(*found, F.lit(None)).alias("skill"))
-
-
 def embed_chains(pages: DataFrame, most: int = 5) -> DataFrame:
     """id, chain and depth of `pages` (id, ref): what each page embeds in turn, until a page that is in the chain already, or `most` deep."""
     step = pages.select(F.col("id").alias("_id"), F.col("ref").alias("_ref"))

@@ -41,6 +41,10 @@ TIERS = 32
 NAMED_WINDOWS = 4096
 
 
+#: Words named as literals of a scan; more are joined.
+NAMED_WORDS = 5000
+
+
 @dataclass(frozen=True)
 class Segment:
     """A part of an index: its number, the batches that it stands for, and its tier."""
@@ -51,12 +55,17 @@ class Segment:
     tier: int
 
 
+#: The ways to cut a text into tokens, by the name that an index keeps.
+TOKENIZERS = {"search": T.search_tokens, "words": lambda text: T.matches(F.lower(text), "[a-z0-9]+")}
+
+
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
     folder: str
     keep: tuple[str, ...] = ()
     segments: tuple[Segment, ...] = ()
+    tokenizer: str = "search"
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -96,7 +105,7 @@ class Index:
         path, fs = self._path("live")
         fresh, _ = self._path(f"live-{uuid.uuid4().hex}")
         out = fs.create(fresh)
-        out.write(bytearray(json.dumps({"keep": self.keep, "segments": [[s.number, s.first, s.last, s.tier] for s in self.segments]}).encode()))
+        out.write(bytearray(json.dumps({"keep": self.keep, "tokenizer": self.tokenizer, "segments": [[s.number, s.first, s.last, s.tier] for s in self.segments]}).encode()))
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
         kind = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
@@ -117,7 +126,7 @@ def load(spark: SparkSession, folder: str) -> Index:
     stream = fs.open(path)
     state = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     stream.close()
-    return replace(empty, keep=tuple(state["keep"]), segments=tuple(Segment(*s) for s in state["segments"]))
+    return replace(empty, keep=tuple(state["keep"]), tokenizer=state["tokenizer"], segments=tuple(Segment(*s) for s in state["segments"]))
 
 
 def _write_segment(index: Index, number: int, hits: DataFrame, docs: DataFrame) -> None:
@@ -137,19 +146,19 @@ def _write_segment(index: Index, number: int, hits: DataFrame, docs: DataFrame)
 
 def _index_texts(index: Index, number: int, docs: DataFrame, id_col: str, text_col: str) -> None:
     """A segment from documents; each text is tokenised once."""
-    rows = docs.filter(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), *index.keep, T.search_tokens(F.col(text_col)).alias("tokens"))
+    rows = docs.filter(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), *index.keep, TOKENIZERS[index.tokenizer](F.col(text_col)).alias("tokens"))
     rows = cut(rows.withColumn("dl", F.size("tokens").cast("long")), "tokens")
     hits = rows.select("id", *index.keep, "dl", F.explode("tokens").alias("token")).groupBy("token", "id", *index.keep, "dl").agg(F.count(F.lit(1)).alias("tf"))
     _write_segment(index, number, hits, rows.select("id", "dl"))
 
 
-def build(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), folder: str | None = None) -> Index:
+def build(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), tokenizer: str = "search", folder: str | None = None) -> Index:
     """An index of all `docs` in one segment, in a new folder if none is named."""
     spark = docs.sparkSession
     if folder is None:
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         forget_at_exit(spark, folder)
-    index = Index(spark, folder, tuple(keep))
+    index = Index(spark, folder, tuple(keep), tokenizer=tokenizer)
     _index_texts(index, 0, docs, id_col, text_col)
     _write_gone(index, 0, docs.limit(0).select(F.col(id_col).alias("id")))
     return replace(index, segments=(Segment(0, 0, 0, 0),))._save()
@@ -206,11 +215,11 @@ def merged(index: Index) -> Index:
 # Search.
 
 
-def _tokens(spark: SparkSession, query: str) -> Counter:
+def _tokens(index: Index, query: str) -> Counter:
     """A query's tokens with their numbers; they are constants of the plan, and bounded by the query's length."""
     if len(query) > MAX_QUERY_TOKENS:
         raise ValueError(f"a query has at most {MAX_QUERY_TOKENS} characters")
-    return Counter(spark.range(1).select(T.search_tokens(F.lit(query)).alias("q")).first()["q"])
+    return Counter(index.spark.range(1).select(TOKENIZERS[index.tokenizer](F.lit(query)).alias("q")).first()["q"])
 
 
 def blocks(index: Index, tokens) -> DataFrame:
@@ -240,7 +249,7 @@ def _scored(index: Index, hits: DataFrame, weights: dict[str, Column], avg_dl: f
 
 def scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """id, the kept columns and the score of every document that has a token of the query."""
-    tokens = _tokens(index.spark, query)
+    tokens = _tokens(index, query)
     n, avg_dl = index.sizes if tokens and index.segments else (0, 0.0)
     if not n:
         return index.spark.range(0).select("id", *[F.lit(None).cast("string").alias(c) for c in index.keep], F.lit(0.0).alias("score"))
@@ -254,7 +263,7 @@ def scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
 
 def best(index: Index, query: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """The k rows of the greatest scores, ties by id, with their rank: what top(scores(...), k) gives."""
-    tokens = _tokens(index.spark, query)
+    tokens = _tokens(index, query)
     if not tokens or not index.segments or index.has_gone:
         return top(scores(index, query, k1, b), k)
     heads = blocks(index, tokens).select("segment", "token", "window", "n", "max_tf", "min_dl")
@@ -282,14 +291,31 @@ def best(index: Index, query: str, k: int, k1: float = K1, b: float = B) -> Data
     return top(_scored(index, inner(rows), weights, avg_dl, k1, b), k)
 
 
+def full_text(index: Index, words: list[str], title: str) -> DataFrame:
+    """id and score: occurrences of the words (repeated words count again), three times if the title, a kept column, has the
+    word, half for words of the vocabulary that are like one (linking.like_words). Postings of these words alone are read."""
+    from marlstone.operators.linking import like_words
+
+    spark, times = index.spark, Counter(words)
+    asked = spark.createDataFrame([(w, float(n)) for w, n in sorted(times.items())], "word string, times double")
+    near = like_words(index.postings.select(F.col("token").alias("term")).distinct(), words)
+    pairs = cut(asked.select("word", F.col("word").alias("token")).unionByName(near.select("word", F.col("term").alias("token"))).join(F.broadcast(asked), "word"), "words")
+    some = [r.token for r in pairs.select("token").distinct().limit(NAMED_WORDS + 1).collect()]
+    rows = blocks(index, some) if len(some) <= NAMED_WORDS else index.postings
+    found = rows.join(pairs, "token").select("word", "times", "token", F.inline("hits"))
+    held = F.when(F.contains(F.lower(title), F.col("word")), 3.0).otherwise(1.0)
+    part = F.col("times") * F.col("tf") * F.when(F.col("token") == F.col("word"), held).otherwise(0.5)
+    return found.groupBy("id").agg(F.sum(part).alias("score"))
+
+
 _KNOWN: dict[tuple, Index] = {}
 
 
-def of_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> Index:
+def of_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), tokenizer: str = "search") -> Index:
     """The index of a table of files, built once in a session as long as its files are the same."""
     meta = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     files = docs.groupBy(meta.alias("h")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.xxhash64("h", "n").cast("decimal(20,0)"))).first()[0]
-    key = (docs.sparkSession.sparkContext.applicationId, str(files), id_col, text_col, tuple(keep))
+    key = (docs.sparkSession.sparkContext.applicationId, str(files), id_col, text_col, tuple(keep), tokenizer)
     if key not in _KNOWN:
-        _KNOWN[key] = build(docs, id_col, text_col, keep)
+        _KNOWN[key] = build(docs, id_col, text_col, keep, tokenizer)
     return _KNOWN[key]

@@ -370,18 +370,3 @@ def positional_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """term, id and the sorted positions of each term in each document."""
     tokens = docs.select(F.col(id_col).alias("id"), F.posexplode(T.matches(F.lower(F.col(text_col)), "[a-z0-9]+")).alias("position", "term"))
     return tokens.groupBy("term", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-
-
-def full_text_search(docs: DataFrame, terms: list[str], id_col: str, text_col: str, title: Column) -> DataFrame:
-    """id and score: occurrences of the terms (repeated terms count again), three times if the title has the term, half for fuzzy terms.
-
-    A term of the text is a fuzzy hit if it holds a query term or is held by it, or has its length and one other letter.
-    """
-    q = F.array(*[F.lit(t) for t in terms])
-    tokens = docs.select(F.col(id_col).alias("id"), F.lower(title).alias("title"), F.explode(T.matches(F.lower(F.col(text_col)), "[a-z0-9]+")).alias("term"))
-    counted = tokens.groupBy("id", "title", "term").agg(F.count(F.lit(1)).alias("tf"))
-    each = counted.select("id", "title", "term", "tf", F.explode(q).alias("q"))
-    distance = F.aggregate(F.zip_with(F.split("term", ""), F.split("q", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
-    fuzzy = (F.length("term") >= 2) & (F.length("q") >= 2) & (F.contains("term", "q") | F.contains("q", "term") | ((F.length("term") == F.length("q")) & (distance <= 1)))
-    part = F.when(F.col("term") == F.col("q"), F.col("tf") * F.when(F.contains("title", "q"), 3.0).otherwise(1.0)).when(fuzzy, F.col("tf") * 0.5)
-    return each.withColumn("part", part).filter("part IS NOT NULL").groupBy("id").agg(F.sum("part").alias("score"))

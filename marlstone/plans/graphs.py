@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import graph as G
+from marlstone.operators import linking as K
 from marlstone.plans._base import query
 
 _NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, r_name AS label, 'region' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation' FROM nation
@@ -169,18 +170,30 @@ def similar_labels(t):
     return n.join(F.broadcast(n.toDF("b", "y")), F.col("a") < F.col("b")).filter(s > 0.3).select("a", "b", F.round(s, 3).alias("similarity"))
 
 
-@query("J11_entity_linking", "SELECT i.item_id, n.n_nationkey AS id FROM benchmark i JOIN nation n ON contains(lower(i.text), lower(left(n.n_name, 2)))")
+_TITLE = "string_split(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), ' ')"
+
+
+@query("J11_entity_linking", f"""WITH n AS (SELECT page_id AS node, unnest([{_TITLE}[1], {_TITLE}[2]]) AS term FROM pages), m AS (SELECT term, count(DISTINCT node) AS nodes FROM n WHERE term <> '' GROUP BY term)
+SELECT i.item_id, m.term, m.nodes FROM benchmark i JOIN m ON contains(lower(i.text), m.term)""")
 def entity_linking(t):
-    n = F.broadcast(t("nation").select(F.col("n_nationkey").alias("id"), F.lower(F.substring("n_name", 1, 2)).alias("label")))
-    return t("benchmark").join(n, F.contains(F.lower("text"), F.col("label"))).select("item_id", "id")
+    """Terms of nodes (pages, whose label and property are the first two words of their titles) that a passage holds, with the number of nodes that have each."""
+    words = F.split(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), " ")
+    nodes = t("pages").select(F.col("page_id").alias("node"), F.explode(F.array_distinct(F.slice(words, 1, 2))).alias("term")).filter("term <> ''")
+    known = nodes.groupBy("term").agg(F.count_distinct("node").alias("nodes"))
+    return K.holding(t("benchmark"), known, "item_id", "text").join(known, "term").select(F.col("id").alias("item_id"), "term", "nodes")
 
 
-@query("F44_page_tree", "WITH RECURSIVE tr(id, path, depth) AS (SELECT 'r' || r_regionkey, r_name, 0 FROM region UNION ALL SELECT 'n' || n_nationkey, tr.path || '/' || n_name, 1 FROM nation JOIN tr ON tr.id = 'r' || n_regionkey) SELECT id, path, depth FROM tr")
+@query("F44_page_tree", """WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 4 THEN NULL WHEN p_partkey % 50 = 0 THEN p_partkey + 25 WHEN p_partkey % 50 = 25 THEN p_partkey - 25 ELSE p_partkey // 3 END AS up, p_brand AS title, p_size FROM part),
+tr(id, path, depth) AS (SELECT id, title, 0 FROM p WHERE up IS NULL UNION ALL SELECT p.id, tr.path || '/' || p.title, depth + 1 FROM p JOIN tr ON tr.id = p.up)
+SELECT tr.id, path, depth, row_number() OVER (PARTITION BY up ORDER BY p_size, title, tr.id) AS place FROM tr JOIN p ON p.id = tr.id""")
 def page_tree(t):
-    roots = t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("path"), F.lit(0).alias("depth"))
-    kids = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("kid"), "n_name", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("id"))
-    level = roots.join(kids, "id").select(F.col("kid").alias("id"), F.concat_ws("/", "path", "n_name").alias("path"), F.lit(1).alias("depth"))
-    return roots.unionByName(level)
+    """Parts as pages: most hang on the third of their number, some on each other in circles, which belong to no tree; siblings by size and title."""
+    k = F.col("p_partkey")
+    up = F.when(k < 4, None).when(k % 50 == 0, k + 25).when(k % 50 == 25, k - 25).otherwise(F.floor(k / 3))
+    nodes = t("part").select(k.alias("id"), up.alias("parent"), F.col("p_brand").alias("title"), "p_size")
+    found = K.tree_places(nodes).join(nodes, "id")
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("p_size", "title", "id"))
+    return found.select("id", F.array_join("path", "/").alias("path"), "depth", place.alias("place"))
 
 
 @query("G12_sentence_cooccurrence", r"""WITH s AS (SELECT item_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS k FROM benchmark),

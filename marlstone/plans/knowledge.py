@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.functions import vector as V
 from marlstone.operators import extract as E
+from marlstone.operators import retrieval as R
+from marlstone.operators import simjoin as S
+from marlstone.operators._lineage import cut
 from marlstone.plans._base import query
 from marlstone.plans.graphs import _EDGES, _NODES, _edges, _nodes
 
@@ -83,19 +87,38 @@ def paths_within_two(t):
     return two.filter("a < b").select("a", "b").distinct().orderBy("a", "b").limit(5)
 
 
-@query("G14_document_relations", r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
-c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2), k AS (SELECT a, b, 'keywords' AS relation, k / (x.n + y.n - k) AS weight FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k / (x.n + y.n - k) >= 0.05),
-f AS (SELECT a.item_id AS a, b.item_id AS b, 'opening' AS relation, 0.2::DOUBLE AS weight FROM (SELECT item_id, lower(text)[1] AS c FROM benchmark) a JOIN (SELECT item_id, lower(text)[1] AS c FROM benchmark) b ON a.c = b.c AND a.item_id < b.item_id),
-u AS (FROM k UNION ALL FROM f) SELECT a, b, round(max(weight), 6) AS weight, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM u GROUP BY a, b""")
+@query("G14_document_relations", r"""WITH g AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}')) AS tags, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS ws FROM benchmark),
+p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.tags, b.tags)) AS t, len(a.tags) + len(b.tags) AS tn, len(list_intersect(a.ws, b.ws)) AS k, len(a.ws) + len(b.ws) AS kn FROM g a JOIN g b ON a.item_id < b.item_id),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+u AS (SELECT a, b, 'thematic_similarity' AS relation, least(1.0, 2 * t / (tn - t)) AS weight FROM p WHERE t > 0 AND t / (tn - t) >= 0.2
+UNION ALL SELECT a, b, CASE WHEN k >= 3 THEN 'shared_entities' ELSE 'thematic_similarity' END, least(1.0, k / (kn - k) * 1.5 + 0.2) FROM p WHERE k > 0 AND (k >= 3 OR k / (kn - k) >= 0.15)
+UNION ALL SELECT a.vec_id, b.vec_id, 'semantic_similarity', least(1.0, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.6 * sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)))
+SELECT a, b, round(max(weight), 6)::DOUBLE AS weight, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM u GROUP BY a, b""")
 def document_relations(t):
-    """Relations of two kinds, merged by pair: shared long words (joined by word), and one opening letter."""
-    w = t("benchmark").select(F.col("item_id").alias("a"), F.array_distinct(T.matches(F.lower("text"), "[a-z]{4,}")).alias("ws"))
-    each = w.select("a", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    c = each.join(each.select(F.col("a").alias("b"), F.col("n").alias("m"), "w"), "w").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    words = c.select("a", "b", F.lit("keywords").alias("relation"), (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("weight")).filter("weight >= 0.05")
-    first = t("benchmark").select(F.col("item_id").alias("a"), F.substring(F.lower("text"), 1, 1).alias("c"))
-    opening = first.join(first.select(F.col("a").alias("b"), "c"), "c").filter("a < b").select("a", "b", F.lit("opening").alias("relation"), F.lit(0.2).alias("weight"))
-    return E.merged_relations([words, opening]).withColumn("weight", F.round("weight", 6))
+    """Relations of three kinds, merged by pair: tags (words of nine letters or more) in common, keywords in common, and vectors of a cosine of 0.6."""
+    items = t("benchmark").select("item_id", T.matches(F.lower("text"), "[a-z]{9,}").alias("tags"), T.matches(F.lower("text"), "[a-z]{4,}").alias("ws"))
+    jaccard = lambda k, m, n: k / (m + n - k)
+
+    def pairs(column, need, accept, weight):
+        """Pairs of items by classes of equal sets; a class's own items are pairs, too."""
+        classes = cut(S.set_classes(items, "item_id", column), "classes")
+        found = S.similar_sets(classes, need, accept).select("a", "b", "k")
+        found = found.unionByName(classes.filter("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.size("terms").cast("long").alias("k")))
+        of = items.select(F.col("item_id"), F.array_sort(F.array_distinct(column)).alias("terms")).join(classes.select("terms", "class_id"), "terms")
+        side = lambda end: of.select(F.col("class_id").alias(end), F.col("item_id").alias(f"i_{end}"), F.size("terms").alias(f"m_{end}"))
+        # A class and itself: each pair once. Two classes: each of one with each of the other, as edges between items are the result here.
+        rows = found.join(side("a"), "a").join(side("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("i_a") < F.col("i_b")))
+        kind, w = weight(F.col("k"), jaccard(F.col("k"), F.col("m_a"), F.col("m_b")))
+        return rows.select(F.col("i_a").alias("a"), F.col("i_b").alias("b"), kind.alias("relation"), F.least(F.lit(1.0), w).alias("weight"))
+
+    tags = pairs("tags", lambda m: F.ceil(0.2 * m - 1e-9), lambda k, m, n: jaccard(k, m, n) >= 0.2, lambda k, j: (F.lit("thematic_similarity"), 2 * j))
+    few = lambda m: F.when(m <= 6, 1).when(m <= 13, 2).otherwise(3)
+    words = pairs("ws", few, lambda k, m, n: (k >= 3) | (jaccard(k, m, n) >= 0.15), lambda k, j: (F.when(k >= 3, "shared_entities").otherwise("thematic_similarity"), j * 1.5 + 0.2))
+    vectors = t("embeddings").join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = R.vector_neighbours(vectors, "vec_id", "embedding", 0.6).select(F.col("id").alias("a"), F.explode("neighbours").alias("b")).filter("a < b")
+    of = lambda c, v: vectors.select(F.col("vec_id").alias(c), F.col("embedding").cast("array<double>").alias(v))
+    near = near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", F.lit("semantic_similarity").alias("relation"), F.least(F.lit(1.0), V.cosine(F.col("x"), F.col("y"))).alias("weight"))
+    return E.merged_relations([tags, words, near]).withColumn("weight", F.round("weight", 6))
 
 
 @query("G19_alias_upsert", "WITH o AS (SELECT lower(n_name) AS alias, r_name AS term FROM nation JOIN region ON r_regionkey = n_regionkey), u AS (SELECT lower(n_name) AS alias, 'elsewhere' AS term FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'nowhere', 'elsewhere') SELECT coalesce(u.alias, o.alias) AS alias, coalesce(u.term, o.term) AS term FROM o FULL JOIN u USING (alias)")

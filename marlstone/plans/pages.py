@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import clean as C
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
+from marlstone.operators import simjoin as S
+from marlstone.operators._lineage import cut
+from marlstone.operators.linking import like_words
 from marlstone.operators.ordered import previous
 from marlstone.plans._base import query
 
@@ -75,14 +78,33 @@ def priority_merge(t):
     return of("de", 0).unionByName(of("en", 1)).groupBy("k").agg(F.min(F.struct("p", "doc_id")).alias("b")).select("k", "b.doc_id", "b.p")
 
 
-@query("J8_shared_keywords", r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
-c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2)
-SELECT a, b, k FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k >= 3 OR k / (x.n + y.n - k) >= 0.15""")
+_KEYWORDS = """kw AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS ws FROM benchmark), kc AS (SELECT ws, min(item_id) AS c, count(*) AS n FROM kw WHERE len(ws) > 0 GROUP BY ws),
+kp AS (SELECT a.c AS a, b.c AS b, a.n AS n_a, b.n AS n_b, len(list_intersect(a.ws, b.ws)) AS k, len(a.ws) AS m_a, len(b.ws) AS m_b FROM kc a JOIN kc b ON a.c < b.c)"""
+
+
+def _keyword_pairs(t):
+    """Classes of items with one set of keywords, and pairs of classes with three in common or 0.15 of them."""
+    items = t("benchmark").select("item_id", T.matches(F.lower("text"), "[a-z]{4,}").alias("ws"))
+    classes = cut(S.set_classes(items, "item_id", "ws"), "classes")
+    # One in common is 0.15 of sets of six at most, two of thirteen.
+    need = lambda m: F.when(m <= 6, 1).when(m <= 13, 2).otherwise(3)
+    return items, classes, cut(S.similar_sets(classes, need, lambda k, m, n: (k >= 3) | (k / (m + n - k) >= 0.15)), "pairs")
+
+
+@query("J8_shared_keywords", f"WITH {_KEYWORDS} SELECT a, b, n_a, n_b, k FROM kp WHERE k >= 3 OR k / (m_a + m_b - k) >= 0.15")
 def shared_keywords(t):
-    w = t("benchmark").select("item_id", F.array_distinct(T.matches(F.lower("text"), "[a-z]{4,}")).alias("ws"))
-    each = w.select(F.col("item_id").alias("a"), F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    c = each.join(each.select(F.col("a").alias("b"), F.col("n").alias("m"), "w"), "w").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    return c.filter((F.col("k") >= 3) | (F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= 0.15)).select("a", "b", "k")
+    """Pairs of keyword sets, named by the first item that has them, with the items of each."""
+    _, classes, pairs = _keyword_pairs(t)
+    n = lambda end: classes.select(F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"))
+    return pairs.join(n("a"), "a").join(n("b"), "b").select("a", "b", "n_a", "n_b", "k")
+
+
+@query("J8_keyword_members", f"""WITH {_KEYWORDS}, e AS (SELECT a AS c, n_b AS n FROM kp WHERE k >= 3 OR k / (m_a + m_b - k) >= 0.15 UNION ALL SELECT b, n_a FROM kp WHERE k >= 3 OR k / (m_a + m_b - k) >= 0.15), l AS (SELECT c, sum(n)::BIGINT AS n FROM e GROUP BY c)
+SELECT item_id AS id, coalesce(kc.c, item_id) AS class_id, coalesce(kc.n - 1 + coalesce(l.n, 0), 0) AS links FROM kw LEFT JOIN kc ON kc.ws = kw.ws LEFT JOIN l ON l.c = kc.c""")
+def keyword_members(t):
+    """Each item's class and the number of items that it shares keywords with."""
+    items, classes, pairs = _keyword_pairs(t)
+    return S.members(items, classes, pairs, "item_id", "ws")
 
 
 @query("F11_label_cosine", """WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i), v AS (SELECT label, list(x ORDER BY i) AS v FROM c GROUP BY label)
@@ -146,8 +168,7 @@ def overlap_cosine(t):
 @query("F17_fuzzy_terms", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM benchmark) SELECT w FROM w WHERE w = 'the' OR contains(w, 'the') OR contains('the', w) OR (length(w) = 3 AND hamming(w, 'the') <= 1)")
 def fuzzy_terms(t):
     w = t("benchmark").select(F.explode(F.array_distinct(T.matches(F.lower("text"), "[a-z]{2,}"))).alias("w")).distinct()
-    distance = F.aggregate(F.zip_with(F.split("w", ""), F.split(F.lit("the"), ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return w.filter(F.contains("w", F.lit("the")) | F.contains(F.lit("the"), F.col("w")) | ((F.length("w") == 3) & (distance <= 1)))
+    return like_words(w, ["the"], "w").select(F.col("term").alias("w")).unionByName(w.filter("w = 'the'"))
 
 
 @query("F23_clean_markdown", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS cleaned FROM documents")

@@ -10,6 +10,7 @@ from marlstone.functions import terms as X
 from marlstone.functions import text as T
 from marlstone.operators import files as L
 from marlstone.operators import index as I
+from marlstone.operators.linking import first_held
 from marlstone.plans._base import query
 from marlstone.plans.retrieval import _TOK
 
@@ -79,9 +80,9 @@ def split_by_paragraph(t):
 @query("F47_skill_match", """WITH s AS (SELECT n_nationkey AS id, lower(n_name) AS term FROM nation UNION ALL SELECT 100 + r_regionkey, lower(r_name) FROM region UNION ALL SELECT 200, 'the'),
 g AS (SELECT doc_id, lower(text) AS goal FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(id) AS skill FROM g LEFT JOIN s ON contains(goal, term) GROUP BY doc_id""")
 def skill_match(t):
-    """The first enabled skill one of whose terms a text holds; the skills are a small table, taken into the plan as a counted list."""
+    """The first enabled skill one of whose terms a text holds."""
     skills = t("nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("term")).union(t("region").select(F.col("r_regionkey") + 100, F.lower("r_name"))).union(t("nation").limit(1).select(F.lit(200), F.lit("the")))
-    return L.first_match(t("documents").filter("text IS NOT NULL"), skills, "doc_id", "text").select("doc_id", F.col("skill").cast("int").alias("skill"))
+    return first_held(t("documents").filter("text IS NOT NULL"), skills, "doc_id", "text").select("doc_id", F.col("skill").cast("int").alias("skill"))
 
 
 @query("F49_parsed_times", "SELECT event_id, ts AS mail, ts AS iso, NULL::TIMESTAMP AS neither FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")

@@ -48,7 +48,7 @@ def rolling_compression(t):
     return m.filter("n >= 4 + step * 2").groupBy("conv_id", "step").agg(F.array_sort(F.collect_list(F.col("turn").cast("bigint"))).alias("turns"))
 
 
-_USES = "SELECT user_id, event_type AS session, event_id, epoch_ms(ts) AS ms FROM events"
+_USES = "SELECT user_id, event_type AS session, event_id, epoch_us(ts) // 1000 AS ms FROM events"
 _DAY = 86_400_000
 
 
