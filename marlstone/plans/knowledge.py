@@ -23,13 +23,13 @@ def _sentences(t):
     return t("orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
 
 
-@query("G7_text_entities", f"WITH {_SENTENCES}, e AS (SELECT id, regexp_extract(text, '《([^》]+)》', 1) AS name, 'law' AS type FROM s UNION ALL SELECT id, regexp_extract(text, '([0-9]{{4}}年)', 1), 'time' FROM s UNION ALL SELECT id, '年的项目方法', 'concept' FROM s) SELECT * FROM e")
+@query("G7_text_entities", f"WITH {_SENTENCES} SELECT id, regexp_extract(text, '《([^》]+)》', 1) AS name, 'law' AS type FROM s UNION ALL SELECT id, regexp_extract(text, '(第[0-9]+条)', 1), 'term' FROM s UNION ALL SELECT id, regexp_extract(text, '([0-9]{{4}}年)', 1), 'time' FROM s UNION ALL SELECT id, '项目方法', 'concept' FROM s")
 def text_entities(t):
     return E.entities(_sentences(t), "id", "text")
 
 
 @query("G9_implicit_triples", f"""WITH {_SENTENCES}, p AS (SELECT id, regexp_extract(text, '《([^》]+)》', 1) AS law, regexp_extract(text, '(第[0-9]+条)', 1) AS art, regexp_extract(text, '：(.*)。', 1) AS items FROM s)
-SELECT id, law AS head, 'includes' AS relation, art AS tail, 0.6::DOUBLE AS weight FROM p UNION ALL SELECT id, '年的项目方法', 'includes', i, 0.6 FROM (SELECT id, unnest(string_split(items, '，')) AS i FROM p) WHERE length(i) >= 2""")
+SELECT id, law AS head, 'includes' AS relation, art AS tail, 0.9::DOUBLE AS weight FROM p UNION ALL SELECT id, '项目方法', 'includes', i, 0.7 FROM (SELECT id, unnest(string_split(items, '，')) AS i FROM p) WHERE length(i) >= 2""")
 def implicit_triples(t):
     return E.implicit_triples(_sentences(t), "id", "text")
 
@@ -53,7 +53,9 @@ def attribute_edges(t):
     return E.attribute_edges(_statements(t), "id", "text", _known(t))
 
 
-@query("G6_text_graph", f"WITH {_ATTR}, e AS (SELECT id, head, CASE verb WHEN '分为' THEN 'includes' ELSE 'depends_on' END AS relation, unnest(string_split(tail, '、')) AS tail FROM a) SELECT head, relation, tail, 0.7::DOUBLE AS weight, count(DISTINCT id) AS n_docs FROM e GROUP BY ALL")
+@query("G6_text_graph", f"""WITH {_ATTR}, e AS (SELECT id, head, verb, unnest(string_split(tail, '、')) AS tail FROM a),
+u AS (SELECT id, head, CASE verb WHEN '分为' THEN 'includes' ELSE 'depends_on' END AS relation, tail, 0.7 AS weight FROM e UNION ALL SELECT id, head, 'has_type', tail, 0.8 FROM e WHERE verb = '分为' UNION ALL SELECT id, '甲类方法', 'co_occurs_with', '乙类方法', 0.3 FROM a WHERE verb = '分为')
+SELECT head, relation, tail, max(weight)::DOUBLE AS weight, count(DISTINCT id) AS n_docs FROM u GROUP BY ALL""")
 def text_graph(t):
     return E.text_graph(_statements(t), "id", "text", _known(t))[1]
 
