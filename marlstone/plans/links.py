@@ -47,10 +47,19 @@ def backlinks(t):
     return h.join(_links(t), "title").filter("page_id <> target").groupBy("target").agg(F.count_distinct("page_id").alias("backlinks"))
 
 
-@query("J13_link_resolution", f"WITH {_LINKS}, n AS (SELECT DISTINCT lower(n_name) AS title FROM nation) SELECT l.page_id, count(*) AS links, count(n.title) AS resolved FROM l LEFT JOIN n ON n.title = lower(l.title) GROUP BY l.page_id")
+@query("J13_link_resolution", f"""WITH {_LINKS}, p AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, lower(regexp_extract(url, '/([^/?#]+)/?(?:[?#].*)?$', 1)) AS name FROM pages),
+k AS (SELECT title AS key, 1 AS rank, page_id FROM p UNION ALL SELECT name, 2, page_id FROM p UNION ALL SELECT string_split(title, ' ')[1], 3, page_id FROM p),
+r AS (SELECT key, rank, min(page_id) AS target, row_number() OVER (PARTITION BY key ORDER BY rank) AS first FROM k WHERE key <> '' GROUP BY key, rank)
+SELECT l.page_id, count(*) AS links, count(r.key) AS resolved, count(*) FILTER (r.rank = 3) AS by_word, min(r.target) AS least_target FROM l LEFT JOIN r ON r.first = 1 AND r.key = lower(l.title) GROUP BY l.page_id""")
 def link_resolution(t):
-    n = t("nation").select(F.lower("n_name").alias("k")).distinct().withColumn("hit", F.lit(1))
-    return _links(t).withColumn("k", F.lower("title")).join(n, "k", "left").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count("hit").alias("resolved"))
+    """Links to pages: by the whole title, else by the last part of the address, else by a title's first word; of pages with one key the first."""
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    name = F.lower(F.regexp_extract("url", "/([^/?#]+)/?(?:[?#].*)?$", 1))
+    keys = F.array(*[F.struct(k.alias("key"), F.lit(rank).alias("rank")) for rank, k in enumerate((title, name, F.split(title, " ")[0]), 1)])
+    known = t("pages").select("page_id", F.explode(keys).alias("k")).select("page_id", "k.*").filter("key <> ''")
+    best = known.groupBy("key").agg(F.min(F.struct("rank", "page_id")).alias("b")).select("key", "b.rank", F.col("b.page_id").alias("target"))
+    rows = _links(t).select("page_id", F.lower("title").alias("key")).join(best, "key", "left")
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count("rank").alias("resolved"), F.count_if(F.col("rank") == 3).alias("by_word"), F.min("target").alias("least_target"))
 
 
 @query("J16_alias_normalisation", "WITH a AS (SELECT lower(n_name) AS alias, r_name AS term FROM nation JOIN region ON r_regionkey = n_regionkey) SELECT c_custkey, coalesce(a.term, n.n_name) AS term FROM customer JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN a ON a.alias = lower(n.n_name)")

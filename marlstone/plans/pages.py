@@ -176,10 +176,17 @@ def clean_markdown(t):
     return t("documents").select("doc_id", C.clean_markdown(F.col("text")).alias("cleaned"))
 
 
-@query("F25_clean_outside_code", r"SELECT doc_id, length(regexp_replace(text, '[ \t]{2,}', ' ', 'g')) AS n FROM documents WHERE NOT contains(text, '```') AND NOT regexp_matches(text, '(^|\n)[ ]*\|')")
+_MIXED = "coalesce(text, '') || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) || '|  a   b  |' || chr(10) || 'c   d' || chr(10) || lang"
+
+
+@query("F25_clean_outside_code", f"""WITH d AS (SELECT doc_id, string_split({_MIXED}, '```') AS p FROM documents),
+e AS (SELECT doc_id, list_transform(p, lambda s, k: CASE WHEN k % 2 = 0 THEN s ELSE array_to_string(list_transform(string_split(s, chr(10)), lambda x: CASE WHEN starts_with(trim(x, ' '), '|') THEN x ELSE regexp_replace(x, '[ \\t]{{2,}}', ' ', 'g') END), chr(10)) END) AS p FROM d)
+SELECT doc_id, md5(array_to_string(p, '```')) AS cleaned FROM e""")
 def clean_outside_code(t):
-    plain = t("documents").filter(~F.contains("text", F.lit("```")) & ~F.col("text").rlike(r"(^|\n)[ ]*\|"))
-    return plain.select("doc_id", F.length(C.clean_outside_code(F.col("text"))).cast("long").alias("n"))
+    """Whole texts, each with itself as fenced code behind it, a table line and a plain one: blanks are squeezed outside of code and tables only."""
+    text = F.coalesce("text", F.lit(""))
+    page = F.concat(text, F.lit("\n```\n"), text, F.lit("\n```\n|  a   b  |\nc   d\n"), "lang")
+    return t("documents").select("doc_id", F.md5(C.clean_outside_code(page)).alias("cleaned"))
 
 
 @query("F48_adjacent_repeats", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), k AS (SELECT doc_id, line, p, lag(line) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM l) SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS cleaned FROM k WHERE b IS NULL OR b <> line GROUP BY doc_id")
@@ -192,10 +199,20 @@ def query_rewrite(t):
     return t("benchmark").select("item_id", C.rewrite_query(F.col("text"), {"the": "this"}).alias("rewritten"))
 
 
-@query("F30_redacted_properties", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+_REDACTED = """json_extract_string(props, '$.k') AS k, '[REDACTED]' AS api_key, 'len=' || length(event_type) || ' sha256=' || left(sha256(event_type), 16) AS prompt, 'by Bearer [REDACTED] at ' || event_id AS note"""
+
+
+def event_properties():
+    """An event's properties as a map, with a key, a prompt and a note that holds a bearer token, made of the event's own fields."""
+    more = F.create_map(F.lit("api_key"), F.col("user_id").cast("string"), F.lit("prompt"), F.col("event_type"), F.lit("note"), F.concat(F.lit("by Bearer t"), F.col("user_id").cast("string"), F.lit(" at "), F.col("event_id").cast("string")))
+    return F.map_concat(F.from_json("props", "map<string,string>"), more)
+
+
+@query("F30_redacted_properties", f"SELECT event_id, {_REDACTED} FROM events")
 def redacted_properties(t):
-    props = C.redact_map(F.from_json("props", "map<string,string>"))
-    return t("events").select("event_id", F.try_element_at(props, F.lit("k")).alias("k"))
+    """Secret-like keys become a mark, text-like ones length and digest, bearer tokens in other values a mark."""
+    rows = t("events").select("event_id", C.redact_map(event_properties()).alias("p"))
+    return rows.select("event_id", *[F.try_element_at("p", F.lit(k)).alias(k) for k in ("k", "api_key", "prompt", "note")])
 
 
 @query("F37_heading_level", r"SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[0-9]+(?:\.[0-9]+)*[.\s]\s*\S')) AS numbered, count(*) FILTER (regexp_matches(line, '^#{1,6}\s')) AS marked FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")

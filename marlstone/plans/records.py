@@ -12,6 +12,7 @@ from marlstone.operators import files as L
 from marlstone.operators import index as I
 from marlstone.operators.linking import first_held
 from marlstone.plans._base import query
+from marlstone.plans.pages import _REDACTED, event_properties
 from marlstone.plans.retrieval import _TOK
 
 @query("F2_full_text_terms", "SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL)")
@@ -36,14 +37,17 @@ def file_name_terms(t):
     return t("part").select("p_partkey", F.array_join(X.file_name_terms(F.concat(F.col("p_name"), F.lit("-"), F.col("p_brand"), F.lit(".md"))), " ").alias("terms"))
 
 
-@query("F14_folder_affinity", """WITH f AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS p FROM pages WHERE page_id < 40), x AS (SELECT page_id, p[:-2] AS d FROM f)
-SELECT a.page_id AS a, b.page_id AS b, round(CASE WHEN a.d = b.d THEN 0.42 ELSE 0 END + least(0.28, 0.07 * len(list_filter(range(1, least(len(a.d), len(b.d)) + 1), lambda i: a.d[:i] = b.d[:i]))), 6) AS affinity FROM x a JOIN x b ON a.page_id < b.page_id AND a.d[1] = b.d[1]""")
+@query("F14_folder_affinity", """WITH f AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/')[:-2] AS d FROM pages), x AS (SELECT d, min(page_id) AS folder, count(*) AS n FROM f WHERE len(d) > 0 GROUP BY d)
+SELECT a.folder AS a, b.folder AS b, a.n AS n_a, b.n AS n_b, round(CASE WHEN a.d = b.d THEN 0.42 ELSE 0 END + least(0.28, 0.07 * len(list_filter(range(1, least(len(a.d), len(b.d)) + 1), lambda i: a.d[:i] = b.d[:i]))), 6)::DOUBLE AS affinity FROM x a JOIN x b ON a.d[1] = b.d[1] AND (a.folder < b.folder OR (a.folder = b.folder AND a.n > 1))""")
 def folder_affinity(t):
-    """Of the first forty pages that share a host."""
-    f = t("pages").filter("page_id < 40").select("page_id", F.regexp_replace("url", "^https?://", "").alias("p"))
-    f = f.withColumn("host", F.split("p", "/")[0]).filter(F.contains("p", F.lit("/")))
-    pairs = f.join(f.select(F.col("page_id").alias("b"), F.col("p").alias("q"), "host"), "host").filter("page_id < b")
-    return pairs.select(F.col("page_id").alias("a"), "b", F.round(X.folder_affinity(F.col("p"), F.col("q")), 6).alias("affinity"))
+    """Of all pages: folders of one host, each named by its first page, with their numbers of pages; any two pages of them have the affinity."""
+    path = F.regexp_replace("url", "^https?://", "")
+    pages = t("pages").select("page_id", F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("d")).filter("d <> ''")
+    x = pages.groupBy("d").agg(F.min("page_id").alias("folder"), F.count(F.lit(1)).alias("n")).withColumn("host", F.split("d", "/")[0])
+    y = x.toDF("e", "b", "n_b", "host")
+    pairs = x.join(y, "host").filter((F.col("folder") < F.col("b")) | ((F.col("folder") == F.col("b")) & (F.col("n") > 1)))
+    file = lambda c: F.concat(c, F.lit("/x"))
+    return pairs.select(F.col("folder").alias("a"), "b", F.col("n").alias("n_a"), "n_b", F.round(X.folder_affinity(file("d"), file("e")), 6).alias("affinity"))
 
 
 @query("F28_outline_and_points", """WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), '<[^>]+>', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g') AS c FROM documents WHERE text IS NOT NULL),
@@ -198,8 +202,8 @@ def model_filtered_search(t):
     return R.vector_search(t("embeddings").filter("label <> 3"), q, "vec_id", "embedding").orderBy(F.desc("score"), "id").limit(10).withColumn("score", F.round("score", 6))
 
 
-@query("K8_redacted_append")
+@query("K8_redacted_append", f"SELECT event_id, event_type, {_REDACTED} FROM events")
 def redacted_append(t):
     """Telemetry rows with secrets in their properties redacted, as they are appended to the stored log."""
-    e = t("events").select("event_id", "event_type", C.redact_map(F.from_json("props", "map<string,string>")).alias("props"))
-    return L.stored(e, "telemetry")
+    e = t("events").select("event_id", "event_type", C.redact_map(event_properties()).alias("p"))
+    return L.stored(e, "telemetry").select("event_id", "event_type", *[F.try_element_at("p", F.lit(k)).alias(k) for k in ("k", "api_key", "prompt", "note")])

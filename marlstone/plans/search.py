@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import ann
 from marlstone.operators import retrieval as R
+from marlstone.operators.linking import holding
 from marlstone.plans._base import query
 from marlstone.plans.retrieval import _BM, _LISTS, _VEC, QUERY, WORDS, _best, _candidates, _vectors
 
@@ -67,10 +68,10 @@ def related_pages(t):
     """For the query set of every 20th page: the five other pages that hold the first word of its title, in title or content."""
     p = t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "html")
     queries = p.filter("page_id % 20 = 0").select(F.col("page_id").alias("me"), F.lower(F.split("title", " ")[0]).alias("q")).filter("q <> ''")
-    # Each page meets the queries' distinct words once; pages are never paired with each other.
-    words = queries.select("q").distinct()
-    score = F.when(F.contains(F.lower("title"), "q"), 3.0).otherwise(0.0) + F.when(F.contains(F.lower("html"), "q"), 2.0).otherwise(0.0)
-    found = p.join(words, F.contains(F.lower("html"), "q")).select("q", F.col("page_id").alias("related_id"), score.alias("score"))
+    # One pass over each page finds the queries' distinct words that it holds; pages are never paired with each other.
+    held = holding(p, queries.select("q").distinct(), "page_id", "html", "q").select(F.col("id").alias("page_id"), F.col("term").alias("q"))
+    score = F.when(F.contains(F.lower("title"), "q"), 3.0).otherwise(0.0) + 2.0
+    found = held.join(p.select("page_id", "title"), "page_id").select("q", F.col("page_id").alias("related_id"), score.alias("score"))
     # Six of a word are enough, as a page is not related to itself.
     best = Window.partitionBy("q").orderBy(F.desc("score"), "related_id")
     found = found.withColumn("place", F.row_number().over(best)).filter("place <= 6")

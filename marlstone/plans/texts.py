@@ -65,7 +65,7 @@ def published_date(t):
 _SENT = "list_filter(list_transform(regexp_split_to_array(text, '[。！？\\n]'), lambda s: trim(s, ' ')), lambda s: length(s) > 0)"
 
 
-@query("F26_text_quality", rf"""WITH x AS (SELECT doc_id, text, greatest(length(regexp_replace(text, '[ \n]', '', 'g')), 1) AS n, string_split(text, chr(10)) AS lines, {_SENT} AS s,
+_QUALITY = rf"""WITH x AS (SELECT doc_id, text, greatest(length(regexp_replace(text, '[ \n]', '', 'g')), 1) AS n, string_split(text, chr(10)) AS lines, {_SENT} AS s,
   list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '\s+', '', 'g')), lambda p: length(p) > 0) AS ps FROM documents)
 SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE
   - CASE WHEN len(regexp_extract_all(text, '[a-zA-Z]')) < 10 THEN 0.3 ELSE 0 END
@@ -75,12 +75,15 @@ SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE
   - CASE WHEN len(ps) >= 2 AND len(list_distinct(ps)) < len(ps) THEN 0.2 ELSE 0 END
   - CASE WHEN len(lines) > 5 AND len(list_filter(lines, lambda v: length(trim(v, ' ')) BETWEEN 1 AND 2)) / len(lines) > 0.5 THEN 0.15 ELSE 0 END
   - CASE WHEN regexp_matches(text, '[a-zA-Z]{{20,}}') OR regexp_matches(text, '{"|".join("(?:" + (chr(92) + c if not c.isalnum() else c) + "){5,}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789éèêçàäöüßáíóúñ#*$%&!|., =")}') THEN 0.3 ELSE 0 END)), 3) AS score
-FROM x""")
+FROM x"""
+
+
+@query("F26_text_quality", _QUALITY)
 def text_quality(t):
     return t("documents").select("doc_id", T.quality_score(F.col("text")).alias("score"))
 
 
-@query("P16_valid_documents")
+@query("P16_valid_documents", f"SELECT * FROM ({_QUALITY}) WHERE score >= 0.4")
 def valid_documents(t):
     return t("documents").select("doc_id", T.quality_score(F.col("text")).alias("score")).filter("score >= 0.4")
 
