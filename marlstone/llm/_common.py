@@ -60,6 +60,20 @@ class Scratch:
         """Write `df` once and read it back: cuts lineage, and what follows may read it many times."""
         return self._write(df, f"{self.folder}/{label}-{uuid.uuid4().hex}")
 
+    def parted(self, df: DataFrame, label: str, by: str) -> DataFrame:
+        """As table(), in folders by a column of few values: what follows may read some of them alone."""
+        path = f"{self.folder}/{label}-{uuid.uuid4().hex}"
+        with done_with_shuffles(self.spark):
+            df.write.partitionBy(by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, label: str) -> None:
+        """Drop the tables of a label, which have no reader left."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}-*")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in fs.globStatus(path) or ():
+            fs.delete(found.getPath(), True)
+
     def last(self, df: DataFrame, label: str) -> DataFrame:
         return self._write(df, f"{self.folder}-{label}")
 
@@ -164,3 +178,25 @@ def distributed_rank(df: DataFrame, groups: list[str], place: str, ties: list, n
     within = Window.partitionBy(*groups, "_bucket").orderBy(place, *ties)
     ranked = dealt.withColumn("_within", F.row_number().over(within))
     return ranked.join(offsets, [*groups, "_bucket"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_before", "_within")
+
+
+#: A draw that more rows than so have, and than the 5000th part of all, is spread.
+MANY = 4096
+
+
+def spread_equal(rows: DataFrame, n: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`rows` with a new `draw` for each of many rows that are equal: the hash of their draw and a number among them.
+
+    Equal rows have one draw and would stand in one bucket, however many they are. Their classes, at most 5000, are counted
+    and made anew from one row each, in pieces that go to tasks of their own; so the draws depend on the rows alone, and not on
+    how they lie. Rows that are fewer keep their draw."""
+    limit = max(MANY, n // 5000)
+    hot = keep(rows.groupBy("draw").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit), "hot")
+    if hot.isEmpty():
+        return rows
+    hot = F.broadcast(hot.select("draw"))
+    classes = rows.join(hot, "draw", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = classes.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / MANY)))).repartition("draw", "_piece")
+    copies = pieces.withColumn("_copy", F.explode(F.sequence(F.col("_piece") * MANY, F.least(F.col("_n"), (F.col("_piece") + 1) * MANY) - 1)))
+    spread = copies.withColumn("draw", F.xxhash64("draw", "_copy")).select(rows.columns)
+    return rows.join(hot, "draw", "left_anti").select(rows.columns).unionByName(spread)

@@ -218,11 +218,14 @@ to_pcm = arrow_column(_pcm_batches, "binary")
 
 
 def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes and media of each row of `docs`."""
-    return docs.select(F.col(id_col), store(F.col(text_col).cast("binary")).alias("_m")).select(id_col, "_m.*")
+    """id, n_bytes, media (the mu-law file) and pcm (its samples expanded and resampled, as a file) of each row of `docs`."""
+    stored = docs.select(F.col(id_col), store(F.col(text_col).cast("binary")).alias("_m")).select(id_col, "_m.*")
+    return stored.withColumn("pcm", to_pcm("media"))
 
 
 def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text, reads the stored file back, and returns id, n_bytes, the digests and the features."""
+    """Stores each text and its sound as 16-bit PCM at 16 kHz, reads both stored files back, and returns id, n_bytes, the digests
+    and the features, and of the PCM file its size and digest."""
     stored = store_documents(docs, id_col, text_col)
-    return stored.select(id_col, "n_bytes", read("media").alias("_r")).select(id_col, "n_bytes", "_r.*")
+    told = stored.select(id_col, "n_bytes", read("media").alias("_r"), F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
+    return told.select(id_col, "n_bytes", "_r.*", "pcm_bytes", "pcm_sha256")

@@ -9,7 +9,7 @@ chunked and rounded again: a reduction tree of logarithmic depth. A last open do
 
 Defined cases: a null source is a source of its own, ordered last; null and empty texts have size 0 and take nothing,
 whatever their copies; rows with equal ids are separate documents; sources of size 0 have target 0; an empty table gives
-an empty result. Only the id, text and source columns are read. All draws are hashes of the seed, id and size: reruns agree.
+an empty result. Only the id, text and source columns are read. All draws are hashes of the seed, id and text, and of a number among many equal rows: reruns agree.
 The number of sources is taken to fit one task (they are ordered by one window); no source's rows ever do.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import Scratch, distributed_rank, join_lookup, null_safe, uniform, word_count
+from marlstone.llm._common import Scratch, distributed_rank, join_lookup, null_safe, spread_equal, uniform, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         targets = scratch.table(source_targets(narrow, weights, max_copies), "targets")
         bounds = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
         n, largest = int(bounds[0]), int(bounds[1])
-        placed = narrow.withColumn("_place", uniform(F.col("draw")))
+        placed = spread_equal(narrow, n, scratch.table).withColumn("_place", uniform(F.col("draw")))
         placed = distributed_rank(placed, ["key"], "_place", ["draw", "size"], n, name="rank")
         lookup = targets.select(null_safe(F.col("source")).alias("key"), "source_size", "target")
         ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -42,6 +42,8 @@ BASE, OFFSET = 1.12, 30
 LINK_NUM, LINK_DEN = 75, 100
 SCREEN = 0.6
 BLOCK = 1024
+#: Shingles of one side of a task: texts are longer than others, and a task holds whole sets.
+BLOCK_SHINGLES = 2_000_000
 BROADCAST_IDS = 500_000
 
 _seed = mix(np.arange(1, 2 * M + 1, dtype=np.uint64))
@@ -320,9 +322,10 @@ def _shared_rare(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
 def _tasks_of(members: DataFrame, counts: DataFrame) -> DataFrame:
     """task, band, rep, comp, side and two: the rows of buckets (band, key) dealt into tasks that hold at most two blocks.
 
-    counts: band, key, main (the component that isn't compared with itself), n0 and n1, the members beside it and in it.
+    counts: band, key, main (the component that isn't compared with itself), n0 and n1, the members beside it and in it, and
+    s0 and s1, their sizes in sum.
     """
-    g0, g1 = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("n0", "n1"))
+    g0, g1 = (F.greatest(F.lit(1), F.ceil(F.col(f"n{k}") / BLOCK), F.ceil(F.col(f"s{k}") / BLOCK_SHINGLES)).cast("int") for k in (0, 1))
     blocks = counts.select("band", "key", "main", g0.alias("g0"), g1.alias("g1"))
     dealt = skew_join(members, blocks, ["band", "key"], "rep", counts.select("band", "key", (F.col("n0") + F.col("n1")).alias("n"))).withColumn("side", F.expr("int(comp = main)"))
     # Queries of one block meet each other in the first task in which they meet the other side; those of several blocks in tasks of their own.
@@ -336,9 +339,12 @@ def _tasks_of(members: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, main: DataFrame, counts: DataFrame) -> DataFrame:
-    """band, key, main, n0 and n1 of the buckets that hold several components; main: the component of the bucket's smallest member."""
+    """band, key, main, n0, n1, s0 and s1 of the buckets that hold several components; main: the component of the bucket's smallest
+    member; s0, s1: the members' sizes (sz) in sum, 0 if they have none."""
     sized = skew_join(members, main, ["band", "key"], "rep", counts).withColumn("side", F.expr("int(comp = main)"))
-    return sized.groupBy("band", "key", "main").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).filter("n0 > 0")
+    sz = F.col("sz") if "sz" in members.columns else F.lit(0)
+    sums = [F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"), F.sum(sz * (1 - F.col("side"))).alias("s0"), F.sum(sz * F.col("side")).alias("s1")]
+    return sized.groupBy("band", "key", "main").agg(*sums).filter("n0 > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +362,7 @@ def _near_duplicates(texts: DataFrame, scratch: Scratch) -> DataFrame:
     classes = scratch.table(full.groupBy("digest").agg(F.min(F.struct("rep", "n", "regs")).alias("c"), F.count(F.lit(1)).alias("copies")).select("digest", "c.*", "copies"), "classes")
 
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.cast("int").alias("band"), F.xxhash64(b, F.substring("regs", b * ROWS + 1, F.lit(ROWS))).alias("key")))
-    bands = classes.select("rep", F.explode(key).alias("k")).select("rep", "k.*")
+    bands = classes.select("rep", F.col("n").alias("sz"), F.explode(key).alias("k")).select("rep", "sz", "k.*")
     buckets = bands.groupBy(bucket).agg(F.min("rep").alias("pivot"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("n")).filter("pivot < far")
     buckets = scratch.table(buckets, "buckets")
     counts = buckets.filter("n > 2").select(*bucket, "n")
@@ -372,13 +378,13 @@ def _near_duplicates(texts: DataFrame, scratch: Scratch) -> DataFrame:
     star = scratch.table(_with_both(pairs, chosen, per_a).filter(confirm("text_a", "text_b")).select("a", "b"), "links")
 
     comps = components(star, scratch)
-    members = scratch.table(crowded.join(comps, "rep", "left").select(*bucket, "pivot", "rep", F.coalesce("comp", "rep").alias("comp")), "members")
+    members = scratch.table(crowded.join(comps, "rep", "left").select(*bucket, "pivot", "rep", "sz", F.coalesce("comp", "rep").alias("comp")), "members")
     main = members.filter("rep = pivot").select(*bucket, F.col("comp").alias("main"))
     open_ = scratch.table(_open(members, main, counts), "open")
     large = F.col("n0") * (F.col("n0") + F.col("n1")) > BLOCK * BLOCK
     todo = [_tasks_of(members.drop("pivot"), open_.filter(~large))]
     if not (crowds := scratch.table(open_.filter(large), "crowds")).isEmpty():
-        inside = scratch.table(skew_join(members, crowds.select(bucket), bucket, "rep", crowds.select(*bucket, (F.col("n0") + F.col("n1")).alias("n"))).select("rep", "comp").distinct(), "inside")
+        inside = scratch.table(skew_join(members, crowds.select(bucket), bucket, "rep", crowds.select(*bucket, (F.col("n0") + F.col("n1")).alias("n"))).select("rep", "comp", "sz").distinct(), "inside")
         again = scratch.table(_shared_rare(inside, texts, scratch), "rare")
         met = scratch.table(again.groupBy(bucket).agg(F.min(F.struct("rep", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"), "met")
         todo.append(_tasks_of(again, scratch.table(_open(again, met.select(*bucket, F.col("p.comp").alias("main")), met.select(*bucket, "n")), "open")))

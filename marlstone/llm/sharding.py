@@ -7,7 +7,7 @@ counted offsets, so no task sees a whole source, and no source's share matters.
 
 Defined cases: a null source is a source of its own; rows with null or equal ids or texts are rows like any other; null
 texts have no bytes; an empty table gives an empty result. Reruns agree: the order depends on seed, id, source and text
-only, and rows equal in all of these are interchangeable. Only the id, text and source columns are read.
+only, and rows equal in all of these are interchangeable; many of them are spread over the order by their number. Only the id, text and source columns are read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import distributed_rank, join_lookup, materialise, null_safe, uniform
+from marlstone.llm._common import distributed_rank, join_lookup, materialise, null_safe, spread_equal, uniform
 
 SHARDS = 24
 ROW_OVERHEAD = 8
@@ -28,13 +28,14 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"), F.col(source_col).alias("shard_source"), null_safe(F.col(source_col)).alias("key"), size.alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)).alias("draw"),
     )
-    narrow = materialise(narrow, "rows").withColumn("_place", uniform(F.lit(1), F.col("draw")))
+    narrow = materialise(narrow, "rows")
+    n = narrow.count()
+    narrow = spread_equal(narrow, n, materialise).withColumn("_place", uniform(F.lit(1), F.col("draw")))
     counts = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n_source"))
     # Each source starts at an offset of its own into its first step, or sources of few rows would all stand together; multiples of
     # the golden ratio spread the offsets evenly. The number of sources is taken to fit one task.
     place = F.row_number().over(Window.orderBy(F.col("n_source").desc(), "key"))
     counts = counts.withColumn("offset", F.pmod(place * F.lit(0.6180339887498949), F.lit(1.0)))
-    n = narrow.count()
     ranked = distributed_rank(narrow, ["key"], "_place", ["draw", F.col("id").asc_nulls_first(), "size"], n).drop("_place")
     fraction = (F.col("rank") - 1 + F.col("offset")) / F.col("n_source")
     placed = join_lookup(ranked, counts, "key", F.col("draw")).withColumn("_fraction", fraction)

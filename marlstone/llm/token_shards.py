@@ -13,7 +13,7 @@ commit protocol, to any file system; `stored_records` reads them through Spark,
 
 Defined cases: a null or empty text has no sequence; a null id is stored as -1; rows with equal ids are separate
 documents; an empty table gives an empty result. The numbers depend on ids and texts only, so a rerun gives every
-sequence its old slot; rows equal in both are interchangeable.
+sequence its old slot; rows equal in both are interchangeable, and many of them are dealt to buckets by their number.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe
-from marlstone.llm._common import Scratch, arrow_column, done_with_shuffles, join_lookup, materialise, uniform
+from marlstone.llm._common import Scratch, arrow_column, done_with_shuffles, join_lookup, materialise, spread_equal, uniform
 
 SEQUENCE = 512
 HEADER = 16
@@ -104,23 +104,32 @@ def token_ids(path: str):
     return arrow_column(run, "binary")
 
 
-def sequences(docs: DataFrame, id_col: str, data: F.Column, width: int = 1, length: int = SEQUENCE, key: int = KEY, shard_slots: int = SHARD_SLOTS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, seq, n_tokens, slot, shard, shard_offset and record of each sequence; data: the ids' bytes, `width` an id."""
+def sequences(docs: DataFrame, id_col: str, text_col: str, data: Callable[[str], F.Column], width: int = 1, length: int = SEQUENCE, key: int = KEY, shard_slots: int = SHARD_SLOTS, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, seq, n_tokens, slot, shard, shard_offset, record and the round in which it is written, of each sequence; data: of
+    a text column, the ids' bytes, `width` an id."""
     size = length * width
     stride = HEADER + size + 1
     keep = scratch.table if scratch else materialise
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), data.alias("data"))
+    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text")).withColumn("draw", F.xxhash64("doc_id", "text"))
+    n_docs = docs.count()
+    rows = spread_equal(raw, n_docs, keep).select("doc_id", "draw", data("text").alias("data"))
     n_seq = F.coalesce(F.ceil(F.octet_length("data") / size), F.lit(0)).cast("long")
-    numbered, n = _numbered(rows.withColumn("n_seq", n_seq).withColumn("draw", F.xxhash64("doc_id", "data")), docs.count(), keep)
+    numbered, n = _numbered(rows.withColumn("n_seq", n_seq), n_docs, keep)
     cut = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_seq") - 1), lambda k: F.struct(k.cast("int").alias("seq"), F.substring("data", (k * size + 1).cast("int"), F.lit(size)).alias("ids"))))
     parts = numbered.select("doc_id", "first", cut.alias("s")).select("doc_id", (F.col("first") + F.col("s.seq")).alias("number"), "s.*")
     slot = slots_of("number", F.lit(max(n, 1)), F.lit(key))
     placed = parts.select("doc_id", "seq", "ids", slot.alias("slot")).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
+    if scratch:
+        # Slots are made once. What one round of writing takes lies in one folder.
+        placed = scratch.parted(placed.withColumn("round", F.pmod("shard", F.lit(WRITE_ROUNDS))), "slots", "round")
+        scratch.free("ids")
+    else:
+        placed = materialise(placed.withColumn("round", F.pmod("shard", F.lit(WRITE_ROUNDS))), "slots")
     ranged = placed.repartitionById(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot")
     n_tokens = (F.octet_length("ids") / width).cast("int")
     head = F.expr("concat(unhex(lpad(hex(doc_id), 16, '0')), unhex(lpad(hex(seq), 8, '0')))")
     record = F.concat(head, F.unhex(F.lpad(F.hex(n_tokens), 8, "0")), F.rpad("ids", F.lit(size), F.lit(b"\0")))
-    return ranged.select("doc_id", "seq", n_tokens.alias("n_tokens"), "slot", "shard", (F.pmod("slot", F.lit(shard_slots)) * stride).cast("long").alias("shard_offset"), record.alias("record"))
+    return ranged.select("doc_id", "seq", n_tokens.alias("n_tokens"), "slot", "shard", (F.pmod("slot", F.lit(shard_slots)) * stride).cast("long").alias("shard_offset"), record.alias("record"), "round")
 
 
 def _numbered(rows: DataFrame, n_docs: int, keep: Callable[[DataFrame, str], DataFrame], per_bucket: int = 2048) -> tuple[DataFrame, int]:
@@ -140,13 +149,13 @@ def _numbered(rows: DataFrame, n_docs: int, keep: Callable[[DataFrame, str], Dat
     return placed.select("doc_id", "data", "n_seq", (F.col("_before") + F.col("_inside")).alias("first")), n
 
 
-def write_shards(placed: DataFrame, path: str, file_slots: int = FILE_SLOTS, rounds: int = WRITE_ROUNDS) -> None:
+def write_shards(placed: DataFrame, path: str, file_slots: int = FILE_SLOTS) -> None:
     """One task a shard, in slot order, as files of `file_slots` records; a lost task is run again and its files committed once.
 
-    Shards are written in `rounds` jobs, so that no more than that part of all sequences lies in shuffle files at a time."""
-    for r in range(rounds):
+    Shards are written in WRITE_ROUNDS jobs, so that no more than that part of all sequences lies in shuffle files at a time."""
+    for r in range(WRITE_ROUNDS):
         with done_with_shuffles(placed.sparkSession):
-            some = placed.filter(F.pmod("shard", F.lit(rounds)) == r).select(F.col("record").cast("string").alias("value"))
+            some = placed.filter(F.col("round") == r).select(F.col("record").cast("string").alias("value"))
             some.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", file_slots).text(path)
 
 
@@ -181,7 +190,7 @@ def read_records(data: bytes, first: int, count: int, length: int = SEQUENCE, wi
 
 def text_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The sequences of texts whose ids are their UTF-8 bytes."""
-    return sequences(docs, id_col, F.col(text_col).cast("binary"), **options)
+    return sequences(docs, id_col, text_col, lambda c: F.col(c).cast("binary"), **options)
 
 
 def digest_shards(docs: DataFrame, path: str, text_col: str = "text", **options) -> DataFrame:
@@ -190,6 +199,6 @@ def digest_shards(docs: DataFrame, path: str, text_col: str = "text", **options)
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         out = f"{scratch.folder}-shards"
-        write_shards(sequences(docs, "doc_id", token_ids(path)(F.coalesce(F.col(text_col), F.lit(""))), width=2, scratch=scratch, **options), out)
+        write_shards(sequences(docs, "doc_id", text_col, lambda c: token_ids(path)(F.coalesce(c, F.lit(""))), width=2, scratch=scratch, **options), out)
     found = stored_records(spark, out, width=2)
     return found.select("doc_id", "seq", "n_tokens", "slot", "shard", "shard_offset", F.octet_length("record").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))

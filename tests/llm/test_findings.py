@@ -1,11 +1,15 @@
 """Cases of findings: text behind stray quotes, deep nesting, similar tokens, messages that settle."""
 
+import hashlib
 import random
 import time
+from collections import Counter
 
 import numpy as np
 
-from marlstone.llm import html_extract, pii
+from pyspark.sql import functions as F
+
+from marlstone.llm import _common, html_extract, media, mixing, neardup, pii, sharding, token_shards
 
 
 def test_one_telling_place_labels_every_repeat():
@@ -82,3 +86,59 @@ def test_an_edit_across_the_middle_is_found():
         assert [text[a:b] for a, b, _ in pii.find([text])[0][1]] == [secret, other]
     serials = " ".join(f"item{k:08d}" for k in range(5000))
     assert pii.find([serials])[0][1] == []
+
+
+def test_many_equal_rows_are_spread(spark, monkeypatch):
+    """Equal rows stand in many buckets, the draws don't depend on how they lie, and the laws hold."""
+    monkeypatch.setattr(_common, "MANY", 100)
+    rows = [(None, "same text of five words", "hot")] * 3000 + [(k, f"text {k} with some words", "b") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    keyed = docs.withColumn("draw", F.xxhash64("doc_id", "text"))
+    spread = _common.spread_equal(keyed, 3500, _common.materialise)
+    draws = Counter(r.draw for r in spread.collect())
+    assert sum(draws.values()) == 3500 and len(draws) == 3500
+    again = _common.spread_equal(keyed.repartition(7), 3500, _common.materialise)
+    assert Counter(r.draw for r in again.collect()) == draws
+    placed = sharding.interleave(docs).collect()
+    per = Counter(r.shard for r in placed)
+    hot = Counter(r.shard for r in placed if r.doc_id is None)
+    assert len(placed) == 3500 and max(per.values()) - min(per.values()) <= 1 and max(hot.values()) - min(hot.values()) <= 3
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 3500 and sum(r.doc_id is None for r in mixed) == 3000
+    taken = Counter()
+    for r in mixed:
+        taken[r.mix_source] += r.taken
+    assert all(abs(taken[r.mix_source] - r.target) <= 5 for r in mixed)
+    slots = token_shards.text_sequences(docs, shard_slots=256).collect()
+    assert sorted(r.slot for r in slots) == list(range(3500))
+    other = token_shards.text_sequences(docs.repartition(5), shard_slots=256).collect()
+    assert sorted((r.doc_id, r.slot) for r in slots if r.doc_id >= 0) == sorted((r.doc_id, r.slot) for r in other if r.doc_id >= 0)
+
+
+def test_blocks_are_cut_by_the_size_of_sets(spark, monkeypatch):
+    """Long texts share a task with few others, and the groups stay the same."""
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(r.randint(0, 20)):
+            words[r.randrange(400)] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(map(tuple, neardup.near_duplicates(docs).collect()))
+    seen = []
+    inner = neardup._tasks_of
+    monkeypatch.setattr(neardup, "_tasks_of", lambda members, counts: seen.append(inner(members, counts).groupBy("task").count().agg(F.max("count")).first()[0]) or inner(members, counts))
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == whole and len({c for _, _, c, _ in whole}) > 1
+    assert max(x or 0 for x in seen) < 40
+
+
+def test_stored_sound(spark):
+    rows = media.store_documents(spark.createDataFrame([(1, "some text"), (2, None)], "doc_id int, text string")).collect()
+    told = {r.doc_id: r for r in media.digest_documents(spark.createDataFrame([(1, "some text"), (2, None)], "doc_id int, text string")).collect()}
+    for r in rows:
+        tag, rate, _, data = media.from_wave(bytes(r.pcm))
+        assert (tag, rate, len(data)) == (media.PCM, 16_000, 4 * 576)
+        assert told[r.doc_id].pcm_sha256 == hashlib.sha256(bytes(r.pcm)).hexdigest() and told[r.doc_id].pcm_bytes == len(r.pcm)

@@ -279,7 +279,7 @@ def test_stored_shards_hold_the_documents(spark):
     path = tokenizer_file("word_bpe_49k.json")
     options = {"shard_slots": 64, "file_slots": 16}
     with Scratch(spark) as scratch:
-        placed = token_shards.sequences(documents(spark), "doc_id", token_shards.token_ids(path)("text"), width=2, shard_slots=64, scratch=scratch)
+        placed = token_shards.sequences(documents(spark), "doc_id", "text", token_shards.token_ids(path), width=2, shard_slots=64, scratch=scratch)
         out = f"{scratch.folder}-shards"
         token_shards.write_shards(placed, out, 16)
         want = sorted((r.doc_id, r.seq, r.n_tokens, r.slot, r.shard, r.shard_offset, bytes(r.record)) for r in placed.collect())
@@ -297,7 +297,7 @@ def test_stored_shards_hold_the_documents(spark):
 
 def test_packed_ids(spark):
     lists = spark.createDataFrame([(1, [1, 70000]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
-    rows = token_shards.sequences(lists, "doc_id", token_shards.pack("ids", F.lit(4)), width=4).collect()
+    rows = token_shards.sequences(lists, "doc_id", "ids", lambda c: token_shards.pack(c, F.lit(4)), width=4).collect()
     assert [(r.doc_id, r.n_tokens) for r in rows] == [(1, 2)] and rows[0].record[16:24] == np.array([1, 70000], "<u4").tobytes()
 
 
