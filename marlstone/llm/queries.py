@@ -122,5 +122,71 @@ FROM b JOIN v USING (host)
 """
 
 
+def _option(op: str, cost: str, line: str, state: str) -> str:
+    """An edit and what follows it: its cost, audit and lines."""
+    return f"{{'c': {cost} + {state}.c, 'a': '{op}' || {state}.a, 't': list_concat({line}, {state}.t)}}"
+
+
+def _least(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1]"
+
+
+def _edits(state: str, after: dict[str, str]) -> str:
+    """The best that consumes a row in a state; after: the states that roles lead to."""
+    own = " ".join(f"WHEN initial = '{r}' THEN {_option('K', 'cut', '[line]', s)}" for r, s in after.items())
+    named = {"u": "user", "a": "assistant"}
+    turned = [f"CASE WHEN NOT gone THEN {_option('R', '2 + cut', f"['{named[r]}:' || text]", s)} END" for r, s in after.items() if r != "s"]
+    return _least(_option("D", "3", "[]::VARCHAR[]", state), f"CASE WHEN gone THEN NULL {own} END", *turned)
+
+
+def _insert(role: str, state: str) -> str:
+    return _option("I", "2", f"['{role}:']", state)
+
+
+_BITS = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+_OP12 = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: {_BITS}), 4294967295) % 20 AS fate FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, fate FROM f WHERE fate <> 0),
+e AS (SELECT conv_id, turn, role, text FROM d UNION ALL SELECT conv_id, turn, role, text FROM d WHERE fate = 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM e),
+r AS (SELECT *, said = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(said, 1) NOT IN ('.', '!', '?') AS cutoff, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT *, blank OR again AS gone, CASE WHEN cutoff THEN 1 ELSE 0 END AS cut, role || ':' || text AS line FROM r),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cutoff AND NOT again AND NOT blank) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+w AS (SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s0, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS s1, {{'c': 2, 'a': 'I', 't': ['assistant:']}} AS s2, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s3 FROM c
+UNION ALL SELECT conv_id, i, {_least("b0", _insert("user", "v2"))}, {_least("b1", _insert("user", "v2"))}, v2, {_least("b3", _insert("user", "v2"))} FROM (SELECT conv_id, i, b0, b1, b3, {_least("b2", _insert("assistant", "b3"))} AS v2 FROM (
+  SELECT g.conv_id, g.i, {_edits("s0", {"s": "s1", "u": "s2"})} AS b0, {_edits("s1", {"u": "s2"})} AS b1, {_edits("s2", {"a": "s3"})} AS b2, {_edits("s3", {"u": "s2"})} AS b3
+  FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i - 1))),
+z AS (SELECT conv_id, s0 FROM w WHERE i = 1), a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+_PARTS, _ENTRIES, _SCALE = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+
+
+def _assigned(books: str) -> str:
+    """Of each part of each vector, the distance and number of the nearest entry."""
+    return f"SELECT id, x.p, any_value(x.x) AS x, min({{'d': list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': b.k}}) AS m FROM x JOIN {books} b ON b.p = x.p GROUP BY id, x.p"
+
+
+def _learnt(books: str, assigned: str) -> str:
+    mean = "(s - ((s % n) + n) % n) // n"
+    sums = f"SELECT p, k, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, m.k AS k, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {assigned}) GROUP BY p, k, i"
+    return f"SELECT b.p, b.k, coalesce(u.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT p, k, list({mean} ORDER BY i) AS x FROM ({sums}) GROUP BY p, k) u ON u.p = b.p AND u.k = b.k"
+
+
+_OP13 = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {_SCALE})::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT id, p, e[p * (len(e) // {_PARTS}) + 1 : (p + 1) * (len(e) // {_PARTS})] AS x FROM v, (SELECT unnest(range({_PARTS})) AS p)),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS k, x FROM x WHERE id <= {_ENTRIES}), a0 AS MATERIALIZED ({_assigned("b0")}), b1 AS MATERIALIZED ({_learnt("b0", "a0")}), a1 AS MATERIALIZED ({_assigned("b1")}), b2 AS MATERIALIZED ({_learnt("b1", "a1")}),
+f AS (SELECT id, string_agg(lpad(lower(to_hex(m.k)), 2, '0'), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM ({_assigned("b2")}) GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN f USING (id), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_neardup": _OP5, "op9_quality": _OP9}
+    return {"op5_neardup": _OP5, "op9_quality": _OP9, "op12_conversations": _OP12, "op13_vector_codes": _OP13}
