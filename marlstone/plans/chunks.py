@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from marlstone.operators import chunking as C
+from marlstone.operators import layout as Y
 from marlstone.plans._base import query
 from marlstone.sources import formats as S
 
@@ -87,7 +88,21 @@ def long_text_windows(t):
 
 @query("C9_layout_chunks")
 def layout_chunks(t):
-    return C.chunk_with(t("documents"), "doc_id", "text", C.layout_chunks)
+    """Chunks by layout: sections under headings, tables and images whole, headers, footers and page numbers left out."""
+    return Y.layout_chunks(t("documents"), "doc_id", "text")
+
+
+@query("C10_layout_blocks", r"""WITH l AS (SELECT page_id, trim(s, ' ') AS s, i FROM (SELECT page_id, unnest(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)), 1) AS i FROM pages)),
+p AS (SELECT page_id, s, i, s <> '' AND NOT regexp_matches(s, '^[0-9]{1,4}$') AS para FROM l), q AS (SELECT *, para AND NOT coalesce(lag(para) OVER (PARTITION BY page_id ORDER BY i), false) AS starts FROM p)
+SELECT page_id AS id, count(*) FILTER (starts) AS paragraphs, count(*) FILTER (s <> '' AND NOT para) AS page_numbers, coalesce(sum(length(regexp_replace(s, '\s+', '', 'g'))), 0)::BIGINT AS chars FROM q GROUP BY page_id""")
+def layout_blocks(t):
+    """Blocks of pages without their tags, of which the test tables' have two kinds: how many of each, and all their characters but white space."""
+    pages = t("pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    b = Y.layout_blocks(pages, "page_id", "text")
+    chars = F.sum(F.length(F.regexp_replace("content", r"\s+", ""))).alias("chars")
+    found = b.groupBy("id").agg(F.count_if(F.col("type") == "paragraph").alias("paragraphs"), F.count_if(F.col("type") == "page_number").alias("page_numbers"), chars)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return t("pages").select(F.col("page_id").alias("id")).join(found, "id", "left").select("id", zero("paragraphs"), zero("page_numbers"), zero("chars"))
 
 
 def _register(kind):

@@ -214,6 +214,7 @@ def test_text_graph(spark):
 
 def test_splitters(spark):
     from marlstone.operators import chunking as C
+    from marlstone.operators import layout as Y
 
     text = "".join(f"Sentence number {k} is here. " for k in range(200))
     chunks = C.split_long(text, 300, 60)
@@ -224,8 +225,8 @@ def test_splitters(spark):
     news = "前言\n2026-01-02 正文：第一篇。内容。\n2026-01-03 正文：第二篇。"
     assert C.news_chunks(news) == ["前言", "2026-01-02 正文：第一篇。内容。", "2026-01-03 正文：第二篇。"]
     assert C.packed_parts("第一条 甲。第二条 乙。", "law", 8, 0) == ["第一条 甲。", "第二条 乙。"]
-    layout = C.layout_chunks("# A\ntext\n| a |\n|---|\n| b |\n12\n![x](y)\nend")
-    assert layout == ["# A\ntext", "| a |\n|---|\n| b |", "![x](y)", "end"]
+    layout = Y.chunks("# A\ntext\n| a |\n|---|\n| b |\n12\n![x](y)\nend")
+    assert [c for *_, c in layout] == ["# A\n\ntext", "| a |\n|---|\n| b |", "![x](y)", "end"]
 
 
 def test_html_text_and_chains(spark):
