@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import re
 from collections.abc import Iterator
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions import diff
+
 
 def clean_markdown(text: Column) -> Column:
     """Marks, no-break spaces, line ends, trailing blanks and runs of blank lines put in order; images become their names."""
@@ -184,18 +185,21 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """Lines added and removed between two texts, and their similarity ratio, rounded to 4 places."""
+    """Of two texts: lines added and removed, the share of lines that stay, rounded to 4 places, and the changes (tag and line numbers from 1)."""
+    change = pa.struct([("tag", pa.string()), *((c, pa.int64()) for c in ("old_start", "old_end", "new_start", "new_end"))])
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for a, b in batches:
             rows = []
             for x, y in zip(a.to_pylist(), b.to_pylist()):
                 p, q = (x or "").split("\n"), (y or "").split("\n")
-                ops = difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
-                rows.append({"added": sum(j2 - j1 for tag, _, _, j1, j2 in ops if tag in ("insert", "replace")), "removed": sum(i2 - i1 for tag, i1, i2, _, _ in ops if tag in ("delete", "replace")), "ratio": round(difflib.SequenceMatcher(None, p, q, autojunk=False).ratio(), 4)})
-            yield pa.array(rows, pa.struct([("added", pa.int64()), ("removed", pa.int64()), ("ratio", pa.float64())]))
+                found = diff.changes(p, q)
+                added, removed = sum(j2 - j1 for *_, j1, j2 in found), sum(i2 - i1 for _, i1, i2, _, _ in found)
+                told = [{"tag": tag, "old_start": i1 + 1, "old_end": i2, "new_start": j1 + 1, "new_end": j2} for tag, i1, i2, j1, j2 in found]
+                rows.append({"added": added, "removed": removed, "ratio": round((len(p) - removed + len(q) - added) / (len(p) + len(q)), 4), "changes": told})
+            yield pa.array(rows, pa.struct([("added", pa.int64()), ("removed", pa.int64()), ("ratio", pa.float64()), ("changes", pa.list_(change))]))
 
-    return F.arrow_udf(run, "struct<added:bigint,removed:bigint,ratio:double>")(old, new)
+    return F.arrow_udf(run, "struct<added:bigint,removed:bigint,ratio:double,changes:array<struct<tag:string,old_start:bigint,old_end:bigint,new_start:bigint,new_end:bigint>>>")(old, new)
 
 
 _MOJIBAKE = re.compile("[ÃÂâ][\x80-\xbf€™œ“”–—]")

@@ -245,7 +245,7 @@ def version_diff(t):
     docs = t("documents").select("doc_id", "source", "text")
     known = previous(docs.select("source", "doc_id"), "source", "doc_id").filter("before IS NOT NULL").select("doc_id", F.col("before").alias("earlier"))
     pairs = docs.join(known, "doc_id").join(docs.select(F.col("doc_id").alias("earlier"), F.col("text").alias("before")), "earlier").filter("before IS NOT NULL")
-    return pairs.select("doc_id", C.line_diff(F.col("before"), F.col("text")).alias("d")).select("doc_id", "d.*")
+    return pairs.select("doc_id", C.line_diff(F.col("before"), F.col("text")).alias("d")).select("doc_id", "d.added", "d.removed", "d.ratio", F.size("d.changes").alias("changes"))
 
 
 @query("F15_hash_embedding")

@@ -65,7 +65,7 @@ def histogram_quantiles(t):
     # parts' exact counts tell which of them hold the ranks wanted, and only the values of those are put in order.
     e = t("events").filter("value IS NOT NULL")
     cuts = [k / 64 for k in range(1, 64)]
-    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.percentile_approx("value", cuts, 10_000).alias("cuts"))
+    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.percentile_approx("value", cuts, 1_000).alias("cuts"))
     n = cut(n)
     part = F.size(F.filter("cuts", lambda c: c < F.col("value")))
     steps = e.join(F.broadcast(n.select("event_type", "cuts")), "event_type").groupBy("event_type", part.alias("part"), "value").agg(F.count(F.lit(1)).alias("c"))
