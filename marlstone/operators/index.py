@@ -27,7 +27,7 @@ from collections import Counter
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -41,6 +41,8 @@ TIERS = 32
 NAMED_WINDOWS = 4096
 
 
+#: Query tokens that go to every task; more are joined by a shuffle.
+SENT_TOKENS = 50_000
 #: Words named as literals of a scan; more are joined.
 NAMED_WORDS = 5000
 
@@ -291,6 +293,31 @@ def best(index: Index, query: str, k: int, k1: float = K1, b: float = B) -> Data
     return top(_scored(index, inner(rows), weights, avg_dl, k1, b), k)
 
 
+def best_for_each(index: Index, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query, id, score and rank of the k best documents for each row of `queries`, as best() gives them for one.
+
+    The queries' tokens meet the blocks of their postings, which lie apart by windows, so a common token is no hot key; scores
+    are summed before the shuffle by query and document. Queries without a hit have no row."""
+    rows = queries.select(F.col(id_col).alias("query"), F.explode(TOKENIZERS[index.tokenizer](F.col(text_col))).alias("token"))
+    asked = cut(rows.groupBy("query", "token").agg(F.count(F.lit(1)).alias("times")), "asked")
+    n, avg_dl = index.sizes if index.segments else (0, 0.0)
+    words = asked.select("token").distinct()
+    some = [r.token for r in words.limit(NAMED_WORDS + 1).collect()]
+    if not n or not some:
+        return asked.select("query", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    held = blocks(index, some) if len(some) <= NAMED_WORDS else index.postings
+    found = held.select("segment", "token", F.inline("hits"))
+    if index.has_gone:
+        found = cut(_live(index, found), "hits")
+    df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weighed = cut(asked.join(df, "token").select("query", "token", (F.col("times") * idf(F.col("df"), F.lit(float(n)))).alias("weight")), "weights")
+    few = weighed.limit(SENT_TOKENS + 1).count() <= SENT_TOKENS
+    met = found.join(F.broadcast(weighed) if few else weighed, "token")
+    scored = met.groupBy("query", "id").agg(F.round(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"), avg_dl, k1, b)), 9).alias("score")).filter("score > 0")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
 def full_text(index: Index, words: list[str], title: str) -> DataFrame:
     """id and score: occurrences of the words (repeated words count again), three times if the title, a kept column, has the
     word, half for words of the vocabulary that are like one (linking.like_words). Postings of these words alone are read."""

@@ -71,28 +71,44 @@ def vector_search(vectors: DataFrame, query: list[float], id_col: str, vec_col:
     return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 
 
-def search_many(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
-    """query, id, score and rank of the k vectors of the greatest cosine to each query vector, itself left out; ties by id.
+def search_many(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048, same_space: bool = True) -> DataFrame:
+    """query, id, score and rank of the k vectors of the greatest cosine to each query vector; ties by id. same_space: the
+    queries are rows of the vectors, and a row isn't found by itself.
 
-    Every block of queries meets every partition of the vectors and keeps k hits of it; these are few and ranked again."""
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).cast("array<double>").alias("qv"))
-    n = max(1, -(-q.count() // block))
-    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
-    parts = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-vectors.count() // 16_384)))))
-    parts = parts.groupBy("p").agg(F.collect_list(F.struct("id", "v")).alias("vs"))
+    Every block of queries meets every block of vectors and keeps k hits of it; these are few and ranked again. A block is one
+    packed row, made once, so nothing is turned into Python numbers for a pair of blocks."""
+    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+
+    def pack(group: pa.Table) -> pa.Table:
+        ids = np.ascontiguousarray(group["id"].to_numpy(), np.int64)
+        values = np.ascontiguousarray(group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64)
+        if len(set(map(len, group["v"]))) > 1:
+            raise ValueError("vectors of different lengths")
+        return pa.table({"b": group["b"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vs": pa.array([values.tobytes()], pa.binary())})
+
+    def packed(df: DataFrame, size: int) -> DataFrame:
+        held = rows(df)
+        n = max(1, -(-held.count() // size))
+        return held.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("b").applyInArrow(pack, "b bigint, ids binary, vs binary")
+
+    def unit(ids: bytes, vs: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, np.int64)
+        x = np.frombuffer(vs, np.float64).reshape(len(ids), -1)
+        return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda rows, c: (x := np.array([r[c] for r in rows])) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         for batch in batches:
-            for row in batch.to_pylist():
-                mine, ids = np.array([r["query"] for r in row["qs"]]), np.array([r["id"] for r in row["vs"]])
-                score = np.round(unit(row["qs"], "qv") @ unit(row["vs"], "v").T, 9)
-                score[mine[:, None] == ids[None, :]] = -np.inf
-                for i, s in enumerate(score):
+            for q, qv, i, iv in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vs", "ids", "vs"))):
+                (mine, x), (ids, y) = unit(q, qv), unit(i, iv)
+                score = np.round(x @ y.T, 9)
+                if same_space:
+                    score[mine[:, None] == ids[None, :]] = -np.inf
+                for n, s in enumerate(score):
                     top = np.lexsort((ids, -s))[: min(k, int((s > -np.inf).sum()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), mine[i])), pa.array(ids[top]), pa.array(s[top])], ["query", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), mine[n])), pa.array(ids[top]), pa.array(s[top])], ["query", "id", "score"])
 
-    few = packed.join(parts, how="cross").repartition("b", "p").mapInArrow(best, "query bigint, id bigint, score double")
+    asked = packed(queries, block).select(F.col("b").alias("q"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+    few = asked.join(packed(vectors, 16_384), how="cross").repartition("q", "b").mapInArrow(best, "query bigint, id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return few.withColumn("rank", place).filter(F.col("rank") <= k)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import clean as C
 from marlstone.functions import text as T
 from marlstone.functions import vector as V
 from marlstone.operators import index as I
 from marlstone.operators import retrieval as R
+from marlstone.operators._lineage import cut
 from marlstone.plans._base import query
 
 QUERY = "the that with und les que der token"
@@ -233,3 +235,40 @@ def retrieval_evaluation(t):
     hits = R.containing(t("documents"), t("benchmark"), "doc_id", "item_id").groupBy(F.col("passage").alias("item_id")).agg(F.count_distinct("doc").alias("hits"))
     every = items.join(hits, "item_id", "left")
     return every.agg(F.count(F.lit(1)).alias("items"), F.count("hits").alias("found"), F.round(F.count("hits") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+@query("A29_keyword_ranks", f"""WITH {_TOK}, st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok), tf AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS token FROM tok) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), qt AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS token FROM benchmark) GROUP BY ALL),
+sc AS (SELECT item_id, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN tf USING (token) JOIN df USING (token), st GROUP BY item_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM sc), b AS (SELECT item_id, min(rank) AS rank FROM (SELECT r.item_id, r.rank FROM r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.item_id AND contains(d.text, b.text) WHERE r.rank <= 10) GROUP BY item_id),
+w AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT count(*) AS items, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_at_1, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_at_5, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_at_10, round(coalesce(sum(1 / rank), 0) / count(*), 6)::DOUBLE AS mean_reciprocal_rank FROM w LEFT JOIN b USING (item_id)""")
+def keyword_ranks(t):
+    """Retrieval evaluation: each passage that some document contains is a query to the keyword index; where among the first ten a containing document stands."""
+    items = t("benchmark")
+    right = R.containing(t("documents"), items, "doc_id", "item_id").select(F.col("passage").alias("query"), F.col("doc").alias("id"))
+    right = cut(right, "right")
+    hits = I.best_for_each(_index(t), items, "item_id", "text", 10).join(right, ["query", "id"]).groupBy("query").agg(F.min("rank").alias("rank"))
+    every = right.select("query").distinct().join(hits, "query", "left")
+    share = lambda k: F.round(F.count_if(F.col("rank") <= k) / F.count(F.lit(1)), 6).alias(f"recall_at_{k}")
+    return every.agg(F.count(F.lit(1)).alias("items"), share(1), share(5), share(10), F.round(F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)) / F.count(F.lit(1)), 6).alias("mean_reciprocal_rank"))
+
+
+@query("A29_hybrid_ranks")
+def hybrid_ranks(t):
+    """The same by both searches and their fusion: vectors of texts are hash embeddings. One row a search: the share of passages with a containing document among the first five, and the mean reciprocal rank in ten."""
+    items = t("benchmark")
+    right = cut(R.containing(t("documents"), items, "doc_id", "item_id").select(F.col("passage").alias("query"), F.col("doc").alias("id")), "right")
+    words = cut(I.best_for_each(_index(t), items, "item_id", "text", 30).select("query", "id", "rank"), "words")
+    asked = items.select(F.col("item_id").alias("id"), C.hash_embedding(F.col("text")).alias("v"))
+    docs = t("documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), C.hash_embedding(F.col("text")).alias("v"))
+    vectors = cut(R.search_many(asked, docs, "id", "v", 30, same_space=False).select("query", "id", "rank"), "vectors")
+    part = lambda rows, w: rows.select("query", "id", (F.lit(w) / (R.RRF_K + F.col("rank"))).alias("part"))
+    fused = part(vectors, R.VECTOR_WEIGHT).unionByName(part(words, R.KEYWORD_WEIGHT)).groupBy("query", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+    fused = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    wanted, out = right.select("query").distinct(), None
+    for name, rows in (("keyword", words), ("vector", vectors), ("hybrid", fused)):
+        hits = rows.filter("rank <= 10").join(right, ["query", "id"]).groupBy("query").agg(F.min("rank").alias("rank"))
+        every = wanted.join(hits, "query", "left").agg(F.lit(name).alias("search"), F.count(F.lit(1)).alias("items"), F.round(F.count_if(F.col("rank") <= 5) / F.count(F.lit(1)), 6).alias("recall_at_5"), F.round(F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)) / F.count(F.lit(1)), 6).alias("mean_reciprocal_rank"))
+        out = every if out is None else out.unionByName(every)
+    return out
