@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from marlstone.functions import clean
-from marlstone.operators._lineage import shared_folder
+from marlstone.operators._lineage import cut, shared_folder
 from marlstone.plans._base import query
-from marlstone.sources import formats
+from marlstone.sources import formats, importers
 
 
 def _save(rows: DataFrame, kind: str, path: str) -> None:
@@ -89,6 +92,55 @@ def vault_notes(t):
     return formats.vault_notes(customers.unionByName(nations))
 
 
+@query("S4_json_records", """WITH f AS (SELECT 'o_orderkey' AS key, count(*) AS n_records, count(o_orderkey) AS n_values FROM orders UNION ALL SELECT 'note', count(*), count(*) FILTER (o_orderkey % 7 <> 0) FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'p_partkey', count(*), count(*) FROM part UNION ALL SELECT 'p_name', count(*), count(*) FROM part WHERE p_partkey % 2 = 0) SELECT * FROM f""")
+def json_records(t):
+    """Orders and parts as records of JSON with keys of their own, some with nulls: all keys, with the records and values of each."""
+    orders, parts = t("orders"), t("part")
+    note = F.when(F.col("o_orderkey") % 3 != 0, F.lit("")).when(F.col("o_orderkey") % 7 != 0, F.format_string(',"note":"n %d"', "o_orderkey")).otherwise(F.lit(',"note":null'))
+    lines = orders.select(F.concat(F.format_string('{"o_orderkey":%d', "o_orderkey"), note, F.lit("},")).alias("value"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(',"p_name":'), F.to_json(F.array("p_name")).substr(F.lit(2), F.length(F.to_json(F.array("p_name"))) - 2))).otherwise(F.lit(""))
+    path = _folder(orders)
+    _save(lines.unionByName(parts.select(F.concat(F.format_string('{"p_partkey":%d', "p_partkey"), name, F.lit("}")).alias("value"))), "txt", path)
+    return importers.key_union(importers.json_records(orders.sparkSession, path))
+
+
+def _archives(t) -> DataFrame:
+    """path and content of archives, of two hundred customers each: a note for each in its nation's folder, and a workbook of them all."""
+    of = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_name", "n_name", F.col("c_acctbal").cast("double").alias("balance"), F.floor(F.col("c_custkey") / 200).alias("box"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["c_custkey"])
+        sheet = "".join(f'<row r="{k}"><c r="A{k}"><v>{r["c_custkey"]}</v></c><c r="C{k}"><v>{r["balance"]}</v></c></row>' for k, r in enumerate(rows, 2))
+        book, box = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(book, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<s><row r="1"><c r="A1"><v>key</v></c><c r="C1"><v>balance</v></c></row>{sheet}</s>')
+        with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in rows:
+                z.writestr(f"notes/{r['n_name']}/{r['c_name']} {r['c_custkey']:032x}.md", f"# {r['c_name']}\n\nfrom {r['n_name']}")
+            z.writestr("book.xlsx", book.getvalue())
+            z.writestr("notes/", "")
+            z.writestr("photo.raw", b"\0")
+        return pa.table({"path": [f"box{rows[0]['box']}.zip"], "content": [box.getvalue()]}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return cut(of.groupBy("box").applyInArrow(pack, "path string, content binary"), "archives")
+
+
+@query("S17_archive_pages", """WITH c AS (SELECT 'box' || (c_custkey // 200) || '.zip' AS path, c_name AS title, 'notes/' || n_name AS parent, '# ' || c_name || chr(10) || chr(10) || 'from ' || n_name AS text FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT path, title, parent, text, false AS failed FROM c UNION ALL SELECT DISTINCT path, 'photo', '', NULL, true FROM c""")
+def archive_pages(t):
+    """Pages from archives, with titles and folders; members without a reader are errors of their own."""
+    members = importers.archive_members(_archives(t)).filter("member <> 'book.xlsx'")
+    return importers.imported_pages(members).select("path", "title", "parent", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@query("S17_workbook_profile", """WITH c AS (SELECT 'box' || (c_custkey // 200) || '.zip' AS path, c_custkey::DOUBLE AS k, c_acctbal::DOUBLE AS b FROM customer)
+SELECT path, 'key' AS name, count(*) AS n, count(*) AS n_numbers, min(k) AS least, max(k) AS most, round(avg(k), 4) AS mean FROM c GROUP BY path UNION ALL SELECT path, 'balance', count(*), count(*), min(b), max(b), round(avg(b), 4) FROM c GROUP BY path""")
+def workbook_profile(t):
+    """Columns of the archives' workbooks, whose second column is empty: numbers, least, most and mean."""
+    books = importers.archive_members(_archives(t)).filter("member = 'book.xlsx'").select("path", "content")
+    return importers.column_profile(importers.sheet_cells(books)).select("path", "name", "n", "n_numbers", "least", "most", F.round("mean", 4).alias("mean"))
+
+
 @query("F24_cleaner_stages", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[①-⑮⒈-⒑]', '', 'g'), '〔[0-9]+〕|［[0-9]+］|\([0-9]{1,3}\)', '', 'g'), '(?m)^[ \t]*[0-9]{1,3}[ \t]*$', '', 'g'),
 '[ 　]+', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\.{4,}|·{3,}', '……', 'g') AS cleaned FROM documents""")
 def cleaner_stages(t):

@@ -151,22 +151,39 @@ def pptx_text(data: bytes) -> str:
         return "\n\n".join(f"## Slide {k}\n\n" + "\n".join(_blocks(z.read(n), ("p",))) for k, n in enumerate(slides, 1))
 
 
-def xlsx_markdown(data: bytes) -> str:
-    """Each sheet as a Markdown table."""
+def _column(reference: str) -> int:
+    """The column of a cell reference such as C5, from 0."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = 26 * n + ord(c.upper()) - 64
+    return n - 1
+
+
+def xlsx_sheets(data: bytes) -> list[list[list[str]]]:
+    """The rows of each sheet; cells that a row leaves out are empty."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = _shared(z)
         out = []
-        for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
+        for name in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0])):
             rows = []
             for row in ElementTree.fromstring(z.read(name)).iter():
                 if row.tag.rpartition("}")[2] == "row":
-                    cells = []
+                    cells: list[str] = []
                     for c in row:
+                        at = _column(c.get("r") or "")
+                        cells += [""] * (at - len(cells))
                         value = "".join(c.itertext())
                         cells.append(shared[int(value)] if c.get("t") == "s" and value.isdigit() else value)
                     rows.append(cells)
-            out.append(markdown_table(rows))
-        return "\n\n".join(t for t in out if t)
+            out.append(rows)
+        return out
+
+
+def xlsx_markdown(data: bytes) -> str:
+    """Each sheet as a Markdown table."""
+    return "\n\n".join(t for t in map(markdown_table, xlsx_sheets(data)) if t)
 
 
 def _shared(z: zipfile.ZipFile) -> list[str]:
