@@ -41,12 +41,6 @@ def drop_adjacent_repeats(text: Column) -> Column:
     return F.array_join(F.transform(F.array(lines), bound)[0], "\n")
 
 
-def outline(text: Column, most: int = 8) -> Column:
-    """The first Markdown headings, without their marks."""
-    heads = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}[ \t]+(.+)$"), F.lit(1))
-    return F.slice(F.transform(heads, lambda x: F.trim(x)), 1, most)
-
-
 def drop_footnote_marks(text: Column) -> Column:
     """Without circled and dotted numbers, bracketed note numbers, and lines of a number alone."""
     for pattern in ("[①-⑮⒈-⒑]", r"〔[0-9]+〕|［[0-9]+］|\([0-9]{1,3}\)", r"(?m)^[ \t]*[0-9]{1,3}[ \t]*$"):
@@ -140,15 +134,6 @@ def redact_map(props: Column) -> Column:
     return F.transform_values(props, value)
 
 
-def folder_affinity(a: Column, b: Column) -> Column:
-    """0.42 for one parent folder, and 0.07 for each leading folder in common, at most 0.28."""
-    folders = lambda p: F.slice(F.split(p, "/", -1), F.lit(1), F.greatest(F.size(F.split(p, "/", -1)) - 1, F.lit(0)))
-    x, y = folders(a), folders(b)
-    same = F.zip_with(x, y, lambda p, q: p.eqNullSafe(q))
-    depth = F.coalesce(F.nullif(F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)), F.lit(0)) - 1, F.lit(0))
-    return F.when(x == y, 0.42).otherwise(0.0) + F.least(F.lit(0.28), depth * 0.07)
-
-
 def cron_due(cron: Column, at: Column) -> Column:
     """Whether a five-field cron line's minute and hour hold at a time; `*`, `*/n`, `a-b` and lists; the day fields are not asked."""
     def field(spec: Column, now: Column) -> Column:
@@ -163,12 +148,6 @@ def cron_due(cron: Column, at: Column) -> Column:
     return field(F.get(fields, F.lit(0)), F.minute(at)) & field(F.get(fields, F.lit(1)), F.hour(at))
 
 
-def parse_time(text: Column) -> Column:
-    """A timestamp from RFC 2822 or ISO 8601; without a zone it is UTC; null if it is neither."""
-    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z")), text.try_cast("timestamp"))
-
-
 def hash_embedding(text: Column, size: int = 64) -> Column:
     """A unit vector that depends on the text alone: normal numbers from its digest."""
     import numpy as np

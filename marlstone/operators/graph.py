@@ -28,18 +28,24 @@ def merge_pairs(edges: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("weight").alias("weight"), best.alias("best"), F.array_join(F.sort_array(F.collect_set("relation")), ";").alias("relations")).select("a", "b", "weight", F.col("best.relation").alias("relation"), "relations")
 
 
+#: Nodes of a frontier that go to every task, so that edges stay where they lie; more are joined by a shuffle, whose large keys the engine splits.
+FRONTIER = 100_000
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
-    """id and the least number of steps, at most `depth`, from any of `seeds` (id). One join a step, against nodes not yet seen; the steps between are checkpointed."""
+    """id and the least number of steps, at most `depth`, from any of `seeds` (id). One join a step, of nodes that were new in the
+    step before with narrow edges that are written once; each step is a table of its own."""
     steps = edges.select("source", "target")
     if not directed:
         steps = steps.unionByName(steps.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    steps = cut(steps, "steps") if depth > 1 else steps
     frontier = seeds.select("id").distinct().withColumn("step", F.lit(0))
     seen = frontier
     for k in range(1, depth + 1):
-        found = frontier.join(steps, frontier.id == steps.source).select(F.col("target").alias("id")).distinct()
-        frontier = found.join(seen, "id", "left_anti").withColumn("step", F.lit(k))
-        if k < depth:
-            frontier = cut(frontier)
+        few = frontier.limit(FRONTIER + 1).count() <= FRONTIER
+        start = frontier.select(F.col("id").alias("source"))
+        found = steps.join(F.broadcast(start) if few else start, "source").select(F.col("target").alias("id")).distinct()
+        frontier = cut(found.join(seen, "id", "left_anti").withColumn("step", F.lit(k)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -81,33 +81,90 @@ def svg_text(data: bytes) -> str:
     return "\n".join(t for t in found if t)
 
 
+_KEY = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#"'\[\]{},&*!|>%@`-][^:#]*?|[^:\s]+?)\s*:(?=\s|$)""")
+_FLOW = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[\[\]{},]|:(?=[\s\[\]{},]|$)|(?:[^\s,:\[\]{}]|:(?![\s,\[\]{}]|$)|\s+(?![#,:\[\]{}]|$))+)""")
+
+
+def _plain(s: str) -> str:
+    """A scalar without its quotes."""
+    s = s.strip()
+    if len(s) > 1 and s[0] == s[-1] == '"':
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), s[1:-1])
+    return s[1:-1].replace("''", "'") if len(s) > 1 and s[0] == s[-1] == "'" else s
+
+
+def _flow_items(tokens: list[str], at: int, depth: int, out: list[str]) -> int:
+    """Lines of a flow collection that opens at a token; the place behind its end."""
+    at += 1
+    while at < len(tokens) and tokens[at] not in "]}":
+        if tokens[at] == ",":
+            at += 1
+            continue
+        key = ""
+        if at + 1 < len(tokens) and tokens[at + 1] == ":":
+            key, at = f"**{_plain(tokens[at])}**", at + 2
+        if at < len(tokens) and tokens[at] in "[{":
+            if key:
+                out.append(f"{'  ' * depth}- {key}")
+            at = _flow_items(tokens, at, depth + bool(key), out)
+        else:
+            value = _plain(tokens[at]) if at < len(tokens) and tokens[at] not in ",]}" else ""
+            out.append(f"{'  ' * depth}- " + (f"{key}: {value}" if key and value else key or value))
+            at += bool(value)
+    return at + 1
+
+
 def yaml_markdown(data: bytes) -> str:
-    """Block YAML of maps, lists and scalars as nested Markdown items; without a YAML library, by its indentation."""
-    out = []
-    for line in decode(data).splitlines():
-        if not line.strip() or line.lstrip().startswith("#") or line.strip() in ("---", "..."):
+    """YAML as nested Markdown items: maps, lists, quoted and block scalars, flow collections, anchors and their aliases of scalars; without a YAML library, by its indentation."""
+    lines, out, anchors, k = decode(data).splitlines(), [], {}, 0
+    while k < len(lines):
+        line, k = lines[k], k + 1
+        if not line.strip() or line.lstrip().startswith(("#", "%")) or line.strip() in ("---", "..."):
             continue
-        depth = (len(line) - len(line.lstrip())) // 2
+        indent = len(line) - len(line.lstrip())
         body = line.strip()
-        item = body.startswith("- ")
-        body = body[2:] if item else body
-        key, sep, value = body.partition(":")
-        shown = f"**{key.strip()}**" + (f": {value.strip()}" if value.strip() else "") if sep and (not value or value[0] == " ") else body
-        out.append(f"{'  ' * depth}- {shown}")
+        item = body.startswith("- ") or body == "-"
+        body = body[1:].strip() if item else body
+        m = _KEY.match(body) if body[:1] not in "[{" else None
+        key, value = (f"**{_plain(m[1])}**", body[m.end() :].strip()) if m else ("", body)
+        value = re.sub(r"^!\S*\s*", "", value)
+        anchor = re.match(r"&(\S+)\s*", value)
+        value = value[anchor.end() :] if anchor else value
+        if re.fullmatch(r"[|>][+-]?[0-9]?[+-]?(?:\s+#.*)?", value):
+            held = []
+            while k < len(lines) and (not lines[k].strip() or len(lines[k]) - len(lines[k].lstrip()) > indent):
+                held.append(lines[k].strip())
+                k += 1
+            value = ("\n" if value[0] == "|" else " ").join(held).strip()
+        elif value[:1] in ("[", "{"):
+            while k < len(lines) and value.count("[") + value.count("{") > value.count("]") + value.count("}"):
+                value, k = f"{value} {lines[k].strip()}", k + 1
+            if key:
+                out.append(f"{'  ' * (indent // 2)}- {key}")
+            _flow_items(_FLOW.findall(value), 0, indent // 2 + bool(key), out)
+            continue
+        elif value[:1] not in ("'", '"'):
+            value = re.sub(r"(?:^|\s+)#.*$", "", value)
+        value = anchors.get(value[1:], value) if value.startswith("*") else _plain(value)
+        if anchor:
+            anchors[anchor[1]] = value
+        shown = (f"{key}: {value}" if value else key) if key else value
+        if shown or item:
+            out.append(f"{'  ' * (indent // 2)}- {shown}".rstrip())
     return "\n".join(out)
 
 
 def rtf_text(data: bytes) -> str:
     """Visible text: destinations that are no text are skipped, escapes decoded, paragraphs kept."""
     text, out, skip, depth = data.decode("latin-1"), [], [], 0
-    hidden = ("fonttbl", "colortbl", "stylesheet", "info", "pict", "themedata", "generator")
+    hidden = re.compile(r"\\\*|\\(?:fonttbl|colortbl|stylesheet|info|pict|themedata|generator)\b")
     at = 0
     pattern = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\([a-z]+)(-?\d+)? ?|\\(.)|([{}])|([^\\{}]+)", re.S)
     while m := pattern.match(text, at):
         at = m.end()
         if m[6] == "{":
             depth += 1
-            if re.match(r"\\\*|\\(?:" + "|".join(hidden) + r")\b", text[at:]):
+            if hidden.match(text, at):
                 skip.append(depth)
         elif m[6] == "}":
             if skip and skip[-1] == depth:

@@ -58,3 +58,55 @@ def test_cells_stand_by_their_references(spark):
     assert {(r.sheet, r.row, r.column, r.value) for r in cells.collect()} == {(1, 0, 0, "k"), (1, 0, 27, "far"), (1, 1, 1, "5"), (1, 1, 27, "1.5"), (3, 0, 0, "a"), (3, 0, 1, "b")}
     got = {(r.sheet, r.name): (r.n, r.n_numbers, r.mean) for r in importers.column_profile(cells).collect()}
     assert got == {(1, "k"): (0, 0, None), (1, "far"): (1, 1, 1.5), (3, "a"): (0, 0, None), (3, "b"): (0, 0, None)}
+
+
+def test_yaml_of_all_forms():
+    page = """# c
+name: x # note
+"quoted: key": 'it''s'
+flow: {a: 1, b: [2, three: 3], "c": "d, e"}
+list:
+  - one
+  - key: v
+    sub: w
+text: |
+  line one
+  line two
+fold: >-
+  a
+  b
+base: &id value
+ref: *id
+multi: [1,
+  2]
+url: http://a.b/c
+"""
+    assert formats.yaml_markdown(page.encode()) == """- **name**: x
+- **quoted: key**: it's
+- **flow**
+  - **a**: 1
+  - **b**
+    - 2
+    - **three**: 3
+  - **c**: d, e
+- **list**
+  - one
+  - **key**: v
+    - **sub**: w
+- **text**: line one
+line two
+- **fold**: a b
+- **base**: value
+- **ref**: value
+- **multi**
+  - 1
+  - 2
+- **url**: http://a.b/c"""
+
+
+def test_rtf_in_linear_time():
+    import time
+
+    began = time.process_time()
+    assert formats.rtf_text(b"{\\rtf1 " + b"{\\b x}" * 200_000 + b"}") == "x" * 200_000
+    assert time.process_time() - began < 10

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import clean, text, vector
+from marlstone.functions import clean, terms, text, vector
 from marlstone.operators import chunking, graph, retrieval
 from marlstone.sources import formats
 from marlstone.streaming import events
@@ -146,11 +146,11 @@ def test_cleaning(spark):
     red = one(spark, {"token": "t", "query": "abc", "h": "Bearer xyz"}, clean.redact_map, "map<string,string>")
     assert red["token"] == "[REDACTED]" and red["query"].startswith("len=3 sha256=") and red["h"] == "Bearer [REDACTED]"
     assert one(spark, "Ã¤ rger", clean.repair_mojibake) == "ä rger" and one(spark, "ä", clean.repair_mojibake) == "ä"
-    assert one(spark, "a/b/c.md", lambda c: clean.folder_affinity(c, F.lit("a/b/d.md"))) == pytest.approx(0.56)
-    assert one(spark, "a/x/c.md", lambda c: clean.folder_affinity(c, F.lit("a/b/d.md"))) == pytest.approx(0.07)
+    assert one(spark, "a/b/c.md", lambda c: terms.folder_affinity(c, F.lit("a/b/d.md"))) == pytest.approx(0.56)
+    assert one(spark, "a/x/c.md", lambda c: terms.folder_affinity(c, F.lit("a/b/d.md"))) == pytest.approx(0.07)
     at = F.lit("2024-01-01 08:30:00").cast("timestamp")
     assert [one(spark, s, lambda c: clean.cron_due(c, at)) for s in ("30 8 * * *", "*/15 7-9 * * *", "0 8 * * *", "1,30 8 * * 0")] == [True, True, False, True]
-    times = [one(spark, s, lambda c: clean.parse_time(c).cast("string")) for s in ("Mon, 1 Jan 2024 10:00:00 +0200", "2024-01-01T08:00:00Z", "soon")]
+    times = [one(spark, s, lambda c: terms.parsed_time(c).cast("string")) for s in ("Mon, 1 Jan 2024 10:00:00 +0200", "2024-01-01T08:00:00Z", "soon")]
     assert times == ["2024-01-01 08:00:00", "2024-01-01 08:00:00", None]
     diff = one(spark, "a\nb", lambda c: clean.line_diff(c, F.lit("a\nc\nd")))
     assert (diff.added, diff.removed) == (2, 1)
