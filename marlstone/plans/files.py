@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
-from marlstone.functions import clean
+from marlstone.functions import clean, stages
 from marlstone.operators._lineage import cut, shared_folder
 from marlstone.plans._base import query
 from marlstone.sources import formats, importers
@@ -146,3 +146,13 @@ def workbook_profile(t):
 def cleaner_stages(t):
     """The stages that take characters away, over all documents; fixtures test the others."""
     return t("documents").select("doc_id", clean.plain_characters(clean.drop_footnote_marks(F.col("text"))).alias("cleaned"))
+
+
+@query("F24_layout_stages", r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT page_id, '# ' || title || chr(10) || '## 1.2 ' || trim(left(title, 20), ' ') || chr(10) || '### 2.1.3 deep' || chr(10) || '```' || chr(10) || '1.2 in code' || chr(10) || '7' || chr(10) || '```' || chr(10) || '关键词：a；' || page_id || chr(10) || '总建筑面积 ' || page_id || ' m²，长度 5 m' AS cleaned FROM p""")
+def layout_stages(t):
+    """Each page's title in a text of headings out of step, page numbers, code, keywords and units, put in order."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    k = F.col("page_id").cast("string")
+    text = F.concat(F.lit("# "), title, F.lit("\n1.2 "), F.substring(title, 1, 20), F.lit("\n2.1.3 deep\n- 12 -\nPage 3 of 9\n~~~###^^^\n```\n1.2 in code\n7\n```\n第3卷第4期\n关键词: a, "), k, F.lit("\n总建筑面积 "), k, F.lit(" m，长度 5 m"))
+    return t("pages").select("page_id", stages.clean_layout(text).alias("cleaned"))
