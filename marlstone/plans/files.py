@@ -156,3 +156,39 @@ def layout_stages(t):
     k = F.col("page_id").cast("string")
     text = F.concat(F.lit("# "), title, F.lit("\n1.2 "), F.substring(title, 1, 20), F.lit("\n2.1.3 deep\n- 12 -\nPage 3 of 9\n~~~###^^^\n```\n1.2 in code\n7\n```\n第3卷第4期\n关键词: a, "), k, F.lit("\n总建筑面积 "), k, F.lit(" m，长度 5 m"))
     return t("pages").select("page_id", stages.clean_layout(text).alias("cleaned"))
+
+
+def _zipped(members: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def _office(names: list[str]) -> dict[str, bytes]:
+    """One list of names as files of seven formats."""
+    of = lambda tag, name: f"<{tag}>{name}</{tag}>"
+    each = lambda tag: "".join(of(tag, n) for n in names)
+    return {
+        "docx": _zipped({"word/document.xml": f'<w:d xmlns:w="w"><w:body>{each("w:p")}</w:body></w:d>'}), "odt": _zipped({"content.xml": f'<o xmlns:text="t">{each("text:p")}</o>'}),
+        "pptx": _zipped({f"ppt/slides/slide{k}.xml": f'<s xmlns:a="a">{of("a:p", n)}</s>' for k, n in enumerate(names, 1)}), "epub": _zipped({f"c{k:03d}.xhtml": f"<html><body><p>{n}</p></body></html>" for k, n in enumerate(names)}),
+        "rtf": ("{\\rtf1{\\fonttbl{\\f0 Arial;}}" + "\\par ".join(names) + "}").encode(), "svg": f"<svg>{each('text')}</svg>".encode(), "html": f"<html><body>{each('p')}</body></html>".encode(),
+    }
+
+
+@query("S9_office_pages", """WITH c AS (SELECT c_custkey // 100 AS box, c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS k FROM customer),
+t AS (SELECT box, string_agg(c_name, chr(10) ORDER BY k) AS single, string_agg(c_name, chr(10) || chr(10) ORDER BY k) AS twice, string_agg('## Slide ' || k || chr(10) || chr(10) || c_name, chr(10) || chr(10) ORDER BY k) AS slides FROM c GROUP BY box)
+SELECT box || '.' || f.kind AS path, md5(CASE f.lay WHEN 1 THEN single WHEN 2 THEN twice ELSE slides END) AS text FROM t, (VALUES ('docx', 2), ('odt', 2), ('pptx', 3), ('epub', 2), ('rtf', 1), ('svg', 1), ('html', 2)) f(kind, lay)""")
+def office_pages(t):
+    """The names of a hundred customers each as documents of seven formats, read by their readers."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["c_custkey"])
+        files = _office([r["c_name"] for r in rows])
+        schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("content", pa.binary())])
+        return pa.table({"path": [f"{rows[0]['box']}.{k}" for k in files], "member": [f"a.{k}" for k in files], "content": list(files.values())}, schema=schema)
+
+    boxes = t("customer").select("c_custkey", "c_name", F.floor(F.col("c_custkey") / 100).alias("box"))
+    files = boxes.groupBy("box").applyInArrow(pack, "path string, member string, content binary")
+    return importers.imported_pages(files).select("path", F.md5("text").alias("text"))

@@ -197,9 +197,34 @@ def odt_text(data: bytes) -> str:
         return "\n\n".join(_blocks(z.read("content.xml"), ("h", "p")))
 
 
+def _local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _docx_parts(body: ElementTree.Element) -> list[str]:
+    """Headings by their style, paragraphs, and tables as Markdown, in the order of the document; other boxes are opened."""
+    out = []
+    text = lambda e: " ".join("".join(t.text or "" if _local(t) == "t" else " " if _local(t) in ("tab", "br") else "" for t in e.iter()).split())
+    for e in body:
+        if _local(e) == "p":
+            words = text(e) or " ".join("".join(e.itertext()).split())
+            style = next((v for s in e.iter() if _local(s) == "pStyle" for k, v in s.attrib.items() if k.rpartition("}")[2] == "val"), "")
+            level = re.fullmatch(r"(?i)heading\s*([1-9])|([1-9])", style)
+            if words:
+                out.append(f"{'#' * min(6, int(level[1] or level[2]))} {words}" if level else words)
+        elif _local(e) == "tbl":
+            rows = [[text(c) for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]
+            out.append(markdown_table([r for r in rows if r]))
+        elif _local(e) in ("sdt", "sdtContent", "ins"):
+            out += _docx_parts(e)
+    return [x for x in out if x]
+
+
 def docx_text(data: bytes) -> str:
+    """Headings, paragraphs and tables as Markdown."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return "\n\n".join(_blocks(z.read("word/document.xml"), ("p",)))
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    return "\n\n".join(_docx_parts(next((e for e in root if _local(e) == "body"), root)))
 
 
 def pptx_text(data: bytes) -> str:

@@ -60,6 +60,14 @@ def test_cells_stand_by_their_references(spark):
     assert got == {(1, "k"): (0, 0, None), (1, "far"): (1, 1, 1.5), (3, "a"): (0, 0, None), (3, "b"): (0, 0, None)}
 
 
+def test_docx_headings_and_tables():
+    p = lambda words, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{words}</w:t></w:r></w:p>' if style else f"<w:p><w:r><w:t>{words}</w:t><w:tab/><w:t>x</w:t></w:r></w:p>"
+    cell = lambda words: f"<w:tc>{p(words, 'Plain')}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>"
+    page = f"<w:document xmlns:w='urn:w'><w:body>{p('Title', 'Heading1')}{p('words')}{table}<w:sdt><w:sdtContent>{p('Deep', 'heading 3')}</w:sdtContent></w:sdt><w:p/></w:body></w:document>"
+    assert formats.docx_text(zipped(**{"word/document.xml": page})) == "# Title\n\nwords x\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n### Deep"
+
+
 def test_yaml_of_all_forms():
     page = """# c
 name: x # note
