@@ -207,7 +207,8 @@ def test_text_graph(spark):
     known = spark.createDataFrame([("知识图谱",)], "name string")
     nodes, edges = E.text_graph(docs, "id", "t", known)
     got = {(r.head, r.relation, r.tail) for r in edges.collect()}
-    assert got == {("知识图谱", "includes", "甲类方法"), ("知识图谱", "includes", "乙类方法"), ("知识图谱", "depends_on", "统一存储"), ("民法典", "includes", "第三条")}
+    attributes = {("知识图谱", "includes", "甲类方法"), ("知识图谱", "includes", "乙类方法"), ("知识图谱", "depends_on", "统一存储"), ("民法典", "includes", "第三条")}
+    assert got == attributes | {("知识图谱", "has_type", "甲类方法"), ("知识图谱", "has_type", "乙类方法"), ("甲类方法", "co_occurs_with", "乙类方法")}
     kinds = {r.name: r.type for r in nodes.collect()}
     assert kinds["民法典"] == "law" and kinds["2021年"] == "time" and kinds["知识图谱"] == "concept"
 
