@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,57 +113,89 @@ def search_many(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: st
     return few.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def vector_neighbours(vectors: DataFrame, id_col: str, vec_col: str, least: float, block: int = 16384, strip: int = 256) -> DataFrame:
-    """id and neighbours of every vector: the ids of all other vectors at a cosine of at least `least`, ascending.
-
-    Exact: the vectors are dealt into blocks of about `block` rows, and every two blocks meet in one task, a strip of rows at
-    a time. A zero vector has no neighbours. The time is that of all pairs."""
-    kind = np.float32 if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if kind is np.float32 else "array<double>").alias("v"))
+def _blocked_pairs(rows: DataFrame, kind: type, least: float, block: int, strip: int, out: Callable, schema: str) -> DataFrame:
+    """What `out` makes of the pairs of rows (id, n, v) whose cosine is at least `least`: it gets a side's ids and, pair by pair, places in
+    them and in the other side's ids and numbers. Rows are dealt into blocks, and every two blocks meet in one task, a strip at a
+    time; both directions of a pair are found. A zero vector has no neighbours."""
     n_blocks = max(1, -(-rows.count() // block))
 
     def pack(group: pa.Table) -> pa.Table:
-        ids = np.ascontiguousarray(group["id"].to_numpy(), np.int64)
+        ids, ns = (np.ascontiguousarray(group[c].to_numpy(), np.int64) for c in ("id", "n"))
         values = np.ascontiguousarray(group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), kind)
         if len(values) % len(ids) or len(set(map(len, group["v"]))) > 1:
             raise ValueError("vectors of different lengths")
-        return pa.table({"i": group["i"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vs": pa.array([values.tobytes()], pa.binary())})
-
-    def lists(ids: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(ids, kind="stable")
-        each, starts = np.unique(ids[order], return_index=True)
-        near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(others[order], pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), near], ["id", "near"])
+        return pa.table({"i": group["i"][:1], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("ids", ids), ("ns", ns), ("vs", values))}})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = []
-        for _, ids, vs in sorted((r["i"], r["ids"], r["vs"]) for b in batches for r in b.to_pylist()):
+        for _, ids, ns, vs in sorted((r["i"], r["ids"], r["ns"], r["vs"]) for b in batches for r in b.to_pylist()):
             ids = np.frombuffer(ids, np.int64)
             vs = np.frombuffer(vs, kind).reshape(len(ids), -1).astype(np.float64)
             size = np.linalg.norm(vs, axis=1, keepdims=True)
-            sides.append((ids, np.divide(vs, size, out=np.zeros_like(vs), where=size > 0)))
-        (a, x), (b, y) = sides[0], sides[-1]
+            sides.append((ids, np.frombuffer(ns, np.int64), np.divide(vs, size, out=np.zeros_like(vs), where=size > 0)))
+        (a, n_a, x), (b, n_b, y) = sides[0], sides[-1]
         for at in range(0, len(a), strip):
             left, right = np.nonzero(x[at : at + strip] @ y.T >= least)
             left += at
             if len(sides) == 1:  # a block and itself: both directions are found as they are
                 other = left != right
                 if other.any():
-                    yield lists(a[left[other]], a[right[other]])
+                    yield out(a, left[other], b, n_b, right[other])
             elif len(left):
-                yield lists(a[left], b[right])
-                yield lists(b[right], a[left])
+                yield out(a, left, b, n_b, right)
+                yield out(b, right, a, n_a, left)
 
-    packed = rows.filter("v IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("i").applyInArrow(pack, "i int, ids binary, vs binary")
+    packed = rows.filter("v IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("i").applyInArrow(pack, "i int, ids binary, ns binary, vs binary")
     pairs = packed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("j")
     # A block without rows leaves its partners' groups with one side.
     whole = packed.select(F.col("i").alias("other"))
     pairs = pairs.withColumn("other", F.col("lo") + F.col("hi") - F.col("i")).join(whole, "other", "left_semi").drop("other")
-    near = pairs.groupBy("lo", "hi").applyInArrow(meet, "id bigint, near array<bigint>")
+    return pairs.groupBy("lo", "hi").applyInArrow(meet, schema)
+
+
+def _typed(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, type]:
+    kind = np.float32 if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if kind is np.float32 else "array<double>").alias("v")), kind
+
+
+def vector_neighbours(vectors: DataFrame, id_col: str, vec_col: str, least: float, block: int = 16384, strip: int = 256) -> DataFrame:
+    """id and neighbours of every vector: the ids of all other vectors at a cosine of at least `least`, ascending. Exact, in the time of all pairs."""
+    rows, kind = _typed(vectors, id_col, vec_col)
+
+    def lists(ids: np.ndarray, at: np.ndarray, others: np.ndarray, _, place: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(at, kind="stable")
+        each, starts = np.unique(at[order], return_index=True)
+        near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(others[place[order]], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(ids[each], pa.int64()), near], ["id", "near"])
+
+    near = _blocked_pairs(rows.withColumn("n", F.lit(1).cast("long")), kind, least, block, strip, lists, "id bigint, near array<bigint>")
     found = near.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("neighbours"))
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
+def vector_links(vectors: DataFrame, id_col: str, vec_col: str, least: float, block: int = 16384, strip: int = 256) -> DataFrame:
+    """id, class_id (the least id of the vectors equal to it) and links, the number of other vectors at a cosine of at least `least`.
+
+    Equal vectors are compared once, and links are counted where they are found, so no list of neighbours is held. Null and zero
+    vectors have no links, and are a class by themselves or with their like."""
+    rows, kind = _typed(vectors, id_col, vec_col)
+    classes = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("long").alias("n")), "classes")
+
+    def sums(ids: np.ndarray, at: np.ndarray, _, numbers: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        total = np.bincount(at, numbers[place], len(ids)).astype(np.int64)
+        some = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], ["id", "links"])
+
+    beside = _blocked_pairs(classes, kind, least, block, strip, sums, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("beside"))
+    filled = F.exists("v", lambda x: x != 0)
+    own = F.when(F.coalesce(filled, F.lit(False)), F.col("n") - 1).otherwise(0)
+    known = classes.join(beside, "id", "left").select("v", F.col("id").alias("class_id"), (own + F.coalesce("beside", F.lit(0))).alias("links"))
+    # Vectors meet their class by a digest of their components, nulls by themselves.
+    key = F.coalesce(F.xxhash64(F.col("v"), F.lit(1)), F.lit(0))
+    known = known.withColumn("h", key).withColumnRenamed("v", "w")
+    return rows.withColumn("h", key).join(known, "h").filter(F.col("v").eqNullSafe(F.col("w"))).select("id", "class_id", "links")
+
+
 def _shingle_keys(text: str, sizes: list[int]) -> Iterator[tuple[int, int]]:
     """(size, key) of each window of `size` characters, once: a window's key is the least hash of its shingles of half that size, so equal windows have equal keys in any text."""
     if 0 in sizes:

@@ -222,7 +222,10 @@ def heading_levels(t):
     return lines.groupBy("doc_id").agg(F.count_if((F.col("level") > 0) & ~marked).alias("numbered"), F.count_if((F.col("level") > 0) & marked).alias("marked"))
 
 
-@query("F38_line_kinds")
+@query("F38_line_kinds", r"""WITH l AS (SELECT lang, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents),
+k AS (SELECT lang, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '^#{1,6}\s') OR regexp_matches(s, '^[0-9]+(?:\.[0-9]+)*[.\s]\s*\S') OR regexp_matches(s, '^第[一二三四五六七八九十百千0-9]+[章节]') THEN 'heading' WHEN regexp_matches(s, '^[-*+•]\s+|^[0-9]+[)）]') THEN 'list_item'
+  WHEN regexp_matches(s, '^\|.*\|$') THEN 'table_row' WHEN starts_with(s, '```') THEN 'code_fence' WHEN starts_with(s, '>') THEN 'quote' WHEN regexp_matches(s, '^(?:Figure|Table|图|表)\s*[0-9]+') THEN 'caption' WHEN regexp_matches(s, '^\[[0-9]+\]') THEN 'reference' ELSE 'paragraph' END AS kind FROM l)
+SELECT lang, kind, count(*) AS n FROM k GROUP BY lang, kind""")
 def line_kinds(t):
     lines = t("documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line"))
     return lines.groupBy("lang", C.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,19 @@ def test_all_vector_neighbours(spark):
         assert {r.id: r.neighbours for r in got} == want and len(got) == 60
 
 
+def test_vector_links_count_copies(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(40, 3)).round(1).tolist()
+    v += [v[2]] * 9 + [v[7]] * 2 + [[0.0, 0.0, 0.0]] * 2 + [None] * 2
+    ids = [3 * k for k in range(len(v))]
+    table = spark.createDataFrame(list(zip(ids, v)), "id bigint, v array<double>")
+    cosine = lambda x, y: np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) if x and y and any(x) and any(y) else -1
+    want = {i: (min(j for j, y in zip(ids, v) if y == x), sum(cosine(x, y) >= 0.8 - 1e-12 for j, y in zip(ids, v) if j != i)) for i, x in zip(ids, v)}
+    for block in (1000, 9):
+        got = {r.id: (r.class_id, r.links) for r in retrieval.vector_links(table, "id", "v", 0.8, block, strip=4).collect()}
+        assert got == want
+
+
 def test_all_links_of_a_page(spark):
     html = "".join(f'<a href="/{k % 13}">x</a>' for k in range(30))
     table = spark.createDataFrame([(1, html)], "page_id bigint, html string")
