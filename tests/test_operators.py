@@ -140,7 +140,7 @@ def test_cleaning(spark):
     assert one(spark, "a\n- 12 -\nPage 3\nb", clean.drop_page_numbers) == "a\nb"
     assert one(spark, "a  b\n```\nx  y\n```\n| c  d |", clean.clean_outside_code) == "a b\n```\nx  y\n```\n| c  d |"
     assert one(spark, "a\na\nb\na", clean.drop_adjacent_repeats) == "a\nb\na"
-    assert one(spark, "# A\ntext\n## B 1", clean.outline) == ["A", "B 1"]
+    assert one(spark, "# A\ntext\n## B 1", terms.outline_titles) == ["A", "B 1"]
     assert [one(spark, s, clean.heading_level) for s in ("## x", "1.2 x", "第三章", "x")] == [2, 2, 1, 0]
     assert [one(spark, s, clean.line_kind) for s in ("", "# h", "- a", "| a |", "> q", "plain")] == ["blank", "heading", "list_item", "table_row", "quote", "paragraph"]
     red = one(spark, {"token": "t", "query": "abc", "h": "Bearer xyz"}, clean.redact_map, "map<string,string>")
