@@ -14,6 +14,7 @@ from marlstone.operators.linking import first_held
 from marlstone.plans._base import query
 from marlstone.plans.pages import _REDACTED, event_properties
 from marlstone.plans.retrieval import _TOK
+from marlstone.sources import formats as S
 
 @query("F2_full_text_terms", "SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL)")
 def full_text_terms(t):
@@ -114,13 +115,18 @@ def file_tree_stats(t):
     return f.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("folder").alias("folders"), F.count_if(F.col("name").rlike("7$")).alias("markdown"), F.sum("size").alias("total_size")).crossJoin(samples)
 
 
-@query("S21_tree_order", f"WITH {_FILES}, e AS (SELECT folder, 1 AS kind, name, size FROM m UNION ALL SELECT DISTINCT '', 0, folder, 0 FROM m) SELECT folder, name, kind = 0 AS is_folder, row_number() OVER (PARTITION BY folder ORDER BY kind, name, size) AS place FROM e")
+@query("S21_tree_order", """WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', '') AS path FROM pages), s AS (SELECT string_split(path, '/') AS s FROM p),
+e AS (SELECT DISTINCT array_to_string(s[:k], '/') AS path, array_to_string(s[:k - 1], '/') AS folder, s[k] AS name, k AS level, k < len(s) AS is_folder FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM s))
+SELECT path, folder, level, is_folder, row_number() OVER (PARTITION BY folder ORDER BY name LIKE '%9' DESC, NOT is_folder, name) AS place FROM e""")
 def tree_order(t):
-    """Entries of each folder: folders before files, then by name."""
-    f = _files(t)
-    entries = f.select("folder", F.lit(1).alias("kind"), "name", "size").unionByName(f.select(F.lit("").alias("folder"), F.lit(0).alias("kind"), F.col("folder").alias("name"), F.lit(0).cast("long").alias("size")).distinct())
-    place = F.row_number().over(Window.partitionBy("folder").orderBy("kind", "name", "size"))
-    return entries.select("folder", "name", (F.col("kind") == 0).alias("is_folder"), place.alias("place"))
+    """Entries of all folders at any depth: those that are put first (here: whose name ends with 9), then folders before files, then by name."""
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), "/+$", "")
+    s = t("pages").select(F.split(path, "/", -1).alias("s")).distinct()
+    part = s.select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("level"))
+    upto = lambda k: F.array_join(F.slice("s", F.lit(1), k), "/")
+    e = part.select(upto(F.col("level")).alias("path"), upto(F.col("level") - 1).alias("folder"), F.element_at("s", F.col("level")).alias("name"), "level", (F.col("level") < F.size("s")).alias("is_folder")).distinct()
+    place = F.row_number().over(Window.partitionBy("folder").orderBy(F.endswith("name", F.lit("9")).desc(), F.col("is_folder").desc(), "name"))
+    return e.select("path", "folder", "level", "is_folder", place.alias("place"))
 
 
 @query("P19_narrow_scan", "SELECT doc_id AS id, lang, coalesce(source, '') AS kb_id, coalesce(n_chars, 0) AS n_chars FROM documents")
@@ -156,6 +162,17 @@ def api_items(t):
     return t("events").filter("value IS NOT NULL").select("event_id", F.concat(k, F.lit(" | value "), F.round("value", 2).cast("decimal(18,2)").cast("string")).alias("content"))
 
 
+@query("S15_trending_items", """SELECT p_name AS title, 'https://github.com/' || replace(p_brand, '#', '') || '/p' || p_partkey AS link, p_type || ' & more' AS content, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size::VARCHAR END AS stars FROM part WHERE p_partkey % 5 <> 0""")
+def trending_items(t):
+    """Parts as cards of pages of trending projects, ten a page; cards of people (every fifth) are no projects."""
+    k = F.col("p_partkey")
+    link = F.when(k % 5 == 0, F.concat(F.lit("/login/u"), k.cast("string"))).otherwise(F.concat(F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/p"), k.cast("string")))
+    stars = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<span>"), F.col("p_size").cast("string"), F.lit(" stars today</span>")))
+    card = F.concat(F.lit('<article class="x Box-row"><h2 class="h">\n<a href="'), link, F.lit('">'), F.col("p_name"), F.lit("</a></h2><p class='d'> "), F.col("p_type"), F.lit(" &amp; <b>more</b> </p>"), stars, F.lit("</article>"))
+    pages = t("part").select(card.alias("c"), F.floor(k / 10).alias("page")).groupBy("page").agg(F.concat(F.lit("<html><article class='other'>x</article>"), F.array_join(F.collect_list("c"), "\n")).alias("html"))
+    return pages.select(F.inline(S.trending_items(F.col("html"))))
+
+
 @query("S16_collected_items", """WITH c AS (SELECT page_id, lower(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '')) AS link, length(html) AS n FROM pages), g AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(link, '[0-9]+$', '') ORDER BY page_id) AS place FROM c WHERE n >= 40)
 SELECT page_id, link FROM g WHERE place = 1""")
 def collected_items(t):

@@ -374,6 +374,25 @@ def feed_items(feed: Column) -> Column:
     return F.arrow_udf(run, "array<struct<title:string,link:string,published:string>>")(feed)
 
 
+# How a page of trending projects marks its cards, how many of them count, and paths that are no projects.
+CARD, CARDS, NO_OWNERS = "Box-row", 30, "login sponsors features".split()
+
+
+def trending_items(page: Column) -> Column:
+    """title, link, content and stars (of the day, empty if not told) of the cards of a page of trending projects, whose links are /owner/project."""
+    words = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&amp;", "&"), r"\s+", " "))
+    cards = F.slice(F.regexp_extract_all(page, F.lit(rf'(?s)<article[^>]*class="[^"]*\b{CARD}\b[^"]*"[^>]*>(.*?)</article>'), F.lit(1)), 1, CARDS)
+
+    def item(card: Column) -> Column:
+        head = F.regexp_extract(card, r"(?s)<h2[^>]*>.*?(<a\b.*?</a>)", 1)
+        parts = F.filter(F.split(F.regexp_extract(head, r'href="([^"]*)"', 1), "/", -1), lambda p: p != "")
+        stars = F.regexp_extract(words(card), r"(?i)([0-9,]+)\s+stars? today", 1)
+        good = (F.size(parts) == 2) & ~parts[0].isin(NO_OWNERS)
+        return F.when(good, F.struct(words(head).alias("title"), F.concat(F.lit("https://github.com/"), F.array_join(parts, "/")).alias("link"), words(F.regexp_extract(card, r"(?s)<p\b[^>]*>(.*?)</p>", 1)).alias("content"), stars.alias("stars")))
+
+    return F.filter(F.transform(cards, item), lambda x: x.isNotNull())
+
+
 def markdown_tables(text: Column) -> Column:
     """The tables of a Markdown text: an array of arrays of rows, each a string; separator rows left out."""
     runs = F.regexp_extract_all(text, F.lit("(?m)(?:^[ \\t]*\\|.*(?:\\n|\\z)){2,}"), F.lit(0))
