@@ -134,11 +134,11 @@ def archive_pages(t):
 
 
 @query("S17_workbook_profile", """WITH c AS (SELECT 'box' || (c_custkey // 200) || '.zip' AS path, c_custkey::DOUBLE AS k, c_acctbal::DOUBLE AS b FROM customer)
-SELECT path, 'key' AS name, count(*) AS n, count(*) AS n_numbers, min(k) AS least, max(k) AS most, round(avg(k), 4) AS mean FROM c GROUP BY path UNION ALL SELECT path, 'balance', count(*), count(*), min(b), max(b), round(avg(b), 4) FROM c GROUP BY path""")
+SELECT path, 'key' AS name, count(*) AS n, count(*) AS n_numbers, min(k) AS least, max(k) AS most, round(sum(k), 2) AS total FROM c GROUP BY path UNION ALL SELECT path, 'balance', count(*), count(*), min(b), max(b), round(sum(b), 2) FROM c GROUP BY path""")
 def workbook_profile(t):
-    """Columns of the archives' workbooks, whose second column is empty: numbers, least, most and mean."""
+    """Columns of the archives' workbooks, whose second column is empty: numbers, least, most and total."""
     books = importers.archive_members(_archives(t)).filter("member = 'book.xlsx'").select("path", "content")
-    return importers.column_profile(importers.sheet_cells(books)).select("path", "name", "n", "n_numbers", "least", "most", F.round("mean", 4).alias("mean"))
+    return importers.column_profile(importers.sheet_cells(books)).select("path", "name", "n", "n_numbers", "least", "most", F.round(F.col("mean") * F.col("n_numbers"), 2).alias("total"))
 
 
 @query("F24_cleaner_stages", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[①-⑮⒈-⒑]', '', 'g'), '〔[0-9]+〕|［[0-9]+］|\([0-9]{1,3}\)', '', 'g'), '(?m)^[ \t]*[0-9]{1,3}[ \t]*$', '', 'g'),
