@@ -121,7 +121,11 @@ def auto_tags(t):
     return t("documents").select("doc_id", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("tags"))
 
 
-@query("F35_strategy_detection")
+@query("F35_strategy_detection", r"""WITH x AS (SELECT doc_id, text[1:5000] AS s, list_transform(string_split(text, chr(10))[1:200], lambda l: trim(l, ' ')) AS l FROM documents),
+n AS (SELECT *, len(list_filter(l, lambda v: regexp_matches(v, '^[0-9]+(\.[0-9]+)*[.\s]\s*\S'))) AS num FROM x)
+SELECT doc_id, CASE WHEN len(regexp_extract_all(s, '第[一二三四五六七八九十百千0-9]+[条章节款]')) >= 3 THEN 'law' WHEN len(regexp_extract_all(s, '(?m)^\s*(?:Q\s*[:：]|问题?\s*[:：])')) >= 3 THEN 'qa'
+  WHEN len(list_filter(l, lambda v: regexp_matches(v, '^第[一二三四五六七八九十百千0-9]+[章回]|^(?i)chapter\s+[0-9]+'))) >= 2 THEN 'book' WHEN len(list_filter(l, lambda v: regexp_matches(v, '^#{1,6}\s'))) + num >= 4 AND num >= 3 THEN 'academic'
+  WHEN len(regexp_extract_all(s, '[“「][^”」]+[”」]')) >= 5 AND length(s) / greatest(len(string_split_regex(s, '\n\s*\n')), 1) < 200 THEN 'novel' ELSE 'semantic' END AS strategy FROM n""")
 def strategy_detection(t):
     return t("documents").select("doc_id", T.detect_strategy(F.col("text")).alias("strategy"))
 
