@@ -286,3 +286,18 @@ def test_a_folder_without_a_setting(spark, monkeypatch):
     monkeypatch.setattr(conf, "get", lambda self, key, *a: (a[0] if a else None) if key == "spark.checkpoint.dir" else kept(self, key, *a))
     assert _common.scratch_dir(spark) == _common.scratch_dir(spark) and _common.scratch_dir(spark).startswith("file:///")
     assert _common.Scratch(spark).table(spark.range(3).select(F.col("id")), "t").count() == 3
+
+
+@pytest.mark.parametrize("name", ["op12_conversations", "op13_vector_codes"])
+def test_sql_says_the_same(spark, sf_dir, name):
+    import duckdb
+
+    from marlstone.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    for table in ("conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'").fetchall()
+    found = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    rows = queries()[name](spark, sf_dir).select(columns).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, found.fetchall()))

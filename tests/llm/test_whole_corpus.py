@@ -419,4 +419,4 @@ def test_stages_take_an_empty_table(spark, tmp_path):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14))
