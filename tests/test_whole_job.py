@@ -2,12 +2,14 @@
 
 import io
 import json
+import re
 import zipfile
 
+import duckdb
 import numpy as np
 
 from marlstone.operators import chunking, graph, retrieval
-from marlstone.plans import pages
+from marlstone.plans import pages, registry
 from marlstone.sources import formats
 
 
@@ -47,6 +49,25 @@ def test_vector_links_count_copies(spark):
         assert got == want
 
 
+def test_different_texts_of_one_keyword_set_are_linked(spark, tmp_path):
+    texts = ["Alpha beta 1", "beta ALPHA 2", "Alpha beta 1", "gamma delta", "gamma, and delta", "beta gamma delta", "omega", "omega omega", "alone", "a 1", "a 2", "", None]
+    spark.createDataFrame(list(enumerate(texts, 5)), "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {i: set(re.findall("[a-z]{4,}", (s or "").lower())) for i, s in enumerate(texts, 5)}
+    near = lambda x, y: (k := len(x & y)) >= 3 or k and k / len(x | y) >= 0.15
+    want = sorted((i, j, len(x & y)) for i, x in words.items() for j, y in words.items() if i < j and near(x, y))
+    queries, sql = registry.queries(), registry.oracle_sql()
+    pairs = [tuple(r) for r in queries["J8_shared_keywords"](spark, str(tmp_path)).select("a", "b", "n_a", "n_b", "k").collect()]
+    groups = {}
+    for r in queries["J8_keyword_members"](spark, str(tmp_path)).collect():
+        groups.setdefault(r.class_id, []).append(r.id)
+    assert all((n, m) == (len(groups[a]), len(groups[b])) for a, b, n, m, _ in pairs)
+    assert sorted((min(i, j), max(i, j), k) for a, b, _, _, k in pairs for i in groups[a] for j in groups[b] if a != b or i < j) == want
+    assert (5, 6, 2) in want and (11, 12, 1) in want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert sorted(con.execute(sql["J8_shared_keywords"]).fetchall()) == sorted(pairs)
+
+
 def test_all_links_of_a_page(spark):
     html = "".join(f'<a href="/{k % 13}">x</a>' for k in range(30))
     table = spark.createDataFrame([(1, html)], "page_id bigint, html string")
