@@ -1,8 +1,11 @@
 """What lies on disk and what is done again and again must grow with the rows, not with their pairs or their shuffles."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from marlstone.operators import filegraph
 
 
@@ -28,3 +31,22 @@ def test_candidates_write_files_but_no_pairs(spark, monkeypatch):
     assert len(whole) > 160 * 159 / 4 and _added(spark, before) < 160 * 1000
     monkeypatch.setattr(filegraph, "BLOCK", 25)
     assert sorted(filegraph.candidates(files).collect()) == sorted(whole)
+
+
+def test_edges_need_the_first_candidates_of_files_only(spark):
+    r = random.Random(6)
+    pairs = r.sample([(a, b) for a in range(40) for b in range(a + 1, 40)], 500)
+    # A file's folder is its number modulo five; a candidate of two files of a folder may be one of that folder.
+    rows = [(a, b, "t", round(r.random(), 2), f"f{a % 5}" if a % 5 == b % 5 and r.random() < 0.9 else None) for a, b in pairs]
+    found = spark.createDataFrame(rows, "a bigint, b bigint, type string, score double, folder string")
+    links = {(0, 1), (0, 2), (3, 4), (0, 5), (0, 6)}
+    degree, folders, want = Counter(x for p in links for x in p), Counter(), set()
+    for a, b, _, s, f in sorted(rows, key=lambda e: (-e[3], e[0], e[1])):
+        if (degree[a] < 3 or degree[b] < 3) and not (f and folders[f] >= 2):
+            folders[f] += 1
+            degree.update((a, b))
+            want.add((a, b))
+    got = {(e.a, e.b) for e in filegraph.graph(found, spark.createDataFrame(sorted(links), "source bigint, target bigint")).collect()}
+    assert got == want | links
+    keyed = found.withColumn("k", F.struct((-F.col("score")).alias("s"), "a", "b"))
+    assert filegraph.firsts(keyed, 3).count() < 300
