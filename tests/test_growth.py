@@ -4,10 +4,12 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from marlstone.operators import filegraph
 from marlstone.operators import index as I
+from marlstone.plans import registry
 
 
 def _held(spark) -> dict[Path, int]:
@@ -86,3 +88,33 @@ def test_many_queries_are_answered_within_windows(spark, monkeypatch):
     for r in found.orderBy("query", "rank").collect():
         got[r.query].append((r.id, r.score))
     assert got == {r.q: [(h.id, h.score) for h in I.best(ix, r.t or "", 4).orderBy("rank").collect()] for r in asked.collect()}
+
+
+def _rows_joined(df) -> int:
+    """The most rows that a join of the plan has made."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_backlinks_of_one_word_are_counted_once(spark, tmp_path):
+    heads = ["<h1>Alpha x</h1>", "<h1>Beta</h1>", "", "<h1> y</h1>"]
+    links = ['<a href="/Alpha">', '<a href="/Alpha"><a href="/Alpha"><a href="/Beta">', '<a href="/">', "", '<a href="/Gamma">']
+    pages = [(k, heads[k % 4] + links[k % 5]) for k in range(200)] + [(300, None), (301, "<h1>Gamma</h1>"), (302, '<h1>Own</h1><a href="/Own">')]
+    spark.createDataFrame(pages, "page_id bigint, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    df = registry.queries()["J12_backlinks"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["J12_backlinks"]).fetchall())
+    assert sorted(map(tuple, df.select("target", "backlinks").collect())) == want and (301, 40) in want and len(want) > 150
+    assert 0 < _rows_joined(df) < 500
