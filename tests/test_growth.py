@@ -131,3 +131,15 @@ def test_implied_triples_look_for_nothing_else(spark, monkeypatch):
     assert {(r.id, r.head, r.relation, r.tail, r.weight) for r in got} == {(1, *x) for x in extract.implied(text.split("。")[0])} and got
     calls.clear()
     assert len(list(runs[0](iter([pa.array([text, ""])])))[0]) == 2 and not calls
+
+
+def test_embedding_links_name_their_neighbours(spark, tmp_path):
+    r = random.Random(8)
+    vectors = [[round(r.gauss(0, 1), 2) for _ in range(4)] for _ in range(50)]
+    rows = [*enumerate([*vectors, *vectors[:10], [0.0] * 4, [0.0] * 4]), (90, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["J9_embedding_links"](spark, str(tmp_path)).select("id", "class_id", "links", "neighbours").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["J9_embedding_links"]).fetchall())
+    assert all(x.links == len(x.neighbours) for x in got) and sum(x.links for x in got) > 200
