@@ -143,3 +143,13 @@ def test_embedding_links_name_their_neighbours(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["J9_embedding_links"]).fetchall())
     assert all(x.links == len(x.neighbours) for x in got) and sum(x.links for x in got) > 200
+
+
+def test_keyword_pairs_name_the_items(spark, tmp_path):
+    texts = ["Alpha beta 1", "beta ALPHA 2", "Alpha beta 1", "gamma delta", "gamma, and delta", "beta gamma delta", "omega", "omega omega", "alone", "a 1", "", None]
+    spark.createDataFrame([*enumerate(texts, 5)][::-1], "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, registry.queries()["J8_keyword_pairs"](spark, str(tmp_path)).select("a", "b", "k").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.oracle_sql()["J8_keyword_pairs"]).fetchall())
+    assert {(5, 6, 2), (5, 7, 2), (8, 9, 2), (11, 12, 1)} < set(got)
